@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing, sharding
+from tidemark.llm import exact_dedup, mixing, quality, sharding
 
-MODULES = (exact_dedup, mixing, sharding)
+MODULES = (quality, exact_dedup, mixing, sharding)
 
 
 def queries() -> dict:
