@@ -59,6 +59,8 @@ class DigestIndex:
     def add(self, digests: DataFrame) -> None:
         """Append the digests of a batch (doc_id, text_sha256) that the index lacks; of a batch's copies the largest id stays."""
         batch = digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # Written first: the optimizer would push the anti-join below the aggregate, and then a hot digest's rows meet in one task.
+        batch = materialise(batch, "digest-batch")
         self._append(batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
 
 
