@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing, quality, sharding
+from tidemark.llm import exact_dedup, mixing, packing, quality, sharding
 
-MODULES = (quality, exact_dedup, mixing, sharding)
+MODULES = (quality, exact_dedup, packing, mixing, sharding)
 
 
 def queries() -> dict:
