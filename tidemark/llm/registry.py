@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, html_text, mixing, packing, quality, sharding
+from tidemark.llm import exact_dedup, html_text, mixing, packing, quality, sharding, toxicity
 
-MODULES = (quality, exact_dedup, packing, mixing, sharding, html_text)
+MODULES = (toxicity, quality, exact_dedup, packing, mixing, sharding, html_text)
 
 
 def queries() -> dict:
