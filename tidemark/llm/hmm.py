@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 
-STATES, CLASSES, ROUNDS, BLOCK_TOKENS, SEED = 4, 1 << 14, 4, 2_000_000, 7
+STATES, CLASSES, ROUNDS, BLOCK_TOKENS, SEED = 4, 1 << 14, 4, 1_000_000, 7
 #: The end of a text. No word holds a space.
 END = b" "
 SMOOTH = 0.1
@@ -103,7 +103,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text")):
                 text = (text.as_py() or "").encode()
-                if texts and size + len(text) > 4 * BLOCK_TOKENS:
+                if texts and size + len(text) > 6 * BLOCK_TOKENS:
                     yield from one(f"{part}-{next(number)}", ids, trains, texts)
                     ids, trains, texts, size = [], [], [], 0
                 ids.append(doc_id)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, hmm, html_text, mixing, packing, quality, sharding, toxicity
+from tidemark.llm import exact_dedup, hmm, html_text, mixing, near_dedup, packing, quality, sharding, toxicity
 
-MODULES = (toxicity, quality, exact_dedup, hmm, packing, mixing, sharding, html_text)
+MODULES = (toxicity, quality, exact_dedup, hmm, near_dedup, packing, mixing, sharding, html_text)
 
 
 def queries() -> dict:
