@@ -187,12 +187,15 @@ def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES,
         .join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash"), "page-templates"
     )
     found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("hash").alias("template"))
-    joined = parsed.join(found, "uid", "left")
+    # A page with an article needs its template only if a container inside could be some; the texts of the others are not shuffled.
+    settled = F.exists("blocks", lambda b: b["main"]) & ~F.exists("blocks", lambda b: b["main"] & (F.size(b["hashes"]) > 0))
+    open_pages = parsed.filter(~settled).join(found, "uid", "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["hashes"], F.coalesce("template", F.array().cast("array<bigint>"))))
-    chosen = joined.withColumn("_kept", kept).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("blocks")))
+    chosen = open_pages.withColumn("_kept", kept).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("blocks")))
+    pages_ = parsed.filter(settled).select("keep", F.col("blocks").alias("_kept")).union(chosen.select("keep", "_kept"))
     main = F.filter("_kept", lambda b: b["main"])
     body = F.when(F.size(main) > 0, main).otherwise(F.col("_kept"))
-    texts = chosen.withColumn("text", F.array_join(F.transform(body, lambda b: b["text"]), "\n\n"))
+    texts = pages_.withColumn("text", F.array_join(F.transform(body, lambda b: b["text"]), "\n\n"))
     return texts.select("keep.*", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
