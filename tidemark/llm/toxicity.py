@@ -35,6 +35,8 @@ PREFIXES = (3, 4, 5, 6, 7)
 PRIOR, DRIFT, EVIDENCE, MOST = 4.0, 0.04, 2.0, 6.0
 LETTERS = re.compile(r"[^\W\d_]+")
 SIGNIFICANT = 0.05
+#: A feature's two counts are one number, toxic * ROWS + rows.
+ROWS = 1 << 40
 
 
 def words(text: str | None) -> list[str]:
@@ -52,14 +54,14 @@ class WordScores(dict):
     ``own`` is the label of a row that is scored without its own counts, or None.
     """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], base: float, own: int | None = None):
+    def __init__(self, counts: dict[str, int], base: float, own: int | None = None):
         super().__init__()
         self.counts, self.base, self.own = counts, base, own
 
     def __missing__(self, word: str) -> float:
         own, one = (self.own, 1) if self.own is not None else (0, 0)
-        found = [self.counts.get(f) for f in features(word)]
-        chain = [(max(t - own, 0), n - one) for t, n in filter(None, found) if n > one]
+        found = [divmod(x, ROWS) for f in features(word) if (x := self.counts.get(f))]
+        chain = [(max(t - own, 0), n - one) for t, n in found if n > one]
         p = self.base
         for i, (toxic, rows) in enumerate(chain):
             # What the next longer feature has of these counts is its own evidence, not its prior's.
@@ -96,7 +98,7 @@ def maximal_segments(evidence: list[tuple[int, float]], drift: float = DRIFT) ->
 
 
 def evidence_of(text: str | None, scores: WordScores) -> tuple[int, list[tuple[int, float]]]:
-    if len(scores) > 400_000:
+    if len(scores) > 100_000:
         scores.clear()
     found = words(text)
     return len(found), [(i, s) for i, s in enumerate(map(scores.__getitem__, found)) if s]
@@ -115,14 +117,17 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(feature, toxic, rows): in how many rows' sets of words the feature occurs, over (text, toxic)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, toxic, fields = Counter(), Counter(), ["word", "toxic", "rows"]
         for batch in batches:
-            rows, toxic = Counter(), Counter()
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
                 seen = set(words(text.as_py()))
                 rows.update(seen)
                 if label:
                     toxic.update(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], ["word", "toxic", "rows"])
+                if len(rows) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], fields)
+                    rows, toxic = Counter(), Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], fields)
 
     each = train.select("text", "toxic").mapInArrow(count, "word string, toxic long, rows long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
     prefixes = [F.when(F.char_length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES]
@@ -169,7 +174,7 @@ NOTHING, CERTAIN = -12.0, 15.0
 class ToxicityModel:
     """Word counts, the extreme-value parameters and the calibration; its size is bounded by ``max_terms``."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], base: float, lam: float = 1.0, k: float = 1.0, a: float = -30.0, b: float = 0.0):
+    def __init__(self, counts: dict[str, int], base: float, lam: float = 1.0, k: float = 1.0, a: float = -30.0, b: float = 0.0):
         self.counts, self.base, self.lam, self.k, self.a, self.b = counts, base, lam, k, a, b
 
     def normalised(self, best: float, n: int) -> float:
@@ -189,7 +194,11 @@ class ToxicityModel:
             return cls({}, 0.5)
         often = (F.col("rows") >= max(2, math.ceil(total / max_terms))) | (F.col("toxic") >= max(2, math.ceil(toxic / max_terms)))
         kept = counts.filter(often).toPandas()
-        model = cls({f: (int(t), int(n)) for f, t, n in zip(kept.feature, kept.toxic, kept.rows)}, toxic / total)
+        # Only features of twice the usual toxicity, and longer ones that qualify them, can change a score.
+        hot = set(kept.feature[kept.toxic * total > 2.0 * kept.rows * toxic])
+        useful = [f in hot or any(f[:k] + "*" in hot for k in PREFIXES if k < len(f) - f.endswith("*")) for f in kept.feature]
+        kept = kept[useful]
+        model = cls({f: int(t) * ROWS + int(n) for f, t, n in zip(kept.feature, kept.toxic, kept.rows)}, toxic / total)
         return model.calibrated(rows)
 
     def calibrated(self, rows: DataFrame) -> ToxicityModel:
