@@ -64,7 +64,10 @@ def word_count(text) -> F.Column:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document once for each time it is taken whole, and the words of one that is cut."""
+    """The mix itself, with the columns of ``docs``: a document once for each time it is taken whole, and the first words of one that is cut.
+
+    A column n_chars, if there is one, is that of the text given.
+    """
     columns = docs.columns
     rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("uid"), "source", word_count(F.col("text")).alias("size")), "mix-rows")
     light = rows.select("uid", "source", "size", F.xxhash64("_row.text").alias("_same"))
@@ -84,7 +87,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
         F.when(cut > 0, F.array(F.array_join(F.slice(words, F.lit(1), cut), " "))).otherwise(F.array().cast("array<string>")),
     )
     out = joined.withColumn("_text", F.explode(texts))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns])
+    made = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
