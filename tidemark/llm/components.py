@@ -9,8 +9,12 @@ from tidemark.llm.common import materialise
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with m, the least of u and its neighbours v. Summed before the shuffle, so a hot u is one row a task."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, v) with m, the least of u and its neighbours v.
+
+    Aggregated before its shuffle, a hot u is one row a task; written, the least ones meet the pairs in a join of two plain
+    shuffles, which Spark can split at a hot u.
+    """
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return pairs.join(least, "u")
 
 

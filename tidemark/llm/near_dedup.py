@@ -245,10 +245,11 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: i
     sets = materialise(rows.groupBy("set").agg(F.max("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("last_id")), "sets")
     members = rows.join(sets.select("set", "key"), ["set", "key"]).groupBy("set", "key").agg(F.first("nodes").alias("nodes"))
     under = materialise(members.select("set", F.explode("nodes").alias("node")), "nodes")
-    shared = under.groupBy("node").agg(F.min("set").alias("least"), F.max("set").alias("last")).filter("least <> last").select("node", "least")
+    # Written, so that the join has two plain shuffles, which Spark can split where a node holds many.
+    shared = materialise(under.groupBy("node").agg(F.min("set").alias("least"), F.max("set").alias("last")).filter("least <> last").select("node", "least"), "shared")
     edges = under.join(shared, "node").filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b"))
     groups = materialise(connected_components(edges).withColumnsRenamed({"node": "set"}), "candidates")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     wanted = groups.join(sets.select("set", "key", "copies"), "set").withColumnRenamed("key", "_key")
     texts = keyed.select("key", "text").join(wanted, F.col("key") == F.col("_key"))
     found = materialise(shingle_sets(texts).groupBy("set", "component", "copies").agg(F.first("shingles").alias("shingles")), "shingles")
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: i
     classes = connected_components(verified.select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "set"})
     named = sets.join(classes, "set", "left").join(links, "set", "left").withColumn("component", F.coalesce("component", "set")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     named = materialise(named, "classes")
-    ids = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.max("key").alias("kept_key"), F.sum("copies").alias("class_size"))
+    ids = materialise(named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.max("key").alias("kept_key"), F.sum("copies").alias("class_size")), "class-ids")
     full = named.join(ids, "component").select("set", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), "kept_key")
     return rows.select("key", "doc_id", "set").join(full, "set").select("key", "doc_id", "class_id", "class_size", "n_links", (F.col("key") == F.col("kept_key")).alias("kept"))
 
