@@ -55,11 +55,27 @@ def token_class(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(t) % CLASSES for t in tokens), dtype=np.uint16, count=len(tokens))
 
 
-BLOCK_SCHEMA = "kind int, block string, doc_id long, doc int, train boolean, n long, classes binary, token binary, class int, train_count long, docs array<int>, times array<int>"
+BLOCK_SCHEMA = "kind int, block long, doc_id long, doc int, train boolean, n long, classes binary, token binary, train_count long, held binary"
 BLOCK_FIELDS = pa.schema([
-    ("kind", pa.int32()), ("block", pa.string()), ("doc_id", pa.int64()), ("doc", pa.int32()), ("train", pa.bool_()), ("n", pa.int64()), ("classes", pa.binary()),
-    ("token", pa.binary()), ("class", pa.int32()), ("train_count", pa.int64()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+    ("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("doc", pa.int32()), ("train", pa.bool_()), ("n", pa.int64()), ("classes", pa.binary()),
+    ("token", pa.binary()), ("train_count", pa.int64()), ("held", pa.binary()),
 ])
+#: One entry of ``held``: a document of the block, and how often it holds the token; more than the most are several entries.
+ENTRY = np.dtype([("doc", "<u2"), ("times", "<u2")])
+MOST_DOCS = MOST_TIMES = 65_535
+
+
+def entries_of(codes: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code and entry for every token and document that holds it, in order of codes."""
+    pairs, times = np.unique(codes.astype(np.int64) * docs + owner, return_counts=True)
+    if len(times) and times.max() > MOST_TIMES:
+        parts = -(-times // MOST_TIMES)
+        first = np.repeat(np.cumsum(parts) - parts, parts) == np.arange(parts.sum())
+        rest = np.repeat(times - (parts - 1) * MOST_TIMES, parts)
+        pairs, times = np.repeat(pairs, parts), np.where(first, rest, MOST_TIMES)
+    entries = np.empty(len(pairs), dtype=ENTRY)
+    entries["doc"], entries["times"] = pairs % docs, times
+    return pairs // docs, entries
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -69,49 +85,43 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in BLOCK_FIELDS], schema=BLOCK_FIELDS)
 
-    def one(block: str, ids: list, trains: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def one(block: int, ids: list, trains: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         codes, lengths, tokens = token_codes(texts)
-        bins = token_class(tokens)
-        ends = np.cumsum(lengths)
-        classes = bins[codes]
-        cells = [classes[e - n : e].tobytes() for e, n in zip(ends, lengths)]
+        classes = token_class(tokens)[codes]
+        cells = [classes[e - n : e].tobytes() for e, n in zip(np.cumsum(lengths), lengths)]
         rows = len(ids)
         yield batch_of(
-            kind=pa.array(np.zeros(rows, np.int32)), block=pa.array([block] * rows, pa.string()), doc_id=pa.array(ids, pa.int64()), doc=pa.array(np.arange(rows, dtype=np.int32)),
+            kind=pa.array(np.zeros(rows, np.int32)), block=pa.array(np.full(rows, block)), doc_id=pa.array(ids, pa.int64()), doc=pa.array(np.arange(rows, dtype=np.int32)),
             train=pa.array(trains, pa.bool_()), n=pa.array(lengths), classes=pa.array(cells, pa.binary()),
         )
-        owner = np.repeat(np.arange(rows, dtype=np.int64), lengths)
-        pairs, times = np.unique(codes.astype(np.int64) * rows + owner, return_counts=True)
-        which, holder = pairs // rows, (pairs % rows).astype(np.int32)
+        which, entries = entries_of(codes, np.repeat(np.arange(rows), lengths), rows)
         offsets = np.searchsorted(which, np.arange(len(tokens) + 1))
-        trained = np.bincount(which, weights=times * np.array(trains, dtype=np.int64)[holder], minlength=len(tokens)).astype(np.int64)
+        trained = np.bincount(which, weights=entries["times"] * np.array(trains)[entries["doc"]], minlength=len(tokens)).astype(np.int64)
         step = 50_000
         for a in range(0, len(tokens), step):
             b = min(a + step, len(tokens))
             lo, hi = offsets[a], offsets[b]
-            cut = pa.array((offsets[a : b + 1] - lo).astype(np.int32))
-            yield batch_of(
-                kind=pa.array(np.ones(b - a, np.int32)), block=pa.array([block] * (b - a), pa.string()), token=pa.array(tokens[a:b], pa.binary()), train_count=pa.array(trained[a:b]),
-                docs=pa.ListArray.from_arrays(cut, pa.array(holder[lo:hi])), times=pa.ListArray.from_arrays(cut, pa.array(times[lo:hi].astype(np.int32))), **{"class": pa.array(bins[a:b].astype(np.int32))},
-            )
+            at = ((offsets[a : b + 1] - lo) * ENTRY.itemsize).astype(np.int32)
+            held = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(entries[lo:hi].tobytes())])
+            yield batch_of(kind=pa.array(np.ones(b - a, np.int32)), block=pa.array(np.full(b - a, block)), token=pa.array(tokens[a:b], pa.binary()), train_count=pa.array(trained[a:b]), held=held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), count()
+        number = count(TaskContext.get().partitionId() << 32)
         ids, trains, texts, size = [], [], [], 0
         for batch in batches:
             for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text")):
                 text = (text.as_py() or "").encode()
-                if texts and size + len(text) > 6 * BLOCK_TOKENS:
-                    yield from one(f"{part}-{next(number)}", ids, trains, texts)
+                if texts and (size + len(text) > 6 * BLOCK_TOKENS or len(texts) == MOST_DOCS):
+                    yield from one(next(number), ids, trains, texts)
                     ids, trains, texts, size = [], [], [], 0
                 ids.append(doc_id)
                 trains.append(train)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield from one(f"{part}-{next(number)}", ids, trains, texts)
+            yield from one(next(number), ids, trains, texts)
 
     return docs.select("doc_id", "train", "text").mapInArrow(run, BLOCK_SCHEMA)
 
@@ -213,7 +223,7 @@ def baum_welch(texts: DataFrame, class_counts: np.ndarray, states: int = STATES,
 
         def add_up(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
             start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
-            for _, sequences in batches_of(batches, "classes"):
+            for _, sequences in batches_of(batches, "classes", 3 * BLOCK_TOKENS):
                 s, m, e, _ = model.expected(sequences)
                 start, moves, emissions = start + s, moves + m, emissions + e
             flat = np.concatenate([start, moves.ravel(), emissions.ravel()])
@@ -234,8 +244,8 @@ def score_texts(docs: DataFrame, train: Column, states: int = STATES, rounds: in
     """(doc_id, text) to doc_id, train, n_tokens, n_known, train_tokens, base_score and score."""
     blocks = materialise(blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")), "hmm-blocks")
     texts, tokens = blocks.filter("kind = 0").select("block", "doc", "doc_id", "train", "n", "classes"), blocks.filter("kind = 1")
-    counts = materialise(tokens.filter("train_count > 0").groupBy("token", "class").agg(F.sum("train_count").alias("c")), "hmm-counts")
-    per_class = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
+    counts = materialise(tokens.filter("train_count > 0").groupBy("token").agg(F.sum("train_count").alias("c")), "hmm-counts")
+    per_class = counts.groupBy((F.crc32("token") % CLASSES).cast("int").alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
     class_counts, class_tokens = np.zeros(CLASSES), np.zeros(CLASSES)
     class_counts[per_class["class"]], class_tokens[per_class["class"]] = per_class.c, per_class.v
     total, distinct = int(class_counts.sum()), int(class_tokens.sum())
@@ -245,28 +255,31 @@ def score_texts(docs: DataFrame, train: Column, states: int = STATES, rounds: in
     share = np.log10(class_counts + SMOOTH * (class_tokens + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sequences in batches_of(batches, "classes", BLOCK_TOKENS):
+        for rows, sequences in batches_of(batches, "classes", 3 * BLOCK_TOKENS):
             scores = model.log_likelihoods(sequences) - np.array([share[s].sum() for s in sequences])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in (("block", pa.string()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()))] + [pa.array(scores)],
+                [pa.array([r[k] for r in rows], t) for k, t in (("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()))] + [pa.array(scores)],
                 ["block", "doc", "doc_id", "train", "n", "part"],
             )
 
-    parts = texts.mapInArrow(run, "block string, doc int, doc_id long, train boolean, n long, part double")
+    parts = texts.mapInArrow(run, "block long, doc int, doc_id long, train boolean, n long, part double")
 
     def add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, known = np.zeros(0), np.zeros(0, dtype=np.int64)
+        logs, known = np.zeros(MOST_DOCS + 1), np.zeros(MOST_DOCS + 1, dtype=np.int64)
+        size = 0
         for batch in batches:
-            docs_, times = pc.list_flatten(batch.column("docs")).to_numpy(), pc.list_flatten(batch.column("times")).to_numpy()
-            c = np.repeat(batch.column("c").to_numpy(), pc.list_value_length(batch.column("docs")).to_numpy())
-            size = max(len(logs), int(docs_.max()) + 1) if len(docs_) else len(logs)
-            logs, known = np.pad(logs, (0, size - len(logs))), np.pad(known, (0, size - len(known)))
-            logs += np.bincount(docs_, weights=times * np.log10(c + SMOOTH), minlength=size)
-            known += np.bincount(docs_, weights=times * (c > 0), minlength=size).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(logs), pa.string()), pa.array(np.arange(len(logs), dtype=np.int32)), pa.array(logs), pa.array(known)], ["block", "doc", "logs", "known"])
-
-    found = tokens.select("block", "token", "docs", "times").join(counts.select("token", "c"), "token", "left").select("block", "docs", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("block").applyInArrow(add_up, "block string, doc int, logs double, known long")
+            held = batch.column("held")
+            lengths = pc.binary_length(held).to_numpy() // ENTRY.itemsize
+            entries = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), b"")[0].as_buffer(), dtype=ENTRY)
+            c = np.repeat(batch.column("c").to_numpy(), lengths)
+            some = np.bincount(entries["doc"], weights=entries["times"] * np.log10(c + SMOOTH))
+            logs[: len(some)] += some
+            known[: len(some)] += np.bincount(entries["doc"], weights=entries["times"] * (c > 0)).astype(np.int64)
+            size = max(size, len(some))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, key[0].as_py())), pa.array(np.arange(size, dtype=np.int32)), pa.array(logs[:size]), pa.array(known[:size])], ["block", "doc", "logs", "known"])
+
+    found = tokens.select("block", "token", "held").join(counts, "token", "left").select("block", "held", F.coalesce("c", F.lit(0)).alias("c"))
+    sums = found.groupBy("block").applyInArrow(add_up, "block long, doc int, logs double, known long")
     all_tokens = math.log10(total + SMOOTH * (distinct + 1))
     return parts.join(sums, ["block", "doc"]).select(
         "doc_id", "train", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
