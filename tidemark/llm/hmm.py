@@ -240,6 +240,50 @@ def baum_welch(texts: DataFrame, class_counts: np.ndarray, states: int = STATES,
     return model
 
 
+SUMS = "block long, docs binary, logs binary, known binary"
+
+
+def combined(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (block, held, c) to sums by block and document, of some millions of entries at a time: what is shuffled is sums, not tokens."""
+
+    def emit(parts: list) -> pa.RecordBatch:
+        block, doc, logs, known = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((doc, block))
+        block, doc, logs, known = block[order], doc[order], logs[order], known[order]
+        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])])) if len(block) else np.zeros(0, np.int64)
+        if len(new):
+            block, doc, logs, known = block[new], doc[new], np.add.reduceat(logs, new), np.add.reduceat(known, new)
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+        spans = list(zip(cuts, [*cuts[1:], len(block)]))
+        cells = [[x[a:b].astype(t).tobytes() for a, b in spans] for x, t in ((doc, "<u2"), (logs, "<f8"), (known, "<u4"))]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int64()), *[pa.array(c, pa.binary()) for c in cells]], ["block", "docs", "logs", "known"])
+
+    parts, size = [], 0
+    for batch in batches:
+        held = batch.column("held")
+        lengths = pc.binary_length(held).to_numpy() // ENTRY.itemsize
+        entries = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), b"")[0].as_buffer(), dtype=ENTRY)
+        c, times = np.repeat(batch.column("c").to_numpy(), lengths), entries["times"].astype(np.int64)
+        parts.append((np.repeat(batch.column("block").to_numpy(), lengths), entries["doc"], times * np.log10(c + SMOOTH), times * (c > 0)))
+        size += len(entries)
+        if size >= most:
+            yield emit(parts)
+            parts, size = [], 0
+    yield emit(parts)
+
+
+def block_sums(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of one block by document."""
+    logs, known, size = np.zeros(MOST_DOCS + 1), np.zeros(MOST_DOCS + 1, dtype=np.int64), 0
+    for batch in batches:
+        for docs, some, n in zip(batch.column("docs"), batch.column("logs"), batch.column("known")):
+            at = np.frombuffer(docs.as_buffer(), dtype="<u2")  # each document once
+            logs[at] += np.frombuffer(some.as_buffer(), dtype="<f8")
+            known[at] += np.frombuffer(n.as_buffer(), dtype="<u4")
+            size = max(size, int(at[-1]) + 1)  # in order, and never none
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, key[0].as_py())), pa.array(np.arange(size, dtype=np.int32)), pa.array(logs[:size]), pa.array(known[:size])], ["block", "doc", "logs", "known"])
+
+
 def score_texts(docs: DataFrame, train: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text) to doc_id, train, n_tokens, n_known, train_tokens, base_score and score."""
     blocks = materialise(blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")), "hmm-blocks")
@@ -264,22 +308,8 @@ def score_texts(docs: DataFrame, train: Column, states: int = STATES, rounds: in
 
     parts = texts.mapInArrow(run, "block long, doc int, doc_id long, train boolean, n long, part double")
 
-    def add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, known = np.zeros(MOST_DOCS + 1), np.zeros(MOST_DOCS + 1, dtype=np.int64)
-        size = 0
-        for batch in batches:
-            held = batch.column("held")
-            lengths = pc.binary_length(held).to_numpy() // ENTRY.itemsize
-            entries = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), b"")[0].as_buffer(), dtype=ENTRY)
-            c = np.repeat(batch.column("c").to_numpy(), lengths)
-            some = np.bincount(entries["doc"], weights=entries["times"] * np.log10(c + SMOOTH))
-            logs[: len(some)] += some
-            known[: len(some)] += np.bincount(entries["doc"], weights=entries["times"] * (c > 0)).astype(np.int64)
-            size = max(size, len(some))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, key[0].as_py())), pa.array(np.arange(size, dtype=np.int32)), pa.array(logs[:size]), pa.array(known[:size])], ["block", "doc", "logs", "known"])
-
     found = tokens.select("block", "token", "held").join(counts, "token", "left").select("block", "held", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("block").applyInArrow(add_up, "block long, doc int, logs double, known long")
+    sums = found.mapInArrow(combined, SUMS).groupBy("block").applyInArrow(block_sums, "block long, doc int, logs double, known long")
     all_tokens = math.log10(total + SMOOTH * (distinct + 1))
     return parts.join(sums, ["block", "doc"]).select(
         "doc_id", "train", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
