@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -83,3 +85,15 @@ def prefix_sums(df: DataFrame, group: str | None, key: str, value: str, out: str
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop("_g", "_b", "_base")
     )
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of Arrow batches with their texts (a null one is empty), of about ``most`` characters and one text at least, so that what a task makes of them stays small."""
+    for batch in batches:
+        texts, size, start = [], 0, 0
+        for i, cell in enumerate(batch.column(column)):
+            texts.append(cell.as_py() or "")
+            size += len(texts[-1])
+            if size >= most or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), texts
+                texts, size, start = [], 0, i + 1

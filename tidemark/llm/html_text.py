@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, table, text_slices
 
 #: A subtree is template if it is on at least so many pages of its host, and on that share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.02
@@ -165,8 +165,8 @@ def parse_pages(rows: DataFrame) -> DataFrame:
     """(uid, html) to (uid, blocks)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = [page_blocks(html.as_py() or "") for html in batch.column("html")]
+        for batch, pages in text_slices(batches, "html"):
+            blocks = [page_blocks(html) for html in pages]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(blocks, pa.list_(BLOCK))], ["uid", "host", "keep", "blocks"])
 
     keep = rows.schema["keep"].dataType.simpleString()

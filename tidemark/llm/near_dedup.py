@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, table, text_slices
 from tidemark.llm.components import connected_components
 
 SHINGLE, SIMILARITY, TREES, DEPTH, RECALL, SEED = 5, Fraction(4, 5), 24, 8, 0.9999, 11
@@ -108,24 +108,12 @@ class Forest:
         return name.view(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with their texts, of about ``most`` bytes, so that the arrays made of them stay small."""
-    for batch in batches:
-        texts, size, start = [], 0, 0
-        for i, cell in enumerate(batch.column("text")):
-            texts.append((cell.as_py() or "").encode())
-            size += len(texts[-1])
-            if size >= most or i + 1 == batch.num_rows:
-                yield batch.slice(start, i + 1 - start), texts
-                texts, size, start = [], 0, i + 1
-
-
 def labelled(docs: DataFrame, forest: Forest) -> DataFrame:
     """(key, doc_id, text) to (key, doc_id, set, nodes): the digest of the shingle set and its node in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _pieces(batches):
-            hashes, counts = shingle_hashes(texts)
+        for batch, texts in text_slices(batches):
+            hashes, counts = shingle_hashes([t.encode() for t in texts])
             ends = np.cumsum(counts)
             sets = [hashlib.blake2b(np.unique(hashes[e - n : e]).tobytes(), digest_size=16).hexdigest() for e, n in zip(ends, counts)]
             some = np.flatnonzero(counts)
@@ -142,8 +130,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(set, component, text, ...) to (set, component, copies, shingles): the sorted distinct hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _pieces(batches):
-            hashes, counts = shingle_hashes(texts)
+        for batch, texts in text_slices(batches):
+            hashes, counts = shingle_hashes([t.encode() for t in texts])
             cells = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(np.cumsum(counts), counts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("set", "component", "copies")] + [pa.array(cells, pa.binary())], ["set", "component", "copies", "shingles"])
 

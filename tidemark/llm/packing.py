@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_key, materialise, table, u32
+from tidemark.llm.common import hash_key, materialise, table, text_slices, u32
 
 LENGTH, END_ID, DIMS, BITS, SEED = 2048, 1, 3, 16, 20_25
 #: A stretch without white space of over this length goes to the library whose merging is not quadratic in it.
@@ -45,12 +45,16 @@ def encoder(name: str):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    full.encode_special_tokens = True
+
+    @lru_cache(maxsize=1)
+    def full() -> Tokenizer:
+        out = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        out.encode_special_tokens = True
+        return out
 
     def encode(text: str) -> list[int]:
         if LONG_STRETCH.search(text):
-            return full.encode(text, add_special_tokens=False).ids
+            return full().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -102,8 +106,8 @@ def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = EN
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        for batch in batches:
-            ids = [np.array([*tokens(text.as_py() or ""), end_id], dtype="<u4") for text in batch.column("text")]
+        for batch, texts in text_slices(batches):
+            ids = [np.array([*tokens(text), end_id], dtype="<u4") for text in texts]
             keys = hilbert(curve_points(ids)) if ids else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
