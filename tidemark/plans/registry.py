@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import core_queries
+
+MODULES = (core_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
