@@ -96,7 +96,8 @@ def analysis_score(reports: DataFrame) -> DataFrame:
     """GT05: six measures of a situation analysis, their weighted sum and whether it passes."""
     text = F.coalesce("markdown", F.lit(""))
     headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+(.+)"), 1), lambda h: F.lower(h))
-    present = sum((F.exists(headings, lambda h, s=s: h.contains(s.lower())).cast("int") for s in ANALYSIS_SECTIONS), F.lit(0))
+    has = lambda name: F.exists(headings, lambda h: h.contains(name.lower())).cast("int")
+    present = sum((has(name) for name in ANALYSIS_SECTIONS), F.lit(0))
     cells = r"(?m)\|\s*\*{0,2}(\w[\w\s]*?)\*{0,2}\s*\|\s*([\d,]+)\s*"
     labels = F.transform(F.regexp_extract_all(text, F.lit(cells), 1), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("_")))
     values = F.transform(F.regexp_extract_all(text, F.lit(cells), 2), lambda x: F.coalesce(F.try_to_number(F.replace(x, F.lit(","), F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0)))

@@ -92,6 +92,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("citations", F.array_repeat(F.lit("c"), F.col("n_citations")))
 
 
+def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose text is made once a row: behind a generator, for else the optimizer would write its long expression into every place that reads it."""
+    return events(spark, sf_dir).select("*", F.explode(F.array("text")).alias("_text")).drop("text").withColumnRenamed("_text", "text")
+
+
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a cycle with its counters."""
     return events(spark, sf_dir).groupBy("cycle_id").agg(
