@@ -1,16 +1,17 @@
 """Operator 10, main text of web pages by removal of site templates.
 
-Every page is parsed once to its text blocks and the hashes of the element subtrees around them. Spark counts in how many pages
-of a host each subtree occurs; subtrees that recur across many pages of their host are template and go with all their blocks.
+Every page is parsed once to its text blocks and the hashes of the element subtrees around them. Spark counts in how many
+different pages of a host each subtree occurs (copies of a page count once, for their content recurs too); subtrees that recur
+across many pages of their host are template and go with all their blocks.
 Elements that say what they are (menus, footers, adverts, forms, scripts, comments and the like) go on any page, for hosts of
 few pages have nothing that recurs. Of what is left, the text of the page's article or main element is taken if it has one.
 
 Inside an article, paragraphs that many pages share (a licence line, a quoted passage) are text and stay; there only a
-container with less than half of the article's text is taken for template.
+div or section with less than half of the article's text is taken for template.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host belongs to the host ""; an empty
-table gives an empty result; repeated rows each count as a page; where all blocks of a page would go as template, as on pages
-without an article that are copies of one another, they stay; further columns are not read.
+table gives an empty result; repeated rows are one page to the counts, and each gets its text; where all blocks of a page would
+go as template they stay; further columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = frozenset("div section ul ol dl table figure details fieldset header".split())
+CONTAINERS = frozenset(("div", "section"))
 #: A start tag of the key closes an open element of the values, up to the nearest of the stops.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("html body article main section div ul ol dl table td th blockquote aside nav footer header form figure".split())
@@ -162,15 +163,16 @@ BLOCK = pa.struct([("text", pa.string()), ("main", pa.bool_()), ("hashes", pa.li
 
 
 def parse_pages(rows: DataFrame) -> DataFrame:
-    """(uid, html) to (uid, blocks)."""
+    """(uid, host, keep, html) to (uid, host, keep, page, blocks); ``page`` is a hash of all text blocks."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, pages in text_slices(batches, "html"):
             blocks = [page_blocks(html) for html in pages]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(blocks, pa.list_(BLOCK))], ["uid", "host", "keep", "blocks"])
+            page = [xxhash.xxh64_intdigest("\x00".join(b["text"] for b in bs)) - (1 << 63) for bs in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(page, pa.int64()), pa.array(blocks, pa.list_(BLOCK))], ["uid", "host", "keep", "page", "blocks"])
 
     keep = rows.schema["keep"].dataType.simpleString()
-    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, blocks array<struct<text:string,main:boolean,hashes:array<bigint>>>")
+    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, page long, blocks array<struct<text:string,main:boolean,hashes:array<bigint>>>")
 
 
 def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -180,10 +182,10 @@ def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES,
         F.monotonically_increasing_id().alias("uid"), host.alias("host"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("keep"), "html"
     )
     parsed = materialise(parse_pages(rows), "page-blocks")
-    subtrees = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))).alias("hash"))
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    subtrees = parsed.select("uid", "host", "page", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))).alias("hash"))
+    hosts = parsed.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     recurring = materialise(
-        subtrees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+        subtrees.groupBy("host", "hash").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= least_pages)
         .join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash"), "page-templates"
     )
     found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("hash").alias("template"))
