@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body reads it.
+
+    Inside array functions with a lambda Spark does not find common subexpressions; a lambda's variable does that work.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalize(text: Column) -> Column:
     """SC01: lower case, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

@@ -9,7 +9,7 @@ from tidemark.dims import (
     ACTORS, CONNECTOR_WEIGHTS, EVENT_SEVERITY, FOCUS_CONNECTORS, HAZARD_CATEGORIES, HUMANITARIAN_FOCUS, IMPACTS, NEEDS, RISKS, SEVERITY_LEVELS, SEVERITY_PHASES, SUB_HAZARDS,
     TIER_CONNECTORS, TIER_DOMAINS, TIER_LABELS, TIER_SOURCE_TYPES, TIER_WEIGHTS, inverted, lookup,
 )
-from tidemark.functions.text import contains_any, count_terms, normalize
+from tidemark.functions.text import contains_any, count_terms, let, normalize
 
 
 def _ladder(text: Column, steps: dict, default) -> Column:
@@ -37,15 +37,18 @@ def source_confidence(source_type: Column) -> Column:
 
 def impact_scores(text: Column) -> Column:
     """Array of struct<score, first, label> of the impact types with a hit; a sort of it puts the best and then the first last."""
-    t = F.lower(text)
-    each = F.array(*[F.struct(count_terms(t, terms).alias("score"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(IMPACTS.items())])
-    return F.filter(each, lambda x: x["score"] > 0)
+
+    def scores(t: Column) -> Column:
+        each = F.array(*[F.struct(count_terms(t, terms).alias("score"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(IMPACTS.items())])
+        return F.filter(each, lambda x: x["score"] > 0)
+
+    return let(F.lower(text), scores)
 
 
 def all_impacts(text: Column) -> Column:
     """PR12: impact types by descending number of words, list order among equals; people_impact if there is none."""
     ordered = F.transform(F.reverse(F.sort_array(impact_scores(text))), lambda x: x["label"])
-    return F.when(F.size(ordered) > 0, ordered).otherwise(F.array(F.lit("people_impact")))
+    return let(ordered, lambda labels: F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("people_impact"))))
 
 
 def main_impact(text: Column) -> Column:
@@ -55,8 +58,7 @@ def main_impact(text: Column) -> Column:
 
 def needs(text: Column) -> Column:
     """PR13: need types with a hit, in list order."""
-    t = F.lower(text)
-    return F.array_compact(F.array(*[F.when(contains_any(t, terms), F.lit(label)) for label, terms in NEEDS.items()]))
+    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, terms), F.lit(label)) for label, terms in NEEDS.items()])))
 
 
 def is_risk(text: Column) -> Column:
@@ -77,8 +79,7 @@ def actor(text: Column) -> Column:
 
 def sub_hazards(text: Column) -> Column:
     """PR17."""
-    t = F.lower(text)
-    return F.array_compact(F.array(*[F.when(t.contains(s), F.lit(s)) for s in SUB_HAZARDS]))
+    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(t.contains(s), F.lit(s)) for s in SUB_HAZARDS])))
 
 
 def hazard_category(hazard: Column) -> Column:

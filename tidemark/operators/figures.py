@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # The patterns and what their labels count.
 NUMBER_LABEL = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(people|persons|individuals|deaths|dead|killed|displaced|injured|missing|houses|homes|affected|families|households|children|schools|health\s*facilit)"
 TOLL = r"(?i)(?:death\s+toll|toll)\s+(?:rises?\s+to|hits?|reaches?|climbs?\s+to|stands?\s+at|now)\s+(\d[\d,]*)|(?:kills?|killed)\s+(\d[\d,]*)"
@@ -52,6 +54,10 @@ def figures(items: DataFrame, text: str, *ids: str) -> DataFrame:
 
 def figure_map(text: Column) -> Column:
     """map<key, value> of one text, without a shuffle."""
-    found = figure_mentions(text)
-    keys = F.array_distinct(F.transform(found, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(found, lambda x: x["key"] == k), lambda x: x["value"]))))
+
+    def largest(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda x: x["key"]))
+        of = lambda k: F.array_max(F.transform(F.filter(found, lambda x: x["key"] == k), lambda x: x["value"]))
+        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, of)))
+
+    return let(figure_mentions(text), largest)

@@ -15,11 +15,13 @@ from tidemark.operators.figures import figure_map
 
 def annotate(evidence: DataFrame) -> DataFrame:
     """ON01: all labels of an evidence row in one pass; persist it and take one node table after another from it."""
-    text = F.concat_ws(" ", "title", "summary", "text")
-    return evidence.withColumns({
+    # The joined text stands behind a generator, so that the nine expressions that read it do not each make it anew.
+    joined = evidence.select("*", F.explode(F.array(F.concat_ws(" ", "title", "summary", "text"))).alias("_all"))
+    text = F.col("_all")
+    return joined.withColumns({
         "impact_types": all_impacts(text), "need_types": needs(text), "risk": is_risk(text), "horizon": risk_horizon(text), "actor": actor(text), "sub_hazards": sub_hazards(text),
         "figures": figure_map(text), "severity_phase": severity_to_phase(F.col("severity")), "reported_date": to_ymd(F.col("published_at")),
-    })
+    }).drop("_all")
 
 
 def claims(annotated: DataFrame) -> DataFrame:
@@ -27,18 +29,18 @@ def claims(annotated: DataFrame) -> DataFrame:
     return annotated.select("event_id", F.substring(F.concat_ws(": ", "title", "summary"), 1, 500).alias("claim_text"), "url", "source_label", "connector", "published_at", "confidence")
 
 
-def impacts(annotated: DataFrame) -> DataFrame:
-    """ON02: an impact for each type; figures stand with the first one only, so that none is counted twice."""
+def impacts(annotated: DataFrame, *keep: str) -> DataFrame:
+    """ON02: an impact for each type, with any further columns; figures stand with the first one only, so that none is counted twice."""
     each = annotated.select("*", F.posexplode("impact_types").alias("pos", "impact_type"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     return each.select(
-        "event_id", "pos", "impact_type", "geo_area", "severity_phase", F.substring("summary", 1, 300).alias("description"), F.when(F.col("pos") == 0, F.col("figures")).otherwise(none).alias("figures"), "reported_date", "source_label", "connector", "url"
+        "event_id", "pos", "impact_type", "geo_area", "severity_phase", F.substring("summary", 1, 300).alias("description"), F.when(F.col("pos") == 0, F.col("figures")).otherwise(none).alias("figures"), "reported_date", "source_label", "connector", "url", *keep
     )
 
 
-def need_statements(annotated: DataFrame) -> DataFrame:
+def need_statements(annotated: DataFrame, *keep: str) -> DataFrame:
     """ON01, ON06: a need for each type."""
-    return annotated.select("event_id", F.explode("need_types").alias("need_type"), "geo_area", "severity_phase", F.get("impact_types", 0).alias("indicates_impact"), F.substring("summary", 1, 200).alias("description"), "reported_date")
+    return annotated.select(*keep, "event_id", F.explode("need_types").alias("need_type"), "geo_area", "severity_phase", F.get("impact_types", 0).alias("indicates_impact"), F.substring("summary", 1, 200).alias("description"), "reported_date")
 
 
 def risk_statements(annotated: DataFrame) -> DataFrame:

@@ -55,8 +55,7 @@ def _annotated(spark, sf_dir):
 
 
 def _impacts(spark, sf_dir):
-    annotated = _annotated(spark, sf_dir)
-    return ontology.impacts(annotated).join(annotated.select("event_id", "id", "admin_level", F.col("published_at").alias("_p")), "event_id")
+    return ontology.impacts(_annotated(spark, sf_dir), "id", "admin_level")
 
 
 @query("on02_impact_fanout", f"WITH {_BASE} SELECT ix.id, pos, impact_type, coalesce(CASE WHEN pos = 0 THEN (SELECT count(*) FROM fg WHERE fg.id = ix.id) END, 0) AS figures FROM ix")
@@ -66,8 +65,7 @@ def on02(spark, sf_dir):
 
 @query("on01_needs", f"WITH {EV}, {_GEO}, {_EVG}, n AS (SELECT id, geo_area, unnest(string_split({_NEEDS}, ',')) AS need_type FROM evg) SELECT * FROM n WHERE need_type <> ''")
 def on01n(spark, sf_dir):
-    annotated = _annotated(spark, sf_dir)
-    return ontology.need_statements(annotated).join(annotated.select("event_id", "id"), "event_id").select("id", "geo_area", "need_type")
+    return ontology.need_statements(_annotated(spark, sf_dir), "id").select("id", "geo_area", "need_type")
 
 
 @query("on01_risks", f"WITH {EV}, {_GEO}, {_EVG} SELECT event_id, disaster_type AS hazard_name, geo_area, CASE WHEN regexp_matches(lower(text), '7 day|7-day|week') THEN '7d' ELSE '48h' END AS horizon FROM evg WHERE {_any(dims.RISKS, 'lower(text)')}")
