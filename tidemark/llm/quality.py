@@ -103,16 +103,16 @@ def thresholds(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The fences that hold for each (lang, source) in ``features``; a group's own, or its language's, or the table's."""
     counts = materialise(sketches(features), "sketches")
     groups = features.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    own, lang, everything = fences(counts, ["lang", "source"]), fences(counts, ["lang"]), fences(counts.withColumn("_t", F.lit(1)), ["_t"])
+    own, lang = fences(counts, ["lang", "source"]), fences(counts, ["lang"])
+    everything = fences(counts.withColumn("_t", F.lit(1)), ["_t"]).first()  # one row, of a few numbers
     names = ["rows", *(f"{side}_{k}" for k in METRICS for side in ("lo", "hi"))]
     joined = (
         groups.alias("g")
         .join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
         .join(lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
-        .join(F.broadcast(everything.alias("e")), F.lit(1) == F.col("e._t"), "left")  # one row
     )
     level = F.when(F.col("o.rows") >= least_rows, "source").when(F.col("l.rows") >= least_rows, "lang").otherwise("all")
-    pick = lambda c: F.when(F.col("_level") == "source", F.col(f"o.{c}")).when(F.col("_level") == "lang", F.col(f"l.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
+    pick = lambda c: F.when(F.col("_level") == "source", F.col(f"o.{c}")).when(F.col("_level") == "lang", F.col(f"l.{c}")).otherwise(F.lit(everything[c] if everything else None).cast("double")).alias(c)
     return joined.withColumn("_level", level).select("g.lang", "g.source", F.col("_level").alias("threshold_level"), *[pick(c) for c in names[1:]])
 
 
