@@ -102,15 +102,17 @@ def curve_points(ids: list[np.ndarray], dims: int = DIMS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, key, ids): ids as little-endian unsigned 32-bit numbers, the end id last."""
+    """(doc_id, text) to (doc_id, n, key, ids): ids as little-endian unsigned numbers of 16 bits, or 32 where one needs it, the end id last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
         for batch, texts in text_slices(batches):
             ids = [np.array([*tokens(text), end_id], dtype="<u4") for text in texts]
+            # A document of ids below 65,536 is kept in two bytes an id, for it is written and shuffled once.
+            cells = [(x.astype("<u2") if x.max() < 65_536 else x).tobytes() for x in ids]
             keys = hilbert(curve_points(ids)) if ids else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array(cells, pa.binary())],
                 ["doc_id", "n", "key", "ids"],
             )
 
@@ -149,11 +151,12 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k",
                 if r.as_py() != current:
                     current = r.as_py()
                     at = before[current]
-                doc, n, key, ids, start = doc.as_py(), n.as_py(), key.as_py(), memoryview(ids.as_buffer()), 0
+                doc, n, key, cell, start = doc.as_py(), n.as_py(), key.as_py(), ids.as_buffer(), 0
+                ids = np.frombuffer(cell, "<u2" if cell.size == 2 * n else "<u4").astype("<u4")
                 while start < n:
                     size = min(n - start, length - at % length)
-                    piece = ids[4 * start : 4 * (start + size)]
-                    out.append((doc, start, size, zlib.crc32(piece), n, at // length, at % length, key, *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else [])))
+                    piece = ids[start : start + size]
+                    out.append((doc, start, size, zlib.crc32(piece), n, at // length, at % length, key, *([piece.astype(np.int32)] if with_ids else [])))
                     start, at = start + size, at + size
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
