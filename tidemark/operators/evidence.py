@@ -25,15 +25,23 @@ def last_item_texts(events: DataFrame, items: DataFrame) -> DataFrame:
     return events.join(last, "url", "left")
 
 
-def facets(events: DataFrame) -> DataFrame:
+#: Facet values up to which their counts are broadcast.
+MOST_FACETS = 100_000
+
+
+def facets(events: DataFrame, names: tuple[str, ...] = ("country", "disaster_type", "connector")) -> DataFrame:
     """AG10, WN04: add how many events, before any filter, share the country, the hazard and the connector.
 
-    Counted apart and joined back: a window over a column of few values would put all its rows in few tasks.
+    All counts come from one pass with a map-side part. They are broadcast if there are few, which is checked, for a shuffle
+    by a column of few values would put the events in few tasks; beyond that they are joined by a shuffle that can be split.
     """
+    each = F.array(*[F.struct(F.lit(n).alias("facet"), F.lower(n).alias("value")) for n in names])
+    counts = events.select(F.explode(each).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n")).persist()
+    few = counts.count() <= MOST_FACETS
     out = events
-    for name in ("country", "disaster_type", "connector"):
-        counts = events.groupBy(F.lower(name).alias(f"_{name}")).agg(F.count(F.lit(1)).alias(f"facet_{name}"))
-        out = out.join(counts, F.lower(out[name]) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    for name in names:
+        own = counts.filter(F.col("facet") == name).select(F.col("value").alias(f"_{name}"), F.col("n").alias(f"facet_{name}"))
+        out = out.join(F.broadcast(own) if few else own, F.lower(out[name]) == F.col(f"_{name}"), "left").drop(f"_{name}")
     return out
 
 
