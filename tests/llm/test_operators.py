@@ -106,6 +106,30 @@ def test_toxicity_held_out(spark, tmp_path):
     assert all("vile" in text[r.doc_id][p.start : p.end] or "grott" in text[r.doc_id][p.start : p.end] for r in toxic for p in r.passages)
 
 
+def test_toxicity_rare_words_in_many_rows(spark, tmp_path):
+    """A word of three toxic training rows and no clean one counts, however many other words the training rows hold."""
+    rng = random.Random(8)
+    common = [a + b + c for a in WORDS[:20] for b in WORDS[20:40] for c in WORDS[40:60]]
+    rare = ["x" + a + b + "vile" for a in "qwz" for b in "bcdfghjk"]
+    docs, labels, seen = [], [], dict.fromkeys(rare, 0)
+    for i in range(3000):
+        words = rng.sample(common, 500)
+        if i % 10 == 0:
+            held_out = zlib.crc32(str(i).encode()) % 3 == 1
+            left = [w for w in rare if held_out or seen[w] < 3]
+            for w in left[:4]:
+                words.insert(250, w)
+                seen[w] += not held_out
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 10 == 0)))
+    assert set(seen.values()) == {3}
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [r for r in toxicity.op1_toxicity(spark, str(tmp_path)).collect() if r.held_out and r.doc_id % 10 == 0]
+    text = dict(docs)
+    assert rows and all(any("vile" in text[r.doc_id][p.start : p.end] for p in r.passages) for r in rows)
+
+
 # --- quality
 
 

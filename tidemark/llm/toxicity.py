@@ -8,9 +8,10 @@ evidence. The best segment's score is set against what chance gives in a text of
 and Altschul, its parameters from texts that are not toxic), and that is calibrated to a probability on the training rows,
 each scored without its own counts.
 
-The training rows are labelled rows, a bounded sample of ``max_labels`` by hash where there are more. The word table is bounded
-by ``max_terms``: a word is kept if it makes up one in ``max_terms`` of all words or of those of toxic rows, or its shorter
-prefixes stand for it.
+The training rows are labelled rows, a bounded sample of ``max_labels`` by hash where there are more. Their words and prefixes
+are not bounded: each one that is in ``LEAST_ROWS`` rows counts, at every size. Counts and scores of words are written tables;
+what a task holds is a bitmap of the hashes of words that score, of ``MOST_BITS`` at most. Words that it lets through are joined
+with the scores, so a full bitmap costs time and no result.
 
 Defined results: a null or empty text has no segment and the lowest score; without labelled rows every score is 0; repeated
 labels of a document count once, as toxic if any is; an empty table gives an empty result; further columns are not read.
@@ -22,54 +23,49 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import hash_key, materialise, table, u32
 
-MAX_LABELS, MAX_TERMS, CUT = 200_000, 1 << 15, 0.7
+MAX_LABELS, LEAST_ROWS, CUT = 200_000, 2, 0.7
 PREFIXES = (3, 4, 5, 6, 7)
 PRIOR, DRIFT, EVIDENCE, MOST = 4.0, 0.04, 2.0, 6.0
 LETTERS = re.compile(r"[^\W\d_]+")
+PARTS = re.compile(r"([^\W\d_]+)")
 SIGNIFICANT = 0.05
-#: A feature's two counts are one number, toxic * ROWS + rows.
-ROWS = 1 << 40
+MOST_BITS = 1 << 26
 
 
 def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def features(word: str) -> list[str]:
-    """The word's prefixes, shortest first, marked as such, and the word itself."""
-    return [word[:k] + "*" for k in PREFIXES if k < len(word)] + [word]
+def features(word: str) -> Column:
+    """The word's prefixes, marked as such, and the word itself."""
+    prefixes = [F.when(F.char_length(word) > k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]
+    return F.filter(F.array(*prefixes, F.col(word)), lambda x: x.isNotNull())
 
 
-class WordScores(dict):
-    """Log-odds of words, made when first asked for; 0 for those with little evidence.
+def word_score(found: list[tuple[int, int]], base: float, own: int | None = None) -> float:
+    """Log-odds of a word from (toxic, rows) of those of its features that are known, shortest first; 0 for little evidence.
 
     ``own`` is the label of a row that is scored without its own counts, or None.
     """
-
-    def __init__(self, counts: dict[str, int], base: float, own: int | None = None):
-        super().__init__()
-        self.counts, self.base, self.own = counts, base, own
-
-    def __missing__(self, word: str) -> float:
-        own, one = (self.own, 1) if self.own is not None else (0, 0)
-        found = [divmod(x, ROWS) for f in features(word) if (x := self.counts.get(f))]
-        chain = [(max(t - own, 0), n - one) for t, n in found if n > one]
-        p = self.base
-        for i, (toxic, rows) in enumerate(chain):
-            # What the next longer feature has of these counts is its own evidence, not its prior's.
-            t, n = chain[i + 1] if i + 1 < len(chain) else (0, 0)
-            p = (max(toxic - t, 0) + PRIOR * p) / (max(rows - n, toxic - t, 0) + PRIOR)
-        odds = math.log(p / (1 - p)) - math.log(self.base / (1 - self.base))
-        self[word] = score = min(odds, MOST) if odds >= EVIDENCE else 0.0
-        return score
+    own, one = (own, 1) if own is not None else (0, 0)
+    chain = [(max(t - own, 0), n - one) for t, n in found if n > one]
+    p = base
+    for i, (toxic, rows) in enumerate(chain):
+        # What the next longer feature has of these counts is its own evidence, not its prior's.
+        t, n = chain[i + 1] if i + 1 < len(chain) else (0, 0)
+        p = (max(toxic - t, 0) + PRIOR * p) / (max(rows - n, toxic - t, 0) + PRIOR)
+    odds = math.log(p / (1 - p)) - math.log(base / (1 - base))
+    return min(odds, MOST) if odds >= EVIDENCE else 0.0
 
 
 def maximal_segments(evidence: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
@@ -97,13 +93,6 @@ def maximal_segments(evidence: list[tuple[int, float]], drift: float = DRIFT) ->
     return [(right - left, first, end) for left, right, first, end in found]
 
 
-def evidence_of(text: str | None, scores: WordScores) -> tuple[int, list[tuple[int, float]]]:
-    if len(scores) > 100_000:
-        scores.clear()
-    found = words(text)
-    return len(found), [(i, s) for i, s in enumerate(map(scores.__getitem__, found)) if s]
-
-
 def labelled(labels: DataFrame, train: Column, max_labels: int) -> DataFrame:
     """(doc_id, toxic), at most ``max_labels`` rows, chosen by hash."""
     once = labels.filter(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -113,26 +102,130 @@ def labelled(labels: DataFrame, train: Column, max_labels: int) -> DataFrame:
     return once
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(feature, toxic, rows): in how many rows' sets of words the feature occurs, over (text, toxic)."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, toxic, rows) for all words of (text, toxic): in how many labelled rows' sets of words each occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, toxic, fields = Counter(), Counter(), ["word", "toxic", "rows"]
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], fields)
+
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
                 seen = set(words(text.as_py()))
-                rows.update(seen)
+                if label is None:
+                    for word in seen:
+                        rows.setdefault(word, 0)
+                else:
+                    rows.update(seen)
                 if label:
                     toxic.update(seen)
                 if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], fields)
+                    yield counted()
                     rows, toxic = Counter(), Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(rows.values(), pa.int64())], fields)
+        yield counted()
+
+    return rows.select("text", "toxic").mapInArrow(count, "word string, toxic long, rows long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
 
-    each = train.select("text", "toxic").mapInArrow(count, "word string, toxic long, rows long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
-    prefixes = [F.when(F.char_length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES]
-    named = each.select(F.explode(F.filter(F.array("word", *prefixes), lambda x: x.isNotNull())).alias("feature"), "toxic", "rows")
-    return named.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
+
+def word_scores(counts: DataFrame, base: float) -> DataFrame:
+    """(word, at, score, score0, score1) of the words that score: as they are, and without the counts of a row of label 0 or 1."""
+    named = counts.filter("rows > 0").select(F.explode(features("word")).alias("feature"), "toxic", "rows")
+    known = named.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
+    each = counts.select("word", F.explode(features("word")).alias("feature")).join(known, "feature")
+    # A prefix is shorter than its word, and its mark does not make it longer than the word.
+    length = F.char_length("feature") - F.endswith("feature", F.lit("*")).cast("int")
+    chains = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(length.alias("length"), "toxic", "rows"))).alias("chain"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for word, chain in zip(batch.column("word").to_pylist(), batch.column("chain").to_pylist()):
+                found = [(x["toxic"], x["rows"]) for x in chain]
+                scores = [word_score(found, base, own) for own in (None, 0, 1)]
+                if any(scores):
+                    out.append((word, place_of(word), *scores))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.float64()] * 3))], ["word", "at", "score", "score0", "score1"])
+
+    # A word's rate is a mean of its links' rates and the base: where none reaches what EVIDENCE asks for, it scores nothing.
+    least = 1 / (1 + (1 - base) / base * math.exp(-EVIDENCE)) * (1 - 1e-9)
+
+    def reaches(x: Column, i: Column) -> Column:
+        longer = F.get("chain", i + 1)
+        t = x["toxic"] - F.coalesce(longer["toxic"], F.lit(0))
+        n = x["rows"] - F.coalesce(longer["rows"], F.lit(1))
+        return (t > 0) & (t >= least * F.greatest(n, t))
+
+    return chains.filter(F.size(F.filter("chain", reaches)) > 0).select("word", "chain").mapInArrow(score, "word string, at long, score double, score0 double, score1 double")
+
+
+def place_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) % MOST_BITS
+
+
+def bitmap(scored: DataFrame) -> np.ndarray:
+    """A bitmap of the words' places, of 16 bits a word and MOST_BITS at most; its size is a power of two."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * scored.count()).bit_length()))
+    place = F.col("at") % bits + 1
+    parts = scored.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for part, chunk in parts.toLocalIterator():
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(chunk, np.uint8)
+    return out
+
+
+def candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(uid, doc_id, toxic, text) to uid, doc_id, toxic, n (words) and found: the words in the bitmap with their places."""
+    FOUND = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    class Passes(dict):
+        def __missing__(self, word: str) -> bool:
+            at = place_of(word) % (8 * len(bits))
+            self[word] = passes = bool(bits[at >> 3] >> (at & 7) & 1)
+            return passes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = Passes()
+        for batch in batches:
+            n, found = [], []
+            for cell in batch.column("text"):
+                text = (cell.as_py() or "").lower()
+                if len(passes) > 100_000:
+                    passes.clear()
+                # What is between words, and the words, in turn.
+                parts = PARTS.split(text)
+                all_words = parts[1::2]
+                hits = [i for i, hit in enumerate(map(passes.__getitem__, all_words)) if hit]
+                ends = list(accumulate(map(len, parts))) if hits else []
+                n.append(len(all_words))
+                found.append([{"word": all_words[i], "place": i, "start": ends[2 * i], "end": ends[2 * i + 1]} for i in hits])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("toxic"), pa.array(n, pa.int64()), pa.array(found, FOUND)], ["uid", "doc_id", "toxic", "n", "found"])
+
+    return rows.select("uid", "doc_id", "toxic", "text").mapInArrow(run, "uid long, doc_id long, toxic int, n long, found array<struct<word:string,place:int,start:int,end:int>>")
+
+
+def segments(found: DataFrame, scored: DataFrame) -> DataFrame:
+    """``candidates`` to doc_id, toxic, n, segments, and of training rows best and evidence without their own counts."""
+    each = found.select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(scored.drop("at"), "word")
+    hits = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "score", "score0", "score1"))).alias("hits"))
+
+    SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_segments, best, evidence = [], [], []
+            for label, hits in zip(batch.column("toxic").to_pylist(), batch.column("hits").to_pylist()):
+                at = {h["place"]: h for h in hits or ()}
+                all_segments.append([{"start": at[i]["start"], "end": at[j]["end"], "score": s} for s, i, j in maximal_segments([(i, h["score"]) for i, h in at.items() if h["score"]])])
+                own = [(i, h["score1" if label else "score0"]) for i, h in at.items() if h["score1" if label else "score0"]] if label is not None else []
+                best.append(max((s for s, _, _ in maximal_segments(own)), default=0.0))
+                evidence.append([round(s, 1) for _, s in own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("n"), pa.array(all_segments, SEGMENTS), pa.array(best, pa.float64()), pa.array(evidence, pa.list_(pa.float64()))], ["doc_id", "toxic", "n", "segments", "best", "evidence"])
+
+    joined = found.drop("found").join(hits, "uid", "left").select("doc_id", "toxic", "n", "hits")
+    return joined.mapInArrow(run, "doc_id long, toxic int, n long, segments array<struct<start:int,end:int,score:double>>, best double, evidence array<double>")
 
 
 def karlin_altschul(histogram: dict[float, int], plain: int) -> float:
@@ -172,49 +265,22 @@ NOTHING, CERTAIN = -12.0, 15.0
 
 
 class ToxicityModel:
-    """Word counts, the extreme-value parameters and the calibration; its size is bounded by ``max_terms``."""
+    """The extreme-value parameters and the calibration."""
 
-    def __init__(self, counts: dict[str, int], base: float, lam: float = 1.0, k: float = 1.0, a: float = -30.0, b: float = 0.0):
-        self.counts, self.base, self.lam, self.k, self.a, self.b = counts, base, lam, k, a, b
+    def __init__(self, lam: float = 1.0, k: float = 1.0, a: float = -30.0, b: float = 0.0):
+        self.lam, self.k, self.a, self.b = lam, k, a, b
 
     def normalised(self, best: float, n: int) -> float:
         """Minus the log of the number of such segments that chance gives in n words."""
         return min(max(self.lam * best - math.log(self.k * max(n, 1)), NOTHING), CERTAIN) if best > 0 else NOTHING
 
     def probability(self, x: float) -> float:
-        return 1 / (1 + math.exp(-min(max(self.a + self.b * x, -30), 30))) if self.counts else 0.0
+        return 1 / (1 + math.exp(-min(max(self.a + self.b * x, -30), 30)))
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, train: Column, max_labels: int = MAX_LABELS, max_terms: int = MAX_TERMS) -> ToxicityModel:
-        # At most max_labels rows of two numbers, so the texts need not be shuffled to meet them.
-        rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, train, max_labels)), "doc_id").select("text", "toxic")
-        counts = materialise(word_counts(rows), "toxic-words")
-        toxic, total = counts.filter(~F.endswith("feature", F.lit("*"))).agg(F.sum("toxic"), F.sum("rows")).first()
-        if not toxic or toxic == total:
-            return cls({}, 0.5)
-        often = (F.col("rows") >= max(2, math.ceil(total / max_terms))) | (F.col("toxic") >= max(2, math.ceil(toxic / max_terms)))
-        kept = counts.filter(often).toPandas()
-        # Only features of twice the usual toxicity, and longer ones that qualify them, can change a score.
-        hot = set(kept.feature[kept.toxic * total > 2.0 * kept.rows * toxic])
-        useful = [f in hot or any(f[:k] + "*" in hot for k in PREFIXES if k < len(f) - f.endswith("*")) for f in kept.feature]
-        kept = kept[useful]
-        model = cls({f: int(t) * ROWS + int(n) for f, t, n in zip(kept.feature, kept.toxic, kept.rows)}, toxic / total)
-        return model.calibrated(rows)
-
-    def calibrated(self, rows: DataFrame) -> ToxicityModel:
-        counts, base = self.counts, self.base
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scores = {label: WordScores(counts, base, label) for label in (0, 1)}
-            for batch in batches:
-                out = []
-                for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                    n, evidence = evidence_of(text.as_py(), scores[int(bool(label))])
-                    out.append((int(bool(label)), n, max((s for s, _, _ in maximal_segments(evidence)), default=0.0), [round(s, 1) for _, s in evidence]))
-                columns = list(zip(*out)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.float64()))], ["toxic", "n", "best", "evidence"])
-
-        measured = materialise(rows.mapInArrow(measure, "toxic int, n long, best double, evidence array<double>"), "toxic-calibration")
+    def fit(cls, measured: DataFrame) -> ToxicityModel:
+        """From the training rows of ``segments``."""
+        self, measured = cls(), measured.filter("toxic IS NOT NULL")
         clean = measured.filter("toxic = 0")
         # Scores are rounded to tenths below MOST, so the histogram has at most 60 rows.
         histogram = {r[0]: r[1] for r in clean.select(F.explode("evidence").alias("s")).groupBy("s").count().collect()}
@@ -228,31 +294,35 @@ class ToxicityModel:
         self.a, self.b = logistic(bins.x.to_numpy(float), bins.ones.to_numpy(float), (bins.n - bins.ones).to_numpy(float))
         return self
 
-    def score(self, docs: DataFrame, passages: bool = True) -> DataFrame:
-        """(doc_id, text) to doc_id, score, n_segments and, if asked for, the significant passages by their places in the text."""
-        model = self
+    def score(self, found: DataFrame) -> DataFrame:
+        """``segments`` to doc_id, score, n_segments and the significant passages by their places in the text."""
+        model, PASSAGES = self, "array<struct<start:int,end:int,score:double>>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scores = WordScores(model.counts, model.base)
             for batch in batches:
-                score, segments, spans = [], [], []
-                for cell in batch.column("text"):
-                    text = cell.as_py()
-                    n, evidence = evidence_of(text, scores)
-                    found = maximal_segments(evidence)
-                    best = model.normalised(max((s for s, _, _ in found), default=0.0), n)
-                    strong = [x for x in found if model.normalised(x[0], n) >= -math.log(SIGNIFICANT)]
-                    score.append(model.probability(best))
-                    segments.append(len(strong))
-                    if passages:
-                        at = [(m.start(), m.end()) for m in LETTERS.finditer(text.lower())] if strong else []
-                        spans.append([{"start": at[i][0], "end": at[j][1], "score": s} for s, i, j in strong])
-                columns = [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(segments, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(spans, SPANS)] * passages, ["doc_id", "score", "n_segments"] + ["passages"] * passages)
-
-        SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        schema = "doc_id long, score double, n_segments int" + ", passages array<struct<start:int,end:int,score:double>>" * passages
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+                score, strong = [], []
+                for n, all_segments in zip(batch.column("n").to_pylist(), batch.column("segments").to_pylist()):
+                    score.append(model.probability(model.normalised(max((s["score"] for s in all_segments), default=0.0), n)))
+                    strong.append([s for s in all_segments if model.normalised(s["score"], n) >= -math.log(SIGNIFICANT)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(map(len, strong), pa.int32()), pa.array(strong, batch.schema.field("segments").type)], ["doc_id", "score", "n_segments", "passages"])
+
+        return found.select("doc_id", "n", "segments").mapInArrow(run, f"doc_id long, score double, n_segments int, passages {PASSAGES}")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train: Column, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(doc_id, text) to doc_id, score, n_segments, passages; trained on the labels of rows that ``train`` names."""
+    # At most max_labels rows of two numbers, so the texts need not be shuffled to meet them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, train, max_labels)), "doc_id", "left")
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
+    counts = materialise(word_counts(rows), "toxic-words")
+    toxic, total = counts.agg(F.sum("toxic"), F.sum("rows")).first()
+    scored = materialise(word_scores(counts, toxic / total), "toxic-scores") if toxic and toxic != total else None
+    if scored is None or scored.isEmpty():
+        nothing = F.array().cast("array<struct<start:int,end:int,score:double>>")
+        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("n_segments"), nothing.alias("passages"))
+    found = materialise(candidates(rows, bitmap(scored)), "toxic-candidates")
+    measured = materialise(segments(found, scored), "toxic-segments")
+    return ToxicityModel.fit(measured).score(measured)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -261,8 +331,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
-    return model.score(docs).select(
+    return toxicity(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1).select(
         "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "n_segments", "passages"
     )
 
