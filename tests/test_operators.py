@@ -285,3 +285,11 @@ def test_plans_stay_native(spark, sf_dir):
     for name in ("pr19_figures", "ag18_admin1_figures", "dd08_event_dedupe", "sl03_graph_score"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
+
+
+def test_balanced_repeated_event(spark):
+    """Rows that repeat one event do not use up the places of its group."""
+    rows = [(i, "same" if i > 10 else f"e{i}", "Nepal", "rss", f"http://a.org/{i}", "unknown", 1.0 * i, "high", "2024-01-01") for i in range(1, 21)]
+    scored = spark.createDataFrame(rows, "id long, event_id string, country string, connector string, url string, source_label string, graph_score double, severity string, published_at string")
+    got = evidence.balanced(scored, 5, ["Nepal"], 3, 0, 4).collect()
+    assert [r.id for r in got] == [20, 10, 9, 8]

@@ -91,10 +91,14 @@ def balanced(scored: DataFrame, limit: int, countries: list[str], per_country: i
     """
     source = F.when((F.col("source_label") != "unknown"), F.col("source_label")).otherwise(F.coalesce(F.nullif(domain(F.coalesce("canonical_url", "url") if "canonical_url" in scored.columns else F.col("url")), F.lit("")), F.lit("unknown")))
     keyed = scored.withColumn("_source", source).withColumn("_country", F.lower("country"))
-    group = W.partitionBy("_country", "connector", "_source").orderBy(*evidence_order())
+    keys = ["_country", "connector", "_source"]
+    group = W.partitionBy(*keys).orderBy(*evidence_order())
+    # An event is taken once, so its best row in a group is the only one that can be; others must not fill the group's places.
+    rank = F.struct("graph_score", "severity", F.coalesce("published_at", F.lit("")).alias("published_at"), "id")
+    events = keyed.groupBy(*keys, "event_id").agg(F.max(rank).alias("_best")).select(*keys, "event_id", "_best.*")
     # The first rows of each group, and of those the best of each country and connector.
     most = min(limit, per_source) if per_source > 0 else limit
-    near = keyed.withColumn("_n", F.row_number().over(group)).filter(F.col("_n") <= most).drop("_n")
+    near = events.withColumn("_n", F.row_number().over(group)).filter(F.col("_n") <= most).drop("_n")
     light = near.orderBy(*evidence_order()).select("id", "event_id", "_country", "connector", "_source").toLocalIterator()
     rows, taken, used, connectors, sources = list(light), [], set(), Counter(), Counter()
 
