@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -453,6 +454,87 @@ def test_copies_without_an_article_stay(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), ["page_id"]).collect()} == {"All of it"}
 
 
+def test_what_holds_the_main_part_stays():
+    text = lambda html: html_text.main_text(*html_text.page_tree(html), set())[0]
+    assert text('<form id="aspnetForm"><nav>n</nav><article><p>Whole</p></article></form>') == "Whole"
+    assert text('<article><div class="post social-science"><p>Text</p></div></article>') == "Text"
+    assert text('<article><p class="notice">a</p><p class="comment-free">b</p><div class="widget">c</div><p>x <math><mi>y</mi></math> z</p></article>') == "a\n\nb\n\nc\n\nx y z"
+    assert text('<article><p>a</p><div class="ad-slot">b</div><div class="related-posts">r</div><section class="comments"><article>c</article></section></article>') == "a"
+    assert text("<aside><article>teaser</article></aside><article>own</article>") == "own"
+    assert text('<article><div class="sponsored">all there is</div></article>') == "all there is"
+    assert text("<body><nav>menu only</nav></body>") == "" and text("<body><form><p>asp</p></form><p>a</p></body>") == "asp\n\na"
+
+
+@pytest.mark.parametrize("unit", ["<div>t", "<p>t", "<span class=ad>t", "<a ", "<a b='", "<!--", "<![", "</a ", "<title>", "<b"])
+def test_parsing_is_linear(unit):
+    began = time.process_time()
+    html_text.main_text(*html_text.page_tree(unit * 100_000 + "<p>end</p>"), set())
+    assert time.process_time() - began < 20
+
+
+def test_broken_markup():
+    text = lambda html: html_text.main_text(*html_text.page_tree(html), set())[0]
+    assert text("a < b & c &lt; d<br>e") == "a < b & c < d e"
+    assert text("<![foo><p>x</p><!-- never closed><p>y</p>") == "x\n\ny"
+    assert text("<p title='1 > 0'>x</p><p title=it's>y</p><script>var a='<p>no</p>';</script>z") == "x\n\ny\n\nz"
+    assert text("<SCRIPT>x</SCRIPT\n><P>One<P>Two<table><tr><td>a<td>b<tr><td>c</table>") == "One\n\nTwo\n\na\n\nb\n\nc"
+
+
+def site_pages():
+    """Pages of three hosts whose template no tag or class tells: some shared by all pages, some by a few, some inside the article."""
+    rng, pages = random.Random(8), []
+    for host, count in (("a.org", 14), ("b.org", 5), ("c.org", 2)):
+        bars = [f"<ul><li><a>{prose(rng, 3)}</a></li><li><a>{prose(rng, 2)}</a></li></ul>" for _ in range(3)]
+        line = f"<p>{prose(rng, 6)}</p>"
+        for i in range(count):
+            own, tail = prose(rng, 30), f"<div><p>{prose(rng, 4)}</p></div>"
+            if i % 3 == 0:
+                html = f"<body><div>Welcome to {host}</div><div><article><h1>{prose(rng, 3)}</h1>{bars[0]}<p>{own}</p>{line}<ul><li>The list of {host}</li></ul></article></div>{bars[1]}</body>"
+            else:
+                html = f"<body><div><div>Welcome to {host}</div><div>{own}</div></div>{bars[1]}{bars[2] if i < 4 else tail}</body>"
+            pages.append((len(pages), f"https://{host}/{i}", html))
+            if i == 1:
+                pages.append((len(pages), f"https://{host}/{i}?again", html))
+    return pages
+
+
+def test_templates_by_brute_force(spark):
+    from xml.etree import ElementTree
+
+    pages = site_pages()
+    inner = lambda e: ElementTree.tostring(e).decode()
+    where = defaultdict(set)
+    for _, url, html in pages:
+        for e in ElementTree.fromstring(html).iter():
+            e.tail = None
+            where[url.split("/")[2], inner(e)].add(html)
+
+    def text(url, html):
+        host, tree = url.split("/")[2], ElementTree.fromstring(html)
+        article = tree.find(".//article")
+        holding = {e for e in tree.iter() if article is not None and article in e.iter()}
+        inside = set(article.iter()) if article is not None else set()
+        blocks = []
+
+        def walk(e, kept):
+            looked_up = e.tag == "ul" and e.find(".//a") is not None if e in inside else e.tag != "body"
+            if kept and looked_up and e not in holding and len(where[host, inner(e)]) >= 3:
+                return
+            if (e.text or "").strip():
+                blocks.append((e in inside, e.text))
+            for child in e:
+                walk(child, kept)
+
+        walk(tree, True)
+        return "\n\n".join(t for main, t in blocks if main or article is None)
+
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
+    assert got == {i: text(url, html) for i, url, html in pages}
+    without = {r.page_id: r.text for r in html_text.extract(df, ["page_id"], least_pages=10**9).collect()}
+    assert sum(got[i] != without[i] for i in got) >= 15
+
+
 def test_text_digest_is_of_utf8(make_docs):
     row = exact_dedup.exact_duplicates(make_docs([(1, "ÄbC é")])).first()
     assert row.text_sha256 == hashlib.sha256("Äbc é".encode()).hexdigest()

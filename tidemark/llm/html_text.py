@@ -1,23 +1,32 @@
 """Operator 10, main text of web pages by removal of site templates.
 
-Every page is parsed once to its text blocks and the hashes of the element subtrees around them. Spark counts in how many
-different pages of a host each subtree occurs (copies of a page count once, for their content recurs too); subtrees that recur
-across many pages of their host are template and go with all their blocks.
-Elements that say what they are (menus, footers, adverts, forms, scripts, comments and the like) go on any page, for hosts of
-few pages have nothing that recurs. Of what is left, the text of the page's article or main element is taken if it has one.
+Every page is parsed once to a tree of its block elements, each with a hash of its subtree (tags and texts), and the text blocks
+in them. Spark counts in how many different pages of a host each subtree occurs (copies of a page count once, for their content
+recurs too). On every page the subtrees that recur on ``LEAST_PAGES`` pages of its host are template and go with all they
+hold, whatever their tags and names say. What is left is the page's own; there, elements that say what they are (menus, footers,
+sidebars, adverts, forms, scripts, comments and the like) go by tag, role, class or id, since a menu or an advert may be
+different on each page and a host may have too few pages. Of the rest, the text of the page's article or main element is
+taken if it has one.
 
-Inside an article, paragraphs that many pages share (a licence line, a quoted passage) are text and stay; there only a
-div or section with less than half of the article's text is taken for template.
+What holds the main part never goes: neither an article nor what is around it is looked up among the templates; inside an article
+only containers (divisions, tables, figures, lists of links and the like) of less than half of its text are, for a heading, a
+paragraph or a plain list that many pages share (a licence line, a quoted passage) is text; a form around an article, or with
+most of its text, is no form to fill in.
+
+Parsing is linear in the page: elements have links to their parents, and what is asked of the open elements is kept by tag.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host belongs to the host ""; an empty
 table gives an empty result; repeated rows are one page to the counts, and each gets its text; where all blocks of a page would
-go as template they stay; further columns are not read.
+go as template they stay, and where names would leave nothing of an article its class and id names are not heard; an unclosed
+comment or declaration ends at the next ">", an unclosed script at the end; a "<" that starts no tag is text; further
+columns are not read.
 """
 
 from __future__ import annotations
 
+import html as html_module
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
@@ -26,179 +35,332 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table, text_slices
 
-#: A subtree is template if it is on at least so many pages of its host, and on that share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.02
+#: A subtree is template if it is on at least so many different pages of its host.
+LEAST_PAGES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title script style noscript template iframe object svg math nav footer aside form button select textarea dialog menu canvas audio video".split())
+#: Elements whose content is no text of the page.
+HARD = frozenset("head title script style noscript template iframe object svg button select textarea canvas audio video".split())
+#: Elements that are not the main part, unless they hold it.
+SOFT = frozenset("nav footer aside form dialog menu".split())
+RAW, TEXT_ONLY = frozenset("script style iframe noembed noframes xmp".split()), frozenset("title textarea".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words of a class or id, split at anything but letters.
+#: A class or id says what its element is if all its parts (between hyphens, underscores and digits) are of these two lists and one of the first.
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adslot adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
-    "masthead menu modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promotion related replies respond share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe toolbar widget".split()
+    "masthead menu modal nav navbar navigation navmenu newsletter notice notices overlay pagination paywall popup promo promotion related respond share sharing sidebar signup "
+    "skip social sponsor sponsored subscribe toolbar".split()
+)
+NEUTRAL_NAMES = frozenset(
+    "area article articles bar block bottom box buttons container content footer form global google header icons inner item items js left link links list main media new page post posts primary right "
+    "row secondary section site slot small sticky the top unit widget wrap wrapper".split()
 )
+#: Names are heard on these; a paragraph or heading is text whatever its class.
+NAMED_TAGS = frozenset("div section ul ol dl table tbody tr td span header article details figure fieldset address center".split())
+PARTS = re.compile(r"[^a-z]+")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = frozenset(("div", "section"))
+#: Elements of an article that may be template, lists only if over half of their text is links.
+CONTAINERS, LISTS = frozenset("address aside center details dialog div fieldset figure footer form menu nav section table".split()), frozenset("dl ol ul".split())
 #: A start tag of the key closes an open element of the values, up to the nearest of the stops.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("html body article main section div ul ol dl table td th blockquote aside nav footer header form figure".split())
+#: End tags of other elements do not close these.
+WALLS = frozenset(("article", "main", "body"))
+
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW | TEXT_ONLY}
+
+
+def lexed(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", data, ""), ("start", tag, attributes) and ("end", tag, "") of a page, in order; each character is looked at a fixed number of times."""
+    at, last = 0, page.rfind(">")
+    unclosed: set[str] = set()
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        name = NAME.match(page, lt + 2 if page.startswith("/", lt + 1) else lt + 1)
+        if name is None:
+            if page.startswith(("!", "?", "/"), lt + 1):
+                close = page.find("-->", lt + 4) if page.startswith("<!--", lt) and "-->" not in unclosed else -1
+                if close < 0 and page.startswith("<!--", lt):
+                    unclosed.add("-->")
+                at = close + 3 if close >= 0 else page.find(">", lt) + 1
+            else:
+                yield "text", "<", ""
+                at = lt + 1
+            continue
+        i = name.end()
+        while True:
+            stop = STOP.search(page, i)
+            i = stop.end() if stop else last + 1
+            if stop is None or stop.group() == ">":
+                break
+            quote = stop.group()
+            # A quote opens a value only after "=", and only if it is closed.
+            if quote not in unclosed and page[max(0, stop.start() - 20) : stop.start()].rstrip().endswith("="):
+                close = page.find(quote, i)
+                if close < 0:
+                    unclosed.add(quote)
+                else:
+                    i = close + 1
+        tag, at = name.group().lower(), i
+        if page[lt + 1] == "/":
+            yield "end", tag, ""
+            continue
+        yield "start", tag, page[name.end() : i - 1]
+        if tag in RAW or tag in TEXT_ONLY and tag not in unclosed:
+            end = CLOSING[tag].search(page, at)
+            if end is None and tag in TEXT_ONLY:
+                unclosed.add(tag)
+                continue
+            until = end.start() if end else len(page)
+            if tag in TEXT_ONLY:
+                yield "text", page[at:until], ""
+            at = until
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "main", "parts", "hash", "chars")
+    """An element that breaks text into blocks or says what it is."""
+
+    __slots__ = ("tag", "parent", "hard", "soft", "named", "main", "digest", "hash", "chars", "links")
 
-    def __init__(self, tag: str, dropped: bool, main: bool):
-        self.tag, self.dropped, self.main, self.parts, self.hash, self.chars = tag, dropped, main, [tag], 0, 0
+    def __init__(self, tag: str, parent: int, hard: bool, soft: bool, named: bool, main: bool):
+        self.tag, self.parent, self.hard, self.soft, self.named, self.main = tag, parent, hard, soft, named, main
+        self.digest, self.hash, self.chars, self.links = xxhash.xxh64(tag), 0, 0, 0
 
 
-class PageParser(HTMLParser):
-    """Text blocks of a page, each with the elements that hold it."""
+class Page:
+    """The tree of a page: ``nodes`` in document order (the first is the page itself) and ``blocks``, (node, text)."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack = [Node("", False, False)]
-        self.blocks: list[tuple[str, list[Node]]] = []
+    def __init__(self, page: str):
+        self.nodes = [Node("", -1, False, False, False, False)]
+        self.blocks: list[tuple[int, str]] = []
+        self.open = [0]
         self.text: list[str] = []
+        #: Places in ``open`` of the open elements of a tag, of stops and of walls, outermost first.
+        self.places: dict[str, list[int]] = {}
+        self.stops: list[int] = []
+        self.walls: list[int] = []
+        self.in_link = False
+        for kind, value, attributes in lexed(page):
+            if kind == "text":
+                self.text.append(value)
+                if self.in_link:
+                    self.nodes[self.open[-1]].links += len(value.strip())
+            elif kind == "start":
+                self.start(value, attributes)
+            else:
+                self.end(value)
+        self.flush()
+        self.close_to(1)
 
     def flush(self) -> None:
-        words = "".join(self.text).split()
+        words = html_module.unescape("".join(self.text)).split()
         self.text.clear()
         if words:
-            text = " ".join(words)
-            self.stack[-1].parts.append(text)
-            for node in self.stack:
-                node.chars += len(text)
-            if not self.stack[-1].dropped:
-                self.blocks.append((text, self.stack[1:]))
-
-    def pop(self) -> None:
-        node = self.stack.pop()
-        node.hash = xxhash.xxh64_intdigest("\x00".join(node.parts)) - (1 << 63)
-        self.stack[-1].parts.append(f"\x01{node.hash}")
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+            text, node = " ".join(words), self.nodes[self.open[-1]]
+            node.digest.update("\x00" + text)
+            node.chars += len(text)
+            self.blocks.append((self.open[-1], text))
+
+    def close_to(self, height: int) -> None:
+        while len(self.open) > height:
+            node = self.nodes[self.open.pop()]
+            self.places[node.tag].pop()
+            if node.tag in STOPS:
+                self.stops.pop()
+            if node.tag in WALLS:
+                self.walls.pop()
+            node.hash = node.digest.intdigest() - (1 << 63)
+            node.digest = None
+            above = self.nodes[node.parent]
+            above.digest.update(f"\x01{node.hash}")
+            above.chars += node.chars
+            above.links += node.links
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             elif tag in ("br", "img", "input"):
                 self.text.append(" ")
             return
-        if tag not in BLOCKS and tag not in DROPPED and not self.unwanted(tag, attrs):
+        self.in_link = self.in_link or tag == "a"
+        values = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(ATTRIBUTE.findall(attributes))} if attributes and not attributes.isspace() else {}
+        named = bool(values) and self.says_so(tag, values)
+        if tag not in BLOCKS and tag not in HARD and tag not in SOFT and not named:
             return
         self.flush()
-        closes = CLOSES.get(tag, {"p"} if tag in BLOCKS else ())
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in closes:
-                while len(self.stack) > i:
-                    self.pop()
-                break
-            if self.stack[i].tag in STOPS:
-                break
-        top = self.stack[-1]
-        main = top.main or tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
-        self.stack.append(Node(tag, top.dropped or self.unwanted(tag, attrs), main))
-
-    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header" and not self.stack[-1].main:
-            return True
-        if tag in ("html", "body", "article", "main"):
+        closes = CLOSES.get(tag) or (("p",) if tag in BLOCKS else ())
+        found = self.nearest(closes)
+        if found and found >= (self.stops[-1] if self.stops else 0):
+            self.close_to(found)
+        main = tag in ("article", "main") or values.get("role", "").lower() == "main"
+        height = len(self.open)
+        self.nodes.append(Node(tag, self.open[-1], tag in HARD, tag in SOFT or tag == "header" and not self.in_main(), named, main))
+        self.open.append(len(self.nodes) - 1)
+        self.places.setdefault(tag, []).append(height)
+        if tag in STOPS:
+            self.stops.append(height)
+        if tag in WALLS:
+            self.walls.append(height)
+
+    def in_main(self) -> bool:
+        return bool(self.places.get("article") or self.places.get("main"))
+
+    @staticmethod
+    def says_so(tag: str, values: dict[str, str]) -> bool:
+        if tag in ("html", "body", "main"):
             return False
-        for name, value in attrs:
-            value = (value or "").lower()
-            if name in ("class", "id"):
-                if not DROPPED_NAMES.isdisjoint("".join(c if c.isalpha() else " " for c in value).split()):
+        if values.get("role", "").lower() in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
+            return True
+        if tag in NAMED_TAGS:
+            for name in f"{values.get('class', '')} {values.get('id', '')}".lower().split():
+                parts = [p for p in PARTS.split(name) if p]
+                if not DROPPED_NAMES.isdisjoint(parts) and all(p in DROPPED_NAMES or p in NEUTRAL_NAMES for p in parts):
                     return True
-            elif name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return True
         return False
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag == "br":
             self.text.append(" ")
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self.flush()
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i].tag in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.text.append(data)
-
-    def finish(self) -> list[tuple[str, list[Node]]]:
-        self.close()
-        self.flush()
-        while len(self.stack) > 1:
-            self.pop()
-        return self.blocks
-
-
-def page_blocks(html: str) -> list[dict]:
-    """The blocks that no element by its name rules out: text, whether the article holds it, hashes of subtrees that may be template."""
-    parser = PageParser()
-    parser.feed(html)
-    blocks = parser.finish()
-    roots = {id(nodes[k]) for _, nodes in blocks for k in range(len(nodes)) if nodes[k].main and not (k and nodes[k - 1].main)}
-    holds_main = {id(n) for _, nodes in blocks for n in nodes if not n.main and any(id(m) in roots for m in nodes)}
-    out = []
-    for text, nodes in blocks:
-        root = next((n for n in nodes if n.main), None)
-        hashes = []
-        for n in nodes:
-            if n.tag in ("html", "body", "article", "main") or id(n) in holds_main:
-                continue
-            if root is None or n.tag in CONTAINERS and 2 * n.chars < root.chars:
-                hashes.append(n.hash)
-        out.append({"text": text, "main": root is not None, "hashes": hashes})
-    return out
-
-
-BLOCK = pa.struct([("text", pa.string()), ("main", pa.bool_()), ("hashes", pa.list_(pa.int64()))])
+        self.in_link = self.in_link and tag != "a"
+        found = self.nearest((tag,))
+        if found and (tag in WALLS or tag == "html" or not self.walls or found > self.walls[-1]):
+            self.flush()
+            self.close_to(found)
+
+
+#: What a node of the written tree is: it may be template; what its tag or name takes away; its block's text is the article's.
+CANDIDATE, OUT, MAIN = 1, 2, 4
+
+
+def page_tree(html: str) -> tuple[list[dict], list[dict]]:
+    """Nodes as (parent, hash, flags) in document order, and blocks as (node, text) of the nodes that no name takes away."""
+    page = Page(html)
+    nodes = page.nodes
+    count = len(nodes)
+    # From the top: whether an element above takes a node away for its tag, and for tag or name.
+    hard, out = [False] * count, [False] * count
+    for i in range(1, count):
+        n = nodes[i]
+        hard[i] = hard[n.parent] or n.hard
+        out[i] = out[n.parent] or n.hard or n.soft or n.named
+    mains = [i for i in range(1, count) if nodes[i].main and not hard[i]]
+    # An article in a sidebar is none of the page's, unless the page has no other; then what is around it is no sidebar.
+    chosen = [i for i in mains if not out[i]] or mains
+    around = [False] * count
+    root = [0] * count
+    for i in chosen:
+        up = nodes[i].parent
+        while up > 0 and not around[up]:
+            around[up] = True
+            up = nodes[up].parent
+    picked = set(chosen)
+    for i in range(1, count):
+        root[i] = root[nodes[i].parent] or (i if i in picked else 0)
+
+    def taken(names: bool) -> list[bool]:
+        gone = [False] * count
+        for i in range(1, count):
+            n = nodes[i]
+            soft = n.soft or names and n.named
+            if soft and (around[i] or i == root[i] or n.tag == "form" and 2 * n.chars > nodes[root[i]].chars):
+                soft = False
+            gone[i] = gone[n.parent] or n.hard or soft
+        return gone
+
+    gone = taken(True)
+    if chosen and not any(root[i] and not gone[i] for i, _ in page.blocks):
+        gone = taken(False)
+    flags = []
+    for i in range(count):
+        n = nodes[i]
+        inside = root[i] and i != root[i]
+        container = n.tag in CONTAINERS or n.tag in LISTS and 2 * n.links > n.chars
+        may = i > 0 and not around[i] and i != root[i] and n.tag not in ("html", "body") and (not inside or container and 2 * n.chars < nodes[root[i]].chars)
+        flags.append(CANDIDATE * bool(may) | OUT * gone[i] | MAIN * bool(root[i]))
+    return [{"parent": n.parent, "hash": n.hash, "flags": f} for n, f in zip(nodes, flags)], [{"node": i, "text": text} for i, text in page.blocks if not gone[i]]
+
+
+def main_text(nodes: list[dict], blocks: list[dict], templates: set[int]) -> tuple[str, int]:
+    """The text of a page without the subtrees whose hashes are ``templates``, and the number of (topmost) subtrees that went."""
+    gone, number = [False] * len(nodes), 0
+    for i, n in enumerate(nodes):
+        if i and gone[n["parent"]]:
+            gone[i] = True
+        elif n["flags"] & CANDIDATE and n["hash"] in templates:
+            gone[i], number = True, number + 1
+    kept = [b for b in blocks if not gone[b["node"]]] or blocks
+    main = [b for b in kept if nodes[b["node"]]["flags"] & MAIN]
+    return "\n\n".join(b["text"] for b in main or kept), number
+
+
+TREE = pa.list_(pa.struct([("parent", pa.int32()), ("hash", pa.int64()), ("flags", pa.int32())]))
+BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+TREE_SQL, BLOCK_SQL = "array<struct<parent:int,hash:bigint,flags:int>>", "array<struct<node:int,text:string>>"
 
 
 def parse_pages(rows: DataFrame) -> DataFrame:
-    """(uid, host, keep, html) to (uid, host, keep, page, blocks); ``page`` is a hash of all text blocks."""
+    """(uid, host, keep, html) to (uid, host, keep, page, nodes, blocks); ``page`` is a hash of the texts that no name takes away."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, pages in text_slices(batches, "html"):
-            blocks = [page_blocks(html) for html in pages]
+        for batch, pages in text_slices(batches, "html", 500_000):
+            trees, blocks = zip(*map(page_tree, pages))
             page = [xxhash.xxh64_intdigest("\x00".join(b["text"] for b in bs)) - (1 << 63) for bs in blocks]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(page, pa.int64()), pa.array(blocks, pa.list_(BLOCK))], ["uid", "host", "keep", "page", "blocks"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(page, pa.int64()), pa.array(trees, TREE), pa.array(blocks, BLOCK)], ["uid", "host", "keep", "page", "nodes", "blocks"]
+            )
 
     keep = rows.schema["keep"].dataType.simpleString()
-    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, page long, blocks array<struct<text:string,main:boolean,hashes:array<bigint>>>")
+    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, page long, nodes {TREE_SQL}, blocks {BLOCK_SQL}")
+
+
+def recurring_subtrees(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, page, hash) to the (host, hash) on at least so many different pages of the host."""
+    # Distinct first: a subtree on every page of a large host is counted by all tasks.
+    each = subtrees.select("host", "hash", "page").distinct()
+    return each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages).select("host", "hash")
 
 
-def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The ``carry`` columns of each page with text and n_chars."""
+def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The ``carry`` columns of each page with text, n_chars and n_templates, the number of its subtrees that went as template."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(
         F.monotonically_increasing_id().alias("uid"), host.alias("host"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("keep"), "html"
     )
-    parsed = materialise(parse_pages(rows), "page-blocks")
-    subtrees = parsed.select("uid", "host", "page", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))).alias("hash"))
-    hosts = parsed.groupBy("host").agg(F.countDistinct("page").alias("pages"))
-    recurring = materialise(
-        subtrees.groupBy("host", "hash").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= least_pages)
-        .join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash"), "page-templates"
-    )
-    found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("hash").alias("template"))
-    # A page with an article needs its template only if a container inside could be some; the texts of the others are not shuffled.
-    settled = F.exists("blocks", lambda b: b["main"]) & ~F.exists("blocks", lambda b: b["main"] & (F.size(b["hashes"]) > 0))
-    open_pages = parsed.filter(~settled).join(found, "uid", "left")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["hashes"], F.coalesce("template", F.array().cast("array<bigint>"))))
-    chosen = open_pages.withColumn("_kept", kept).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("blocks")))
-    pages_ = parsed.filter(settled).select("keep", F.col("blocks").alias("_kept")).union(chosen.select("keep", "_kept"))
-    main = F.filter("_kept", lambda b: b["main"])
-    body = F.when(F.size(main) > 0, main).otherwise(F.col("_kept"))
-    texts = pages_.withColumn("text", F.array_join(F.transform(body, lambda b: b["text"]), "\n\n"))
-    return texts.select("keep.*", "text", F.char_length("text").cast("long").alias("n_chars"))
+    parsed = materialise(parse_pages(rows), "page-trees")
+    hashes = F.array_distinct(F.transform(F.filter("nodes", lambda n: n["flags"].bitwiseAND(CANDIDATE) > 0), lambda n: n["hash"]))
+    subtrees = parsed.select("uid", "host", "page", F.explode(hashes).alias("hash"))
+    recurring = materialise(recurring_subtrees(subtrees, least_pages), "page-templates")
+    found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("hash").alias("templates"))
+    joined = parsed.select("uid", "keep", "nodes", "blocks").join(found, "uid", "left").select("keep", "nodes", "blocks", "templates")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                texts, numbers = [], []
+                for nodes, blocks, templates in zip(part.column("nodes"), part.column("blocks"), part.column("templates")):
+                    text, number = main_text(nodes.as_py(), blocks.as_py(), set(templates.as_py() or ()))
+                    texts.append(text)
+                    numbers.append(number)
+                yield pa.RecordBatch.from_arrays([part.column("keep"), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())], ["keep", "text", "n_templates"])
+
+    keep = joined.schema["keep"].dataType.simpleString()
+    return joined.mapInArrow(choose, f"keep {keep}, text string, n_templates long").select("keep.*", "text", F.char_length("text").cast("long").alias("n_chars"), "n_templates")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
