@@ -35,7 +35,7 @@ def texts():
         changed[rng.randrange(len(changed))] = "changed"
         out.append(" ".join(changed))
     out += [out[0].upper(), out[1], out[1], "", None, "a b c", "A B  c", "x\nx\nx y z\nx", "## $$ %% && ** ## $$ %% && ** word word"]
-    out += [out[2] + " " + out[3], " ".join(base[:150]), " ".join(base[:180])]
+    out += [out[2] + " " + out[3], " ".join(base[:150]), " ".join(base[:180]), "a text that ends <|endoftext|> and goes on <|endoftext|>"]
     return out
 
 
@@ -335,16 +335,26 @@ def test_packing_round_trip(spark, corpus, texts):
     assert [k for _, _, k in order] == sorted(k for _, _, k in order)
 
 
-def test_both_tokenizer_libraries_agree():
+def test_ids_are_those_of_the_whole_text():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     encode, rng = packing.encoder("byte_bpe_50k"), random.Random(4)
-    pool = [chr(c) for c in range(0x180)] + [" ", "　", "​", "\U0001f600", "́", "中", "'ll", " <|endoftext|>", "  ", "\r\n"]
-    for text in ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(2000)] + ["x" * 5000]:
-        assert encode(text) == full.encode(text, add_special_tokens=False).ids
+    pool = [chr(c) for c in [*range(0x180), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    pool += [" ", " ", "\n", "\u3000", "\u200b", "\U0001f600", "\u0301", "\u4e2d", "'ll", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> ", "  ", "\r\n", "ab"] * 8
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(8000)] + ["x" * 5000, "<|endoftext|>"]
+    assert [x.tolist() for x in encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(["<|endoftext|>"])[0].tolist() == [50256]
+
+
+def test_ranges_hold_like_numbers_of_tokens(spark):
+    """Long documents among many short ones: no range of the curve holds many times the mean."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 2000 if i % 20 == 0 else 20)) for i in range(1500)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("n")).collect()
+    counts = [r.n for r in pieces]
+    assert max(counts) < 4 * sum(counts) / len(counts)
 
 
 # --- mixing

@@ -1,7 +1,8 @@
 """Operator 7, packing in the order of a space-filling curve.
 
 A document's token ids are hashed to a vector that is projected to a few dimensions; the Hilbert key of that point orders the
-documents, so that neighbours on the curve are alike. The documents are range-partitioned by (key, tie) and laid end to end
+documents, so that neighbours on the curve are alike. The projection's mean is not taken out: the grid has 2^16 places a side,
+and the curve is cut at quantiles of tokens, so that a crowded region has more ranges. The documents are range-partitioned by (key, tie) and laid end to end
 along the curve; every ``length`` tokens a sequence ends, so only the last one has padding.
 
 Texts are tokenised once and written with their keys. Range bounds and the tokens before each range are the only numbers that
@@ -13,10 +14,10 @@ Defined results: a null text is empty, and an empty text is its end id alone; an
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,34 +29,40 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import hash_key, materialise, table, text_slices, u32
 
 LENGTH, END_ID, DIMS, BITS, SEED = 2048, 1, 3, 16, 20_25
-#: A stretch without white space of over this length goes to the library whose merging is not quadratic in it.
-LONG_STRETCH = re.compile(r"\S{2000}")
+#: A document counts once for each so many tokens in the quantiles that cut the curve.
+WEIGHT = 256
+#: Words with the white space before them. No token of a byte-level vocabulary reaches from a word into white space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRETCH = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: A task remembers the ids of so many stretches of up to so many characters.
+MOST_KNOWN, MOST_CHARS = 300_000, 64
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str):
-    """A function from text to token ids of the byte-level BPE ``name`` (its .json and .tiktoken hold one vocabulary).
+def encoder(name: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """A function from texts to their token ids by the byte-level BPE ``name``, special tokens not added, those in a text known as such.
 
-    The rank file's library gives the same ids several times faster; a text with a very long stretch goes to the other one.
+    Equal stretches have equal ids, so each one is encoded once while the task remembers it.
     """
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @lru_cache(maxsize=1)
-    def full() -> Tokenizer:
-        out = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        out.encode_special_tokens = True
-        return out
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    known: dict[str, bytes] = {}
 
-    def encode(text: str) -> list[int]:
-        if LONG_STRETCH.search(text):
-            return full().encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        stretches = [STRETCH.findall(text) for text in texts]
+        new = list({s for parts in stretches for s in parts if s not in known})
+        ids = {}
+        for a in range(0, len(new), 1000):
+            ids.update(zip(new[a : a + 1000], (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new[a : a + 1000], add_special_tokens=False))))
+        known.update((s, cell) for s, cell in ids.items() if len(s) <= MOST_CHARS)
+        return [np.frombuffer(b"".join([known[s] if s in known else ids[s] for s in parts]), dtype=np.uint32) for parts in stretches]
 
     return encode
 
@@ -105,9 +112,9 @@ def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = EN
     """(doc_id, text) to (doc_id, n, key, ids): ids as little-endian unsigned numbers of 16 bits, or 32 where one needs it, the end id last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
         for batch, texts in text_slices(batches):
-            ids = [np.array([*tokens(text), end_id], dtype="<u4") for text in texts]
+            ids = [np.concatenate([x, end]) for x in tokens(texts)]
             # A document of ids below 65,536 is kept in two bytes an id, for it is written and shuffled once.
             cells = [(x.astype("<u2") if x.max() < 65_536 else x).tobytes() for x in ids]
             keys = hilbert(curve_points(ids)) if ids else np.zeros(0, dtype=np.int64)
@@ -124,7 +131,9 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k",
     spark = docs.sparkSession
     ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = materialise(tokenised(docs, tokenizer, end_id).withColumn("tie", u32(hash_key(F.col("doc_id"), "pack-1:"))), "tokens")
-    bounds = rows.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    # Ranges hold like numbers of tokens, not of documents: a long one counts as often as it has WEIGHT tokens.
+    weighted = rows.select(F.explode(F.array_repeat("key", F.greatest(F.lit(1), F.round(F.col("n") / WEIGHT)).cast("int"))).alias("key"))
+    bounds = weighted.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     edges, times = np.unique(np.array(bounds or [0], dtype=np.int64), return_counts=True)
     base = np.concatenate([[0], np.cumsum(times)])
 
@@ -164,7 +173,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k",
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"] + ["ids"] * with_ids
     types = [pa.int64()] * 8 + [pa.list_(pa.int32())] * with_ids
     schema = ", ".join(f"{n} long" for n in names[:8]) + ", ids array<int>" * with_ids
-    ordered = ranged.repartition(ranges, "range").sortWithinPartitions("range", "key", "tie", "ids")
+    ordered = ranged.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "tie", "ids")
     return ordered.select("doc_id", "n", "key", "ids", "range").mapInArrow(cut, schema)
 
 
