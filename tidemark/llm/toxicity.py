@@ -9,9 +9,10 @@ and Altschul, its parameters from texts that are not toxic), and that is calibra
 each scored without its own counts.
 
 The training rows are labelled rows, a bounded sample of ``max_labels`` by hash where there are more. Their words and prefixes
-are not bounded: each one that is in ``LEAST_ROWS`` rows counts, at every size. Counts and scores of words are written tables;
-what a task holds is a bitmap of the hashes of words that score, of ``MOST_BITS`` at most. Words that it lets through are joined
-with the scores, so a full bitmap costs time and no result.
+are not bounded: each one that is in ``LEAST_ROWS`` rows counts, at every size. Counts and scores of features (words and
+prefixes) are written tables; what a task holds is a bitmap of the hashes of features that score, of ``MOST_BITS`` at most. Words
+of which one passes are joined with the features' scores, and a word has the score of its longest known feature; so a full
+bitmap costs time and no result.
 
 Defined results: a null or empty text has no segment and the lowest score; without labelled rows every score is 0; repeated
 labels of a document count once, as toxic if any is; an empty table gives an empty result; further columns are not read.
@@ -46,12 +47,17 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def features(word: str) -> Column:
-    """The word's prefixes, marked as such, and the word itself."""
-    prefixes = [F.when(F.char_length(word) > k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]
+def features(word: str, length: Column | None = None) -> Column:
+    """The word's prefixes, marked as such, and the word itself; of a prefix (with its length) the shorter ones and itself."""
+    length = F.char_length(word) if length is None else length
+    prefixes = [F.when(length > k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]
     return F.filter(F.array(*prefixes, F.col(word)), lambda x: x.isNotNull())
 
 
+def feature_list(word: str) -> list[str]:
+    return [word[:k] + "*" for k in PREFIXES if len(word) > k] + [word]
+
+
 def word_score(found: list[tuple[int, int]], base: float, own: int | None = None) -> float:
     """Log-odds of a word from (toxic, rows) of those of its features that are known, shortest first; 0 for little evidence.
 
@@ -73,37 +79,40 @@ def maximal_segments(evidence: list[tuple[int, float]], drift: float = DRIFT) ->
 
     ``evidence`` holds the places and scores of words above zero; every other word scores -drift. Each segment on the list
     has the sum before it (left) and with it (right); a new one is merged with the nearest earlier one of a smaller left
-    whose right is smaller too.
+    whose right is smaller too. Each keeps a link to the nearest earlier one of a smaller left, so that no search passes the
+    same segments twice, and the scan is linear.
     """
     found: list[tuple[float, float, int, int]] = []
+    earlier: list[int] = []
     total, last = 0.0, -1
     for place, score in evidence:
         total -= drift * (place - last - 1)
         left, right, first = total, total + score, place
         total, last = right, place
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= right:
-                found.append((left, right, first, place))
-                break
-            left, first = found[j][0], found[j][2]
-            del found[j:]
+        j = len(found) - 1
+        while j >= 0 and found[j][0] >= left:
+            j = earlier[j]
+        while j >= 0 and found[j][1] < right:
+            left, first, before = found[j][0], found[j][2], earlier[j]
+            del found[j:], earlier[j:]
+            j = before
+        found.append((left, right, first, place))
+        earlier.append(j)
     return [(right - left, first, end) for left, right, first, end in found]
 
 
 def labelled(labels: DataFrame, train: Column, max_labels: int) -> DataFrame:
-    """(doc_id, toxic), at most ``max_labels`` rows, chosen by hash."""
+    """(doc_id, toxic), at most ``max_labels`` rows: those of the least hashes."""
     once = labels.filter(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = once.count()
     if n > max_labels:
-        once = once.filter(u32(hash_key(F.col("doc_id"), "tox-1:")) < int(2**32 * max_labels / n)).limit(max_labels)
+        key = hash_key(F.col("doc_id"), "tox-1:")
+        once = once.filter(u32(key) < int(2**32 * min(1.0, 1.1 * max_labels / n + 1e-6))).orderBy(key, "doc_id").limit(max_labels)
     return once
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, rows) for all words of (text, toxic): in how many labelled rows' sets of words each occurs."""
+    """(word, toxic, rows) of labelled rows (text, toxic): in how many rows' sets of words each word occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, toxic, fields = Counter(), Counter(), ["word", "toxic", "rows"]
@@ -114,11 +123,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
                 seen = set(words(text.as_py()))
-                if label is None:
-                    for word in seen:
-                        rows.setdefault(word, 0)
-                else:
-                    rows.update(seen)
+                rows.update(seen)
                 if label:
                     toxic.update(seen)
                 if len(rows) > 100_000:
@@ -129,36 +134,37 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "word string, toxic long, rows long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
 
 
-def word_scores(counts: DataFrame, base: float) -> DataFrame:
-    """(word, at, score, score0, score1) of the words that score: as they are, and without the counts of a row of label 0 or 1."""
-    named = counts.filter("rows > 0").select(F.explode(features("word")).alias("feature"), "toxic", "rows")
+SCORES = "score double, score0 double, score1 double"
+
+
+def feature_scores(counts: DataFrame, base: float) -> DataFrame:
+    """(feature, length, at, score, score0, score1) of the known features: a word's score if this is its longest known one, and without the counts of a row of label 0 or 1."""
+    named = counts.select(F.explode(features("word")).alias("feature"), "toxic", "rows")
     known = named.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
-    each = counts.select("word", F.explode(features("word")).alias("feature")).join(known, "feature")
     # A prefix is shorter than its word, and its mark does not make it longer than the word.
     length = F.char_length("feature") - F.endswith("feature", F.lit("*")).cast("int")
-    chains = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(length.alias("length"), "toxic", "rows"))).alias("chain"))
+    known = materialise(known.withColumn("length", length), "toxic-features")
+    each = known.select(F.col("feature").alias("whole"), F.col("length").alias("size"), F.explode(features("feature", F.col("length"))).alias("feature")).join(known, "feature")
+    chains = each.groupBy("whole", "size").agg(F.sort_array(F.collect_list(F.struct("length", "toxic", "rows"))).alias("chain"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for word, chain in zip(batch.column("word").to_pylist(), batch.column("chain").to_pylist()):
+            out = [[], [], []]
+            for chain in batch.column("chain").to_pylist():
                 found = [(x["toxic"], x["rows"]) for x in chain]
-                scores = [word_score(found, base, own) for own in (None, 0, 1)]
-                if any(scores):
-                    out.append((word, place_of(word), *scores))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.float64()] * 3))], ["word", "at", "score", "score0", "score1"])
+                for scores, own in zip(out, (None, 0, 1)):
+                    scores.append(word_score(found, base, own))
+            at = pa.array(map(place_of, batch.column("whole").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), batch.column("size"), at, *[pa.array(x, pa.float64()) for x in out]], ["feature", "length", "at", "score", "score0", "score1"])
 
-    # A word's rate is a mean of its links' rates and the base: where none reaches what EVIDENCE asks for, it scores nothing.
-    least = 1 / (1 + (1 - base) / base * math.exp(-EVIDENCE)) * (1 - 1e-9)
+    return chains.mapInArrow(score, f"feature string, length int, at long, {SCORES}")
 
-    def reaches(x: Column, i: Column) -> Column:
-        longer = F.get("chain", i + 1)
-        t = x["toxic"] - F.coalesce(longer["toxic"], F.lit(0))
-        n = x["rows"] - F.coalesce(longer["rows"], F.lit(1))
-        return (t > 0) & (t >= least * F.greatest(n, t))
 
-    return chains.filter(F.size(F.filter("chain", reaches)) > 0).select("word", "chain").mapInArrow(score, "word string, at long, score double, score0 double, score1 double")
+def word_scores(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, score, score0, score1) of the words of ``candidates`` that score: each by its longest known feature."""
+    each = found.select(F.explode("found.word").alias("word")).distinct().select("word", F.explode(features("word")).alias("feature")).join(known.drop("at"), "feature")
+    longest = each.groupBy("word").agg(F.max(F.struct("length", "score", "score0", "score1")).alias("f")).select("word", "f.score", "f.score0", "f.score1")
+    return longest.filter("score > 0 OR score0 > 0 OR score1 > 0")
 
 
 def place_of(word: str) -> int:
@@ -166,7 +172,7 @@ def place_of(word: str) -> int:
 
 
 def bitmap(scored: DataFrame) -> np.ndarray:
-    """A bitmap of the words' places, of 16 bits a word and MOST_BITS at most; its size is a power of two."""
+    """A bitmap of the features' places, of 16 bits each and MOST_BITS at most; its size is a power of two."""
     bits = min(MOST_BITS, max(1 << 15, 1 << (16 * scored.count()).bit_length()))
     place = F.col("at") % bits + 1
     parts = scored.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -177,14 +183,18 @@ def bitmap(scored: DataFrame) -> np.ndarray:
 
 
 def candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(uid, doc_id, toxic, text) to uid, doc_id, toxic, n (words) and found: the words in the bitmap with their places."""
+    """(uid, doc_id, toxic, text) to uid, doc_id, toxic, n (words) and found: the words of which the bitmap has a feature, with their places."""
     FOUND = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     class Passes(dict):
         def __missing__(self, word: str) -> bool:
-            at = place_of(word) % (8 * len(bits))
-            self[word] = passes = bool(bits[at >> 3] >> (at & 7) & 1)
-            return passes
+            for feature in feature_list(word):
+                at = place_of(feature) % (8 * len(bits))
+                if bits[at >> 3] >> (at & 7) & 1:
+                    self[word] = True
+                    return True
+            self[word] = False
+            return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = Passes()
@@ -208,7 +218,7 @@ def candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def segments(found: DataFrame, scored: DataFrame) -> DataFrame:
     """``candidates`` to doc_id, toxic, n, segments, and of training rows best and evidence without their own counts."""
-    each = found.select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(scored.drop("at"), "word")
+    each = found.select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(scored, "word")
     hits = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "score", "score0", "score1"))).alias("hits"))
 
     SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -268,7 +278,7 @@ class ToxicityModel:
     """The extreme-value parameters and the calibration."""
 
     def __init__(self, lam: float = 1.0, k: float = 1.0, a: float = -30.0, b: float = 0.0):
-        self.lam, self.k, self.a, self.b = lam, k, a, b
+        self.lam, self.k, self.a, self.b, self.least = lam, k, a, b, -math.log(SIGNIFICANT)
 
     def normalised(self, best: float, n: int) -> float:
         """Minus the log of the number of such segments that chance gives in n words."""
@@ -291,6 +301,12 @@ class ToxicityModel:
         raw = F.col("best") * self.lam - F.ln(F.lit(self.k) * F.greatest(F.col("n"), F.lit(1)))
         x = F.when(F.col("best") > 0, F.least(F.greatest(raw, F.lit(NOTHING)), F.lit(CERTAIN))).otherwise(NOTHING)
         bins = measured.groupBy(F.round(x, 1).alias("x")).agg(F.sum(F.col("toxic").cast("long")).alias("ones"), F.count(F.lit(1)).alias("n")).orderBy("x").toPandas()
+        # Words are not independent, so the law alone promises too much: a passage is significant from where SIGNIFICANT of the
+        # rows that are not toxic have one, or from where the law says so, if that is higher.
+        x, zeros = bins.x.to_numpy(float), (bins.n - bins.ones).to_numpy(float)
+        from_here = np.cumsum(zeros[::-1])[::-1]
+        over = x[from_here > SIGNIFICANT * max(from_here[:1].sum(), 1)] if len(x) else x
+        self.least = max(self.least, float(over.max()) + 0.05 if len(over) else NOTHING)
         self.a, self.b = logistic(bins.x.to_numpy(float), bins.ones.to_numpy(float), (bins.n - bins.ones).to_numpy(float))
         return self
 
@@ -303,7 +319,7 @@ class ToxicityModel:
                 score, strong = [], []
                 for n, all_segments in zip(batch.column("n").to_pylist(), batch.column("segments").to_pylist()):
                     score.append(model.probability(model.normalised(max((s["score"] for s in all_segments), default=0.0), n)))
-                    strong.append([s for s in all_segments if model.normalised(s["score"], n) >= -math.log(SIGNIFICANT)])
+                    strong.append([s for s in all_segments if model.normalised(s["score"], n) >= model.least])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(map(len, strong), pa.int32()), pa.array(strong, batch.schema.field("segments").type)], ["doc_id", "score", "n_segments", "passages"])
 
         return found.select("doc_id", "n", "segments").mapInArrow(run, f"doc_id long, score double, n_segments int, passages {PASSAGES}")
@@ -314,13 +330,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, max_labels: int
     # At most max_labels rows of two numbers, so the texts need not be shuffled to meet them.
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, train, max_labels)), "doc_id", "left")
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    counts = materialise(word_counts(rows), "toxic-words")
+    counts = materialise(word_counts(rows.filter("toxic IS NOT NULL")), "toxic-words")
     toxic, total = counts.agg(F.sum("toxic"), F.sum("rows")).first()
-    scored = materialise(word_scores(counts, toxic / total), "toxic-scores") if toxic and toxic != total else None
-    if scored is None or scored.isEmpty():
+    known = materialise(feature_scores(counts, toxic / total), "toxic-scores") if toxic and toxic != total else None
+    strong = known and known.filter("score > 0 OR score0 > 0 OR score1 > 0")
+    if strong is None or strong.isEmpty():
         nothing = F.array().cast("array<struct<start:int,end:int,score:double>>")
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("n_segments"), nothing.alias("passages"))
-    found = materialise(candidates(rows, bitmap(scored)), "toxic-candidates")
+    found = materialise(candidates(rows, bitmap(strong)), "toxic-candidates")
+    scored = materialise(word_scores(found, known), "toxic-words-found")
     measured = materialise(segments(found, scored), "toxic-segments")
     return ToxicityModel.fit(measured).score(measured)
 
@@ -332,7 +350,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1).select(
-        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "n_segments", "passages"
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "n_segments", "passages"
     )
 
 
