@@ -269,7 +269,7 @@ def brute_links(texts):
     return links, root
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
+@pytest.mark.parametrize("tile", [128, 7])
 def test_near_duplicates_brute_force(spark, corpus, texts, tile, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", tile)
     links, root = brute_links(texts)
@@ -286,11 +286,70 @@ def test_forest_recall_is_what_is_asked_for():
     forest, hits = near_dedup.Forest(24, 5), 0
     for _ in range(300):
         shared, a, b = rng.integers(0, 2**63, 160, dtype=np.uint64), rng.integers(0, 2**63, 20, dtype=np.uint64), rng.integers(0, 2**63, 20, dtype=np.uint64)
-        nodes = forest.nodes(forest.labels(np.concatenate([shared, a, shared, b]), np.array([180, 180])))
-        hits += bool((nodes[0] == nodes[1]).any())
+        labels = forest.labels(np.concatenate([shared, a, shared, b]), np.array([180, 180])).reshape(2, 24, 5)
+        hits += bool((labels[0] == labels[1]).all(axis=1).any())
     assert hits >= 298
 
 
+def near_corpus(changes, n=150):
+    """Pairs of texts of 100 words, of which each second one has that many words changed, far apart from each other."""
+    rng = random.Random(12)
+    out = []
+    for i in range(n):
+        words = [f"w{i}_{k}" for k in range(100)]
+        other = list(words)
+        for k in range(rng.choice(changes)):
+            other[(k * 31 + 7) % 100] = f"x{i}_{k}"
+        out += [" ".join(words), " ".join(other)]
+    return out
+
+
+@pytest.mark.parametrize("changes, recall, wanted", [([0, 1], 0.95, 8), ([1, 2], 0.9999, 5), ([2], 0.97, 8)])
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, changes, recall, wanted):
+    """Very like texts are found at full depth; less like ones need shorter prefixes; the recall is what was asked for."""
+    texts, forest = near_corpus(changes), near_dedup.Forest(24, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text")
+    rows = near_dedup.labelled(keyed, forest)
+    sets = rows.groupBy("set").agg(F.max("key").alias("key"), F.first("labels").alias("labels"))
+    tries = near_dedup.sorted_tries(sets.select("set", "labels"), forest, near_dedup.prefix_depth(0.8, 24, 8, recall)).cache()
+    shingles = near_dedup.shingle_sets(sets.join(keyed, "key").select("set", F.lit(1).cast("long").alias("copies"), "text")).cache()
+    verified, level = near_dedup.search(tries, shingles, near_dedup.SIMILARITY, forest, recall)
+    links, _ = brute_links(texts)
+    distinct = {frozenset((i, j)) for i in links for j in links[i] if texts[i] != texts[j]}
+    assert level == wanted and verified.agg(F.sum("links")).first()[0] >= 2 * recall * len(distinct) > 0
+
+
+def test_tries_by_brute_force(spark):
+    """What a sorted list says of a label's company is what all pairs say, but for the ends of partitions, which count as deep."""
+    rng, forest = random.Random(3), near_dedup.Forest(3, 4)
+    rows = [(f"{i}".encode(), np.array([rng.randint(0, 2) for _ in range(12)], dtype=">u2").tobytes()) for i in range(300)]
+    got = {(r.tree, bytes(r.set)): r.depth for r in near_dedup.sorted_tries(spark.createDataFrame(rows, "set binary, labels binary").repartition(3), forest, 0).collect()}
+    ends = 0
+    for tree in range(3):
+        labels = {name: label[8 * tree : 8 * tree + 8] for name, label in rows}
+        for name, label in labels.items():
+            deepest = max(next((k for k in range(4) if label[2 * k : 2 * k + 2] != other[2 * k : 2 * k + 2]), 4) for n, other in labels.items() if n != name)
+            assert got[tree, name] in (deepest, 4)
+            ends += got[tree, name] != deepest
+    assert len(got) == 900 and ends <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_chain_is_not_one_block(spark):
+    """Texts that hang together only by a chain of likenesses stay in many blocks."""
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(words[8 * i : 8 * i + 120]) for i in range(200)]
+    forest = near_dedup.Forest(24, 8)
+    keyed = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "key string, doc_id long, text string")
+    tries = near_dedup.sorted_tries(near_dedup.labelled(keyed, forest).select("set", "labels"), forest, 5)
+    under = tries.select("set", F.xxhash64("tree", F.substring("label", 1, 10)).alias("node")).cache()
+    blocks = near_dedup.gathered(under).groupBy("block").count().collect()
+    assert len(blocks) > 5 and max(r["count"] for r in blocks) < 100
+    links, root = brute_links(texts)
+    got = near_dedup.near_duplicates(keyed).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (root(i), len(links[i])) for i in range(200)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(150)] + [("5000", f"{i}") for i in range(5001, 5100)] + [("7", "7")]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_scratch: str | None = None
+#: Folders of written tables, one list for each block of ``intermediates`` that is being run.
+_written: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a temporary folder is made, which goes when Python ends.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset on a local master (tests, a single
+    machine) a temporary folder is made, which goes when Python ends. Other masters must name one.
     """
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _own_scratch, ignore_errors=True)
@@ -45,10 +50,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written in this block are deleted when it ends: its result must be written after it was computed, by ``finished``."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` the result of a block of ``intermediates``; what is around the block, if anything, deletes it."""
+    inner = _written.pop()
+    try:
+        return materialise(df, name)
+    finally:
+        _written.append(inner)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. A text of one byte a character takes the faster ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
