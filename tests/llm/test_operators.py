@@ -151,6 +151,33 @@ def test_thresholds_adapt(spark):
     assert 1000 not in kept and len(kept) == 600
 
 
+def test_each_threshold_follows_its_own_group(spark):
+    """One and the same document is kept in a source where its like is usual and rejected where it is not, by each metric in turn."""
+    rng = random.Random(4)
+    plain = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    lined = lambda words, repeated: "\n".join([" ".join(words[k : k + 10]) for k in range(0, len(words), 10)] + ["again and again"] * repeated)
+
+    def odd(metric):
+        words = plain(200)
+        if metric == "symbols":
+            words = [w + "#" if k % 8 == 0 else w for k, w in enumerate(words)]
+        elif metric == "repeats":
+            words[60:80] = words[100:120]
+        elif metric == "length":
+            words = [w * 3 for w in words]
+        return lined(words, 9 if metric == "lines" else 0)
+
+    rows = []
+    for metric in ("symbols", "repeats", "lines", "length"):
+        for usual in (True, False):
+            for k in range(250):
+                rows.append((len(rows), odd(metric) if usual and k % 2 else lined(plain(200), 0), "en", f"{metric} {usual}", 0))
+            rows.append((len(rows), odd(metric), "en", f"{metric} {usual}", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.source for r in quality.keep_good(docs).filter("n_chars = 1").collect()}
+    assert kept == {f"{metric} True" for metric in ("symbols", "repeats", "lines", "length")}
+
+
 # --- exact dedup
 
 

@@ -2,9 +2,10 @@
 
 Each metric of a document falls into a logarithmic bin, and the counts of bins are a quantile sketch: of fixed relative error,
 with at most a few hundred bins, and merged by adding counts. One sketch is kept for each language and source; adding them up
-gives those of a language and of the whole table. Thresholds are fences around the quartiles of a document's own language and
-source, or of the wider sketch where that has fewer than ``least_rows`` rows. They replace fixed cutoffs; documents are then
-filtered by a join with them.
+gives those of a language and of the whole table. Thresholds are multiples of a quantile, or fences around the quartiles, of a
+document's own language and source, or of the wider sketch where that has fewer than ``least_rows`` rows. They replace fixed
+cutoffs: what is added to them is the error of measuring a rate in a document of so many words, and nothing else. Documents are
+then filtered by a join with them.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language or source is a group of its own;
 an empty table gives an empty result; repeated rows are judged alike, each by itself; further columns are not read.
@@ -21,10 +22,14 @@ from tidemark.llm.common import SPACE, materialise, table
 #: The ratio of one bin's edge to the next, which is the sketch's relative error.
 GAMMA = 1.02
 LEAST_ROWS = 200
-#: For each metric: quartile ranges that a value may lie outside the quartiles, and a distance that is always allowed. Values
-#: are whole numbers: symbols, repeated words and repeated lines in thousandths of the words or lines, word length in hundredths.
-FENCES = {"symbols": (3.0, 100), "repeats": (3.0, 200), "lines": (3.0, 400), "length": (4.0, 250)}
-METRICS = tuple(FENCES)
+#: For each share: the quantile and the multiple of it that is allowed, what is counted and in what, and the words or lines of one event.
+#: Symbols have their upper quartile, since junk may fill the tenths above; what else the base rule lets through may rest in a tail.
+SHARES = {"symbols": (0.75, 4.0, "n_symbols", "n_words", 1.0), "repeats": (0.99, 2.0, "n_repeat_words", "n_words", 10.0), "lines": (0.99, 2.0, "n_dup_lines", "n_lines", 1.0)}
+#: A share may be so many standard errors of a count over the threshold; a mean word length lies within quartile ranges and standard
+#: errors of the quartiles, taking a word's length to vary by half the median.
+ERRORS, LENGTH = 3.0, (4.0, 4.0)
+METRICS = (*SHARES, "length")
+LIMITS = (*(f"hi_{k}" for k in SHARES), "q1_length", "q2_length", "q3_length")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -84,19 +89,17 @@ def sketches(features: DataFrame) -> DataFrame:
 
 
 def fences(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rows, lo_<metric>, hi_<metric>) from the sketches merged to the groups of ``by``."""
+    """(by..., rows and LIMITS) from the sketches merged to the groups of ``by``."""
     merged = counts.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "metric")
     ranked = merged.withColumn("_upto", F.sum("n").over(group.orderBy("bin"))).withColumn("_all", F.sum("n").over(group))
     value = F.when(F.col("bin") == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
-    quartile = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), value))
-    marks = ranked.groupBy(*by, "metric").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("_all").alias("rows"))
-    one = lambda k, c: F.max(F.when(F.col("metric") == k, c))
-    out = [F.max("rows").alias("rows")]
-    for k, (ranges, distance) in FENCES.items():
-        reach = F.greatest(ranges * (F.col("q3") - F.col("q1")), F.lit(float(distance)))
-        out += [one(k, F.col("q1") - reach).alias(f"lo_{k}"), one(k, F.col("q3") + reach).alias(f"hi_{k}")]
-    return marks.groupBy(*by).agg(*out)
+    quantile = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), value))
+    of = lambda k, q: F.max(F.when(F.col("metric") == k, F.col(f"_{q}")))
+    marks = ranked.groupBy(*by, "metric").agg(*[quantile(q).alias(f"_{i}") for i, q in enumerate((0.25, 0.5, 0.75, 0.99))], F.max("_all").alias("rows"))
+    place = {0.25: 0, 0.5: 1, 0.75: 2, 0.99: 3}
+    out = [(m * of(k, place[q])).alias(f"hi_{k}") for k, (q, m, *_) in SHARES.items()] + [of("length", i).alias(f"q{i + 1}_length") for i in range(3)]
+    return marks.groupBy(*by).agg(F.max("rows").alias("rows"), *out)
 
 
 def thresholds(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -105,7 +108,6 @@ def thresholds(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     groups = features.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     own, lang = fences(counts, ["lang", "source"]), fences(counts, ["lang"])
     everything = fences(counts.withColumn("_t", F.lit(1)), ["_t"]).first()  # one row, of a few numbers
-    names = ["rows", *(f"{side}_{k}" for k in METRICS for side in ("lo", "hi"))]
     joined = (
         groups.alias("g")
         .join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
@@ -113,7 +115,7 @@ def thresholds(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     )
     level = F.when(F.col("o.rows") >= least_rows, "source").when(F.col("l.rows") >= least_rows, "lang").otherwise("all")
     pick = lambda c: F.when(F.col("_level") == "source", F.col(f"o.{c}")).when(F.col("_level") == "lang", F.col(f"l.{c}")).otherwise(F.lit(everything[c] if everything else None).cast("double")).alias(c)
-    return joined.withColumn("_level", level).select("g.lang", "g.source", F.col("_level").alias("threshold_level"), *[pick(c) for c in names[1:]])
+    return joined.withColumn("_level", level).select("g.lang", "g.source", F.col("_level").alias("threshold_level"), *[pick(c) for c in LIMITS])
 
 
 def judge(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -121,10 +123,15 @@ def judge(features: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     limits = materialise(thresholds(features, least_rows), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = features.join(limits, features.lang.eqNullSafe(F.col("_lang")) & features.source.eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
-    for k, v in metrics().items():
-        # With no row that passed the base rule there are no fences, and nothing is judged by them.
-        inside = inside & F.coalesce(v.between(F.col(f"lo_{k}"), F.col(f"hi_{k}")), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *[f"{s}_{k}" for k in METRICS for s in ("lo", "hi")])
+    for k, (_, _, part, by, unit) in SHARES.items():
+        # With no row that passed the base rule there are no thresholds, and nothing is judged by them.
+        allowed = F.col(f"hi_{k}") * F.greatest(F.col(by), F.lit(1)) / F.lit(1000.0)
+        inside = inside & F.coalesce(F.col(part) <= allowed + F.lit(ERRORS * unit) * F.sqrt(F.greatest(allowed / F.lit(unit), F.lit(1.0))), F.lit(True))
+    ranges, errors = LENGTH
+    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    reach = F.lit(ranges) * (F.col("q3_length") - F.col("q1_length")) + F.lit(errors / 2) * F.col("q2_length") / F.sqrt(words)
+    inside = inside & F.coalesce(metrics()["length"].between(F.col("q1_length") - reach, F.col("q3_length") + reach), F.lit(True))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *LIMITS)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -145,7 +152,13 @@ def _oracle() -> str:
     case = lambda k, v: f"SELECT doc_id, lang, source, base_failed, '{k}' AS metric, ({v})::BIGINT AS v FROM f"
     values = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
     levels = {"own": "lang, source", "lang": "lang, NULL::VARCHAR", "all": "NULL::VARCHAR, NULL::VARCHAR"}
-    reach = "CASE metric " + " ".join(f"WHEN '{k}' THEN greatest({r} * (q3 - q1), {d})" for k, (r, d) in FENCES.items()) + " END"
+    limit = lambda k, q: f"max(CASE WHEN metric = '{k}' THEN {q} END)"
+    limits = ", ".join([f"{m}::DOUBLE * {limit(k, 'p' + str(round(100 * q)))} AS hi_{k}" for k, (q, m, *_) in SHARES.items()] + [f"{limit('length', p)} AS q{i + 1}_length" for i, p in enumerate(("p25", "p50", "p75"))])
+    allowed = lambda k, by: f"(hi_{k} * greatest({by}, 1) / 1000.0::DOUBLE)"
+    fits = [f"coalesce({part} <= {allowed(k, by)} + {ERRORS * unit}::DOUBLE * sqrt(greatest({allowed(k, by)} / {unit}::DOUBLE, 1.0::DOUBLE)), true)" for k, (_, _, part, by, unit) in SHARES.items()]
+    reach = f"({LENGTH[0]}::DOUBLE * (q3_length - q1_length) + {LENGTH[1] / 2}::DOUBLE * q2_length / sqrt(greatest(n_words, 1)::DOUBLE))"
+    fits.append(f"coalesce({values['length']} BETWEEN q1_length - {reach} AND q3_length + {reach}, true)")
+    mark = ", ".join(f"min(CASE WHEN upto >= {q}::DOUBLE * total THEN CASE WHEN bin = 0 THEN 0 ELSE pow({GAMMA}::DOUBLE, bin - 0.5::DOUBLE) END END) AS p{round(100 * q)}" for q in (0.25, 0.5, 0.75, 0.99))
     sketch = " UNION ALL ".join(f"SELECT '{n}' AS level, {c.split(',')[0]} AS lang, {c.split(',')[1]} AS source, metric, bin, sum(n) AS n FROM s GROUP BY ALL" for n, c in levels.items())
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -163,14 +176,13 @@ m AS ({" UNION ALL ".join(case(k, v).replace("SELECT doc_id", "SELECT fid, doc_i
 s AS (SELECT lang, source, metric, CASE WHEN v > 0 THEN 1 + floor(ln(v::DOUBLE) / ln({GAMMA}::DOUBLE)) ELSE 0 END::INT AS bin, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL),
 a AS ({sketch}),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM a),
-q AS (SELECT level, lang, source, metric, max(total) AS rows, min(CASE WHEN upto >= 0.25::DOUBLE * total THEN CASE WHEN bin = 0 THEN 0 ELSE pow({GAMMA}::DOUBLE, bin - 0.5::DOUBLE) END END) AS q1,
-  min(CASE WHEN upto >= 0.75::DOUBLE * total THEN CASE WHEN bin = 0 THEN 0 ELSE pow({GAMMA}::DOUBLE, bin - 0.5::DOUBLE) END END) AS q3 FROM u GROUP BY ALL),
-b AS (SELECT *, q1 - {reach} AS lo, q3 + {reach} AS hi FROM q),
-j AS (SELECT m.fid, m.v, CASE WHEN o.rows >= {LEAST_ROWS} THEN 'source' WHEN t.rows >= {LEAST_ROWS} THEN 'lang' ELSE 'all' END AS level, o.lo AS olo, o.hi AS ohi, t.lo AS tlo, t.hi AS thi, e.lo AS elo, e.hi AS ehi
-  FROM m LEFT JOIN b o ON o.level = 'own' AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN b t ON t.level = 'lang' AND t.metric = m.metric AND t.lang IS NOT DISTINCT FROM m.lang LEFT JOIN b e ON e.level = 'all' AND e.metric = m.metric),
-k AS (SELECT fid, max(level) AS threshold_level, bool_and(coalesce(CASE level WHEN 'source' THEN v BETWEEN olo AND ohi WHEN 'lang' THEN v BETWEEN tlo AND thi ELSE v BETWEEN elo AND ehi END, true)) AS inside FROM j GROUP BY fid)
-SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND k.inside AS kept, f.n_lines, k.threshold_level FROM f JOIN k USING (fid)"""
+q AS (SELECT level, lang, source, metric, max(total) AS rows, {mark} FROM u GROUP BY ALL),
+b AS (SELECT level, lang, source, max(rows) AS rows, {limits} FROM q GROUP BY level, lang, source),
+j AS (SELECT f.fid, CASE WHEN o.rows >= {LEAST_ROWS} THEN 'source' WHEN t.rows >= {LEAST_ROWS} THEN 'lang' ELSE 'all' END AS level
+  FROM f LEFT JOIN b o ON o.level = 'own' AND o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source LEFT JOIN b t ON t.level = 'lang' AND t.lang IS NOT DISTINCT FROM f.lang),
+h AS (SELECT f.*, j.level AS threshold_level, b.* EXCLUDE (level, lang, source, rows) FROM f JOIN j USING (fid)
+  LEFT JOIN b ON b.level = CASE j.level WHEN 'source' THEN 'own' ELSE j.level END AND (j.level = 'all' OR b.lang IS NOT DISTINCT FROM f.lang) AND (j.level <> 'source' OR b.source IS NOT DISTINCT FROM f.source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(fits)} AS kept, n_lines, threshold_level FROM h"""
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
