@@ -186,13 +186,21 @@ def test_digest_index_over_batches(make_docs, tmp_path):
     index = exact_dedup.DigestIndex(docs.sparkSession, f"index_{tmp_path.name}".replace("-", "_"), str(tmp_path / "index"), 4)
     first = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs, index).collect()}
     assert first == {1: (2, False), 2: (2, True), 3: (3, True)}
-    again = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(make_docs([(7, "Two"), (8, "three")]), index).collect()}
-    assert again == {7: (3, False), 8: (8, True)}
-    assert index.read().count() == 3
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(make_docs([(9, "Two"), (10, "two"), (8, "three"), (0, "one")]), index).collect()}
+    assert again == {9: (10, 3, False), 10: (10, 3, True), 8: (8, 1, True), 0: (2, 3, False)}
+    third = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(make_docs([(5, "TWO"), (None, "three"), (11, "four")]), index).collect()}
+    assert third == {5: (10, 4, False), None: (8, 2, False), 11: (11, 1, True)}
+    assert {r.group_size for r in index.read().collect()} == {1, 2, 3, 4} and index.read().count() == 4
     plan = make_docs([(1, "x")]).select(exact_dedup.digest(F.col("text")).alias("text_sha256")).join(index.read().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_an_index_of_its_own_leaves_nothing_behind(make_docs, spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_duplicates(make_docs([(1, "one"), (2, "ONE")])).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_keep_first_copies(make_docs):
     docs = make_docs([(1, "A"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, "")])
     assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(docs).collect()) == [2, 3, 5]

@@ -56,6 +56,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[None]:
     """Tables that are written in this block are deleted when it ends: its result must be written after it was computed, by ``finished``."""
@@ -64,8 +69,7 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _written.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(spark, path)
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operator 3, exact deduplication: a persistent digest index, bucketed and sorted by hash.
 
-New data is deduplicated by a sort-merge anti-join with the index and appended. DataFrame functions only.
+New data is deduplicated by a sort-merge anti-join with the index and appended. Copies of what the index has are appended as
+further entries of their digest, so that the largest id and the number of copies are those of all batches. DataFrame functions only.
 
 Defined results: a null text counts as empty; an empty table gives an empty result; repeated rows are copies of one another;
-when rows tie on the id, the group keeps that id (each such row then counts as kept); a null id loses to any other; further
-columns of the input, whatever their names, are not read.
+when rows tie on the id, the group keeps that id (each such row then counts as kept); a null id loses to any other; rows
+of earlier batches are not reported again when a later copy takes their place; further columns of the input, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, materialise, scratch, table
+from tidemark.llm.common import ascii_lower, delete_folder, materialise, scratch, table
 
 ENTRY = "text_sha256 string, keep_id long, group_size long"
 
@@ -25,7 +27,7 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far with the row that stays, in Parquet buckets sorted by digest.
+    """Digests seen so far with the row that stays, in Parquet buckets sorted by digest; one entry for each batch that has it.
 
     ``name`` is the table name and ``path`` its folder, which all executors must share. The number of buckets is fixed when
     the index is made, so that each later batch alone is shuffled, never the index.
@@ -38,10 +40,14 @@ class DigestIndex:
 
     @classmethod
     def temporary(cls, spark: SparkSession, buckets: int | None = None) -> DigestIndex:
-        """An index of its own in the shared folder."""
+        """An index of its own in the shared folder, to be dropped."""
         name = f"digest_index_{uuid.uuid4().hex}"
         return cls(spark, name, f"{scratch(spark)}/{name}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_folder(self.spark, self.path)
+
     def _append(self, entries: DataFrame) -> None:
         (
             entries.repartition(self.buckets, "text_sha256")
@@ -50,45 +56,53 @@ class DigestIndex:
         )
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def entries(self) -> DataFrame:
-        """The same rows read by path, without bucketing: a join with them can be split where one digest is hot."""
-        return self.spark.read.schema(ENTRY).parquet(self.path)
+        """One row per digest: the largest id and the number of rows of all batches."""
+        return self.spark.table(self.name).groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
-    def add(self, digests: DataFrame) -> None:
-        """Append the digests of a batch (doc_id, text_sha256) that the index lacks; of a batch's copies the largest id stays."""
+    def add(self, digests: DataFrame) -> DataFrame:
+        """Append the digests of a batch (doc_id, text_sha256); the written entries that hold for them from now on are returned."""
         batch = digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        # Written first: the optimizer would push the anti-join below the aggregate, and then a hot digest's rows meet in one task.
+        # Written first: the optimizer would push the joins below the aggregate, and then a hot digest's rows meet in one task.
         batch = materialise(batch, "digest-batch")
-        self._append(batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+        new = batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        known = self.read().select("text_sha256", F.col("keep_id").alias("_id"), F.col("group_size").alias("_size"))
+        again = batch.join(known.hint("merge"), "text_sha256").select("text_sha256", F.greatest("keep_id", "_id").alias("keep_id"), (F.col("group_size") + F.col("_size")).alias("group_size"))
+        now = materialise(new.union(again), "digest-entries")
+        self._append(batch)
+        return now
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``index`` holds earlier data and is appended to."""
-    index = index or DigestIndex.temporary(docs.sparkSession)
     digests = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
-    index.add(digests)
-    return digests.join(index.entries(), "text_sha256").select(
+    return digests.join(_added(digests, index), "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
+def _added(digests: DataFrame, index: DigestIndex | None) -> DataFrame:
+    if index is not None:
+        return index.add(digests)
+    own = DigestIndex.temporary(digests.sparkSession)
+    try:
+        return own.add(digests)
+    finally:
+        own.drop()
+
+
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` with all their columns, one per text: the one with the largest doc_id; of rows alike in that, any one."""
-    index = index or DigestIndex.temporary(docs.sparkSession)
+    """The rows of ``docs`` with all their columns, one per text: the one with the largest doc_id; of rows alike in that, the greatest as JSON."""
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
-    index.add(rows.select("doc_id", "text_sha256"))
 
     def key(row_id: Column) -> Column:
         return F.concat_ws(":", "text_sha256", row_id.cast("string"))
 
-    winners = index.entries().select(key(F.col("keep_id")).alias("_key"))
+    winners = _added(rows.select("doc_id", "text_sha256"), index).select(key(F.col("keep_id")).alias("_key"))
     # Joined by text and id together, a large group of copies spreads over all tasks, and only its one survivor finds a partner.
     found = rows.select("_row", key(F.col("doc_id")).alias("_key")).join(winners, "_key")
     # Rows that share both text and id are the same document delivered again.
-    return found.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    return found.groupBy("_key").agg(F.max_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
