@@ -28,8 +28,10 @@ import html as html_module
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,36 +298,60 @@ def page_tree(html: str) -> tuple[list[dict], list[dict]]:
 
 
 def main_text(nodes: list[dict], blocks: list[dict], templates: set[int]) -> tuple[str, int]:
-    """The text of a page without the subtrees whose hashes are ``templates``, and the number of (topmost) subtrees that went."""
-    gone, number = [False] * len(nodes), 0
+    """The text of a page without the subtrees that are ``templates`` (their places among the candidates), and the number of topmost ones."""
+    gone, number, place = [False] * len(nodes), 0, -1
     for i, n in enumerate(nodes):
+        place += n["flags"] & CANDIDATE
         if i and gone[n["parent"]]:
             gone[i] = True
-        elif n["flags"] & CANDIDATE and n["hash"] in templates:
+        elif n["flags"] & CANDIDATE and place in templates:
             gone[i], number = True, number + 1
     kept = [b for b in blocks if not gone[b["node"]]] or blocks
     main = [b for b in kept if nodes[b["node"]]["flags"] & MAIN]
     return "\n\n".join(b["text"] for b in main or kept), number
 
 
-TREE = pa.list_(pa.struct([("parent", pa.int32()), ("hash", pa.int64()), ("flags", pa.int32())]))
-BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
-TREE_SQL, BLOCK_SQL = "array<struct<parent:int,hash:bigint,flags:int>>", "array<struct<node:int,text:string>>"
+PLACES = np.dtype([("parent", "<i4"), ("flags", "u1")])
+
+
+def packed(nodes: list[dict], blocks: list[dict]) -> tuple[bytes, bytes]:
+    """The tree, and the blocks' texts, compressed; no block holds a line break."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    tree = np.fromiter(((n["parent"], n["flags"]) for n in nodes), PLACES, len(nodes))
+    where = np.fromiter((b["node"] for b in blocks), "<i4", len(blocks))
+    return squeeze(len(nodes).to_bytes(4, "little") + tree.tobytes() + where.tobytes()), squeeze("\n".join(b["text"] for b in blocks).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(tree: bytes, texts: bytes) -> tuple[list[dict], list[dict]]:
+    expand = zstandard.ZstdDecompressor().decompress
+    tree, texts = expand(tree), expand(texts).decode("utf-8", "surrogatepass")
+    end = 4 + int.from_bytes(tree[:4], "little") * PLACES.itemsize
+    nodes = [{"parent": p, "flags": f} for p, f in np.frombuffer(tree[4:end], PLACES).tolist()]
+    where = np.frombuffer(tree[end:], "<i4").tolist()
+    return nodes, [{"node": i, "text": t} for i, t in zip(where, texts.split("\n"))]
 
 
 def parse_pages(rows: DataFrame) -> DataFrame:
-    """(uid, host, keep, html) to (uid, host, keep, page, nodes, blocks); ``page`` is a hash of the texts that no name takes away."""
+    """(uid, host, keep, html) to (uid, host, keep, page, hashes, tree, texts).
+
+    ``page`` is a hash of the texts that no name takes away, ``hashes`` those of the subtrees that may be template, in order.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, pages in text_slices(batches, "html", 500_000):
-            trees, blocks = zip(*map(page_tree, pages))
-            page = [xxhash.xxh64_intdigest("\x00".join(b["text"] for b in bs)) - (1 << 63) for bs in blocks]
+            page, hashes, cells = [], [], []
+            for nodes, blocks in map(page_tree, pages):
+                page.append(xxhash.xxh64_intdigest("\n".join(b["text"] for b in blocks)) - (1 << 63))
+                hashes.append([n["hash"] for n in nodes if n["flags"] & CANDIDATE])
+                cells.append(packed(nodes, blocks))
+            trees, texts = zip(*cells)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(page, pa.int64()), pa.array(trees, TREE), pa.array(blocks, BLOCK)], ["uid", "host", "keep", "page", "nodes", "blocks"]
+                [batch.column("uid"), batch.column("host"), batch.column("keep"), pa.array(page, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(trees, pa.binary()), pa.array(texts, pa.binary())],
+                ["uid", "host", "keep", "page", "hashes", "tree", "texts"],
             )
 
     keep = rows.schema["keep"].dataType.simpleString()
-    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, page long, nodes {TREE_SQL}, blocks {BLOCK_SQL}")
+    return rows.mapInArrow(parse, f"uid long, host string, keep {keep}, page long, hashes array<bigint>, tree binary, texts binary")
 
 
 def recurring_subtrees(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -342,19 +368,18 @@ def extract(pages: DataFrame, carry: list[str], least_pages: int = LEAST_PAGES)
         F.monotonically_increasing_id().alias("uid"), host.alias("host"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("keep"), "html"
     )
     parsed = materialise(parse_pages(rows), "page-trees")
-    hashes = F.array_distinct(F.transform(F.filter("nodes", lambda n: n["flags"].bitwiseAND(CANDIDATE) > 0), lambda n: n["hash"]))
-    subtrees = parsed.select("uid", "host", "page", F.explode(hashes).alias("hash"))
+    subtrees = parsed.select("uid", "host", "page", F.posexplode("hashes").alias("place", "hash"))
     recurring = materialise(recurring_subtrees(subtrees, least_pages), "page-templates")
-    found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("hash").alias("templates"))
-    joined = parsed.select("uid", "keep", "nodes", "blocks").join(found, "uid", "left").select("keep", "nodes", "blocks", "templates")
+    found = subtrees.join(recurring, ["host", "hash"]).groupBy("uid").agg(F.collect_list("place").alias("templates"))
+    joined = parsed.select("uid", "keep", "tree", "texts").join(found, "uid", "left").select("keep", "tree", "texts", "templates")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
                 texts, numbers = [], []
-                for nodes, blocks, templates in zip(part.column("nodes"), part.column("blocks"), part.column("templates")):
-                    text, number = main_text(nodes.as_py(), blocks.as_py(), set(templates.as_py() or ()))
+                for tree, cell, templates in zip(part.column("tree"), part.column("texts"), part.column("templates")):
+                    text, number = main_text(*unpacked(tree.as_py(), cell.as_py()), set(templates.as_py() or ()))
                     texts.append(text)
                     numbers.append(number)
                 yield pa.RecordBatch.from_arrays([part.column("keep"), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())], ["keep", "text", "n_templates"])
