@@ -40,7 +40,8 @@ PRIOR, DRIFT, EVIDENCE, MOST = 4.0, 0.04, 2.0, 6.0
 LETTERS = re.compile(r"[^\W\d_]+")
 PARTS = re.compile(r"([^\W\d_]+)")
 SIGNIFICANT = 0.05
-MOST_BITS = 1 << 26
+#: Places of the bitmap for each feature that scores, so that few other words pass, and places at most.
+FEATURE_BITS, MOST_BITS = 512, 1 << 27
 
 
 def words(text: str | None) -> list[str]:
@@ -172,8 +173,8 @@ def place_of(word: str) -> int:
 
 
 def bitmap(scored: DataFrame) -> np.ndarray:
-    """A bitmap of the features' places, of 16 bits each and MOST_BITS at most; its size is a power of two."""
-    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * scored.count()).bit_length()))
+    """A bitmap of the features' places, of FEATURE_BITS each and MOST_BITS at most; its size is a power of two."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (FEATURE_BITS * scored.count()).bit_length()))
     place = F.col("at") % bits + 1
     parts = scored.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
@@ -186,15 +187,24 @@ def candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """(uid, doc_id, toxic, text) to uid, doc_id, toxic, n (words) and found: the words of which the bitmap has a feature, with their places."""
     FOUND = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    class Scores(dict):
+        """Whether the bitmap has a feature."""
+
+        def __missing__(self, feature: str) -> bool:
+            at = place_of(feature) % (8 * len(bits))
+            self[feature] = found = bool(bits[at >> 3] >> (at & 7) & 1)
+            return found
+
     class Passes(dict):
+        """Whether it has one of a word's features."""
+
+        scores = Scores()
+
         def __missing__(self, word: str) -> bool:
-            for feature in feature_list(word):
-                at = place_of(feature) % (8 * len(bits))
-                if bits[at >> 3] >> (at & 7) & 1:
-                    self[word] = True
-                    return True
-            self[word] = False
-            return False
+            if len(self.scores) > 300_000:
+                self.scores.clear()
+            self[word] = passes = any(map(self.scores.__getitem__, feature_list(word)))
+            return passes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = Passes()
@@ -202,7 +212,7 @@ def candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             n, found = [], []
             for cell in batch.column("text"):
                 text = (cell.as_py() or "").lower()
-                if len(passes) > 100_000:
+                if len(passes) > 300_000:
                     passes.clear()
                 # What is between words, and the words, in turn.
                 parts = PARTS.split(text)
