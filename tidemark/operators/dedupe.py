@@ -8,16 +8,18 @@ same scores in the same order. So hot titles cost nothing, and the step's cost i
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tidemark.dims import COUNTRIES, SEVERITY_LEVELS, SOURCE_RANKS, literal_map, lookup
 from tidemark.functions.similarity import lcs_ratio, length_bound, ratio, similarity
 from tidemark.functions.text import event_hash, normalize, summary
 from tidemark.operators.classify import event_severity, source_confidence
 from tidemark.operators.match import first_country, infer_hazard
+from tidemark.sources.shared import written
 
 CLUSTER_AT, UPDATED_AT = 0.90, 0.92
 
@@ -31,13 +33,19 @@ def candidates(items: DataFrame, countries: list[str], hazards: list[str]) -> Da
 
 
 def leaders(titles: list[str], threshold: float, score=ratio) -> list[int]:
-    """DD02's greedy step: for each title the first earlier leader that it is similar enough to, or itself."""
+    """DD02's greedy step: for each title the first earlier leader that it is similar enough to, or itself.
+
+    Neither score is above twice the characters that both have, whatever their order, over all: that is looked at first.
+    """
     chosen: list[int] = []
+    letters = [Counter(t) for t in titles]
     out = []
     for i, title in enumerate(titles):
         for j in chosen:
-            bound = 1.0 if not title and not titles[j] else 2 * min(len(title), len(titles[j])) / (len(title) + len(titles[j]))
-            if bound >= threshold and score(title, titles[j]) >= threshold:
+            both = len(title) + len(titles[j])
+            if 2 * min(len(title), len(titles[j])) < threshold * both or 2 * sum((letters[i] & letters[j]).values()) < threshold * both:
+                continue
+            if score(title, titles[j]) >= threshold:
                 out.append(j)
                 break
         else:
@@ -119,20 +127,40 @@ def events_of(clusters: DataFrame, order: str = "ord") -> DataFrame:
     return full.groupBy("event_id").agg(F.min_by(F.struct(*names), "ord").alias("e")).select("event_id", "e.*")
 
 
+def rare_grams(titles: DataFrame, threshold: float) -> DataFrame:
+    """(t, first) to (t, first, gram): as many of a title's rarest q-grams as a similar title of another wording must share one of.
+
+    Of the q-grams of a title of length n, one similar to it at the threshold lacks n - M (characters without partner) times q,
+    and q - 1 for each of its own characters without one, at most; M, the characters with a partner, is at least the threshold
+    times half of both lengths, and these differ by the factor (2 - t) / t at most. If it lacks no more than k, and the
+    other way round, then the k + 1 rarest ones of each have one in common. Repeated grams are told apart by number.
+    """
+    lacks = lambda q, r: q + (q - 1) * r - (2 * q - 1) * threshold * (1 + r) / 2
+    worst = lambda q: max(lacks(q, threshold / (2 - threshold)), lacks(q, (2 - threshold) / threshold))
+    # The shortest title that can have a similar one of another wording; it must keep a gram.
+    least = threshold / (2 * (1 - threshold)) - 1e-9 if threshold < 1 else float("inf")
+    q = next((q for q in (3, 2) if least - q + 1 - worst(q) * least >= 1), 1)
+    n = F.char_length("t")
+    grams = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring("t", i, F.lit(q)))
+    numbered_grams = F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda other: other == g)).cast("string")))
+    each = titles.filter((n >= q) & (n >= least)).select("t", "first", F.explode(numbered_grams).alias("gram"))
+    times = each.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    most = F.floor(worst(q) * n + 1e-9).cast("int") + 1
+    ranked = each.join(times, "gram").groupBy("t", "first").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("all"))
+    return ranked.select("t", "first", F.explode(F.slice("all", F.lit(1), most)).alias("g")).select("t", "first", "g.gram")
+
+
 def updated_events(events: DataFrame, threshold: float = UPDATED_AT) -> DataFrame:
     """JN06: event_id of the events whose title is similar to that of any earlier one of the batch.
 
-    A title's later events follow an equal one, so only its first one is compared with others. For those pairs, titles of a threshold t can differ in length by
-    the factor (2-t)/t at most, so they meet by length: a title of length n is in the band of n and looks in its own and the
-    one below, whose widths grow by that factor. Of those pairs, what the bound on the ratio allows is compared.
+    A title's later events follow an equal one, so only its first one is compared with others: with those that share one of
+    its rarest q-grams (see ``rare_grams``: none that is similar enough is lost) and whose lengths allow it.
     """
     titled = events.select("event_id", "ord", normalize(F.col("title")).alias("t"))
     distinct = titled.groupBy("t").agg(F.min("ord").alias("first"))
-    step = (2 - threshold) / threshold + 1e-9
-    band = F.floor(F.ln(F.greatest(F.char_length("t"), F.lit(1)).cast("double")) / F.ln(F.lit(step))).cast("long")
-    a = distinct.select(F.col("t").alias("ta"), F.col("first").alias("fa"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = distinct.select(F.col("t").alias("tb"), F.col("first").alias("fb"), band.alias("band"))
-    pairs = a.join(b, "band").filter((F.col("fb") < F.col("fa")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold))
+    grams = written(rare_grams(distinct, threshold), "rare-grams")
+    a, b = grams.select(F.col("t").alias("ta"), F.col("first").alias("fa"), "gram"), grams.select(F.col("t").alias("tb"), F.col("first").alias("fb"), "gram")
+    pairs = a.join(b, "gram").filter((F.col("fb") < F.col("fa")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold)).select("ta", "tb", "fb").distinct()
     near = pairs.withColumn("s", similarity("ta", "tb")).filter(F.col("s") >= threshold).groupBy(F.col("ta").alias("t")).agg(F.min("fb").alias("near"))
     known = titled.join(distinct, "t").join(near, "t", "left")
     return known.filter((F.col("first") < F.col("ord")) | (F.col("near") < F.col("ord"))).select("event_id")
@@ -159,5 +187,6 @@ def hash_set(events: DataFrame) -> DataFrame:
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """WN07: the first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    """WN07: the first row of each key, as an aggregate, which a hot key does not hold up."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*").select(*rows.columns)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from tidemark.functions.text import source_label
 from tidemark.functions.urls import domain
 from tidemark.operators.classify import connector_weight, source_tier, tier_weight
+from tidemark.operators.ordering import numbered
 
 
 def event_texts(events: DataFrame, items: DataFrame) -> DataFrame:
@@ -85,9 +86,11 @@ def capped(scored: DataFrame, by: str, cap: int, limit: int) -> DataFrame:
 def balanced(scored: DataFrame, limit: int, countries: list[str], per_country: int, per_connector: int, per_source: int) -> DataFrame:
     """SL02: a quota for each country in turn, then the best of the rest, under caps for connectors and sources and a limit.
 
-    Whether a row is taken depends on all taken before it, so the last step is a loop. It sees few rows: no row can be taken
-    that stands behind limit others of its own country, connector and source, and there are only so many of those groups'
-    first rows that it needs to see ids and keys of, not rows.
+    Whether a row is taken depends on all taken before it, so the last step is a loop. It sees few rows. Of a country, connector
+    and source only the first ``per_source`` events can be taken. Of a country and connector, a row is passed over because its
+    source is full (at most ``limit`` sources can be, each with so many rows) or its event was taken (at most ``limit`` were, each
+    with one row a source, of which the first ``limit`` + 1 settle it); so only its first ``limit`` * (2 * ``limit`` + 3) rows can be.
+    The loop has ids and keys of so many rows for each pair of a country and a connector, whatever the number of sources.
     """
     source = F.when((F.col("source_label") != "unknown"), F.col("source_label")).otherwise(F.coalesce(F.nullif(domain(F.coalesce("canonical_url", "url") if "canonical_url" in scored.columns else F.col("url")), F.lit("")), F.lit("unknown")))
     keyed = scored.withColumn("_source", source).withColumn("_country", F.lower("country"))
@@ -99,6 +102,9 @@ def balanced(scored: DataFrame, limit: int, countries: list[str], per_country: i
     # The first rows of each group, and of those the best of each country and connector.
     most = min(limit, per_source) if per_source > 0 else limit
     near = events.withColumn("_n", F.row_number().over(group)).filter(F.col("_n") <= most).drop("_n")
+    place = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*evidence_order()))
+    near = near.withColumn("_n", place("_country", "connector", "event_id")).filter(F.col("_n") <= limit + 1)
+    near = near.withColumn("_n", place("_country", "connector")).filter(F.col("_n") <= limit * (2 * limit + 3)).drop("_n")
     light = near.orderBy(*evidence_order()).select("id", "event_id", "_country", "connector", "_source").toLocalIterator()
     rows, taken, used, connectors, sources = list(light), [], set(), Counter(), Counter()
 
@@ -161,12 +167,9 @@ def top_labels(counts: DataFrame, label: str, count: str, limit: int) -> DataFra
 
 
 def citation_numbers(evidence: DataFrame, url: str, order: str) -> DataFrame:
-    """WN01: (url, n): addresses numbered in order of their first appearance.
-
-    The final numbering runs over distinct addresses, which for a report are few; ``order`` is the evidence's rank.
-    """
+    """WN01: (url, n): addresses numbered in order of their first appearance; ``order`` is the evidence's rank."""
     first = evidence.filter(F.coalesce(F.col(url), F.lit("")) != "").groupBy(F.trim(url).alias("url")).agg(F.min(order).alias("_first"))
-    return first.select("url", F.row_number().over(W.orderBy("_first")).cast("long").alias("n"))
+    return numbered(first, ["_first", "url"]).select("url", (F.col("n") + 1).cast("long").alias("n"))
 
 
 def citation_refs(evidence: DataFrame, numbers: DataFrame, url: str) -> DataFrame:
@@ -177,8 +180,8 @@ def citation_refs(evidence: DataFrame, numbers: DataFrame, url: str) -> DataFram
 
 def batches(rows: DataFrame, by: str, order: str, size: int = 15) -> DataFrame:
     """WN08: (by, batch, ids): rows of each group in order, ``size`` to a batch."""
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size))
-    return numbered.groupBy(by, "batch").agg(F.sort_array(F.collect_list(order)).alias("members"))
+    placed = numbered(rows.select(by, order), [order], [by]).withColumn("batch", F.floor(F.col("n") / size))
+    return placed.groupBy(by, "batch").agg(F.sort_array(F.collect_list(order)).alias("members"))
 
 
 def apply_batch_results(items: DataFrame, results: DataFrame) -> DataFrame:

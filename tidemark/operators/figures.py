@@ -29,21 +29,24 @@ def _value(number: Column) -> Column:
     return F.try_to_number(F.regexp_replace(F.regexp_replace(number, ",", ""), r"\..*$", ""), F.lit("9" * 18)).cast("long")
 
 
-def _found(text: Column, pattern: str, number: int, label: int | None) -> Column:
-    """Array of struct<key, value> of all matches; without a label group they count deaths."""
-    numbers = F.regexp_extract_all(text, F.lit(pattern), number)
-    if label is None:
-        return F.transform(numbers, lambda n: F.struct(F.lit("deaths").alias("key"), _value(n).alias("value")))
-    labels = F.regexp_extract_all(text, F.lit(pattern), label)
-    return F.zip_with(numbers, labels, lambda n, x: F.struct(_key(F.lower(x)).alias("key"), _value(n).alias("value")))
+def _found(text: Column, pattern: str, labelled: bool) -> Column:
+    """Array of struct<key, value> of all matches, found in one scan; without labels they count deaths.
+
+    A match holds one number; its label, if the pattern has one, is the last word (of health facilities, the last two).
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    number = lambda m: _value(F.regexp_extract(m, r"\d[\d,]*(?:\.\d+)?", 0))
+    label = lambda m: _key(F.lower(F.regexp_extract(m, r"(?i)(?:health\s*facilit|[a-z]+)$", 0))) if labelled else F.lit("deaths")
+    return F.transform(matches, lambda m: F.struct(label(m).alias("key"), number(m).alias("value")))
 
 
 def figure_mentions(text: Column) -> Column:
-    """All figures that the four families find, as an array of struct<key, value>."""
-    toll = F.filter(F.concat(_found(text, TOLL, 1, None), _found(text, TOLL, 2, None)), lambda x: x["value"] > 0)
-    near = F.filter(_found(text, SENTENCE, 1, None), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
-    every = F.concat(_found(text, NUMBER_LABEL, 1, 2), toll, _found(text, AT_LEAST, 1, 2), near)
-    return F.filter(every, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
+    """All figures that the four families find, as an array of struct<key, value>; a text without a digit is not scanned."""
+    toll = F.filter(_found(text, TOLL, False), lambda x: x["value"] > 0)
+    near = F.filter(_found(text, SENTENCE, False), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
+    every = F.concat(_found(text, NUMBER_LABEL, True), toll, _found(text, AT_LEAST, True), near)
+    found = F.filter(every, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<key:string,value:bigint>>"))
 
 
 def figures(items: DataFrame, text: str, *ids: str) -> DataFrame:

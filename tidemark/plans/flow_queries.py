@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ontology
 from tidemark.plans.adapters import EV, TM, events, read, telemetry
 from tidemark.plans.core_queries import _STREAK
+from tidemark.plans.graph_queries import _BASE as GRAPH
 from tidemark.plans.graph_queries import _impacts
 from tidemark.sources import feeds
 from tidemark.sources.shared import shared_folder
@@ -68,21 +69,20 @@ def st02(spark, sf_dir):
     return found.groupBy(F.col("cycle_id").cast("long").alias("cycle"), "status").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("snk01_persist_cycle", f"WITH {EV} SELECT cycle_id, status, count(*) AS events FROM ev WHERE cycle_id % 40 < 3 GROUP BY ALL")
+@query("snk01_persist_cycle", f"WITH {EV} SELECT cycle_id, status, count(*) AS events FROM ev GROUP BY ALL")
 def snk01(spark, sf_dir):
     """SNK01: events appended by cycle and read back."""
     store = Warehouse(spark, shared_folder(spark, "store"))
-    store.append("events", events(spark, sf_dir).filter("cycle_id % 40 < 3").drop("citations", "text", "id", "n_citations", "llm_enriched"))
+    store.append("events", events(spark, sf_dir).drop("citations", "text", "id", "n_citations", "llm_enriched"))
     return store.read("events").groupBy("cycle_id", "status").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("snk02_ontology_snapshots", f"WITH {EV} SELECT 2 AS snapshot_id, count(*) AS impacts FROM ev WHERE id % 7 = 0 UNION ALL SELECT 1, count(*) FROM ev WHERE id % 5 = 0")
+@query("snk02_ontology_snapshots", f"WITH {GRAPH} SELECT 1 AS snapshot_id, count(*) AS impacts FROM ix UNION ALL SELECT 2, count(*) FROM ix JOIN ev USING (id) WHERE severity IN ('high', 'critical')")
 def snk02(spark, sf_dir):
-    """SNK02, SNK03: two snapshots of first impacts, the newest first."""
+    """SNK02, SNK03: a snapshot of all impacts and one of the severe ones, the newest first."""
     store = Warehouse(spark, shared_folder(spark, "snapshots"))
-    first = _impacts(spark, sf_dir).filter("pos = 0").drop("figures")
-    for snapshot, part in ((1, "id % 5 = 0"), (2, "id % 7 = 0")):
-        store.persist_ontology(snapshot, {"impacts": first.filter(part)})
+    store.persist_ontology(1, {"impacts": _impacts(spark, sf_dir)})
+    store.persist_ontology(2, {"impacts": _impacts(spark, sf_dir).filter("severity_phase >= 3")})
     return store.snapshots(10).select(F.col("snapshot_id").cast("int").alias("snapshot_id"), "impacts")
 
 

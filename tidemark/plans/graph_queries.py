@@ -8,10 +8,14 @@ from pyspark.sql.window import Window as W
 from tidemark import dims
 from tidemark.functions.text import source_label
 from tidemark.operators import evidence, ontology, render, reports
-from tidemark.plans.adapters import EV, read
+from tidemark.plans.adapters import EVENT, EVENT_FROM, read
 from tidemark.plans.adapters import text_events as events
+from tidemark.sources.shared import written
 from tidemark.plans.text_queries import _IMPACTS, _NEEDS, FIGURES_SQL, _any, _map
 
+#: The ontology reads title, summary and text together; the oracles' text is that.
+EV = "ev AS (SELECT * REPLACE (concat_ws(' ', title, summary, text) AS text) FROM (SELECT " + ", ".join(f"{e} AS {n}" for n, e in EVENT.items()) + f" FROM {EVENT_FROM}))"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -50,7 +54,7 @@ def _annotated(spark, sf_dir):
     placed = facts.join(supplier.select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("id") % n + least)
     place = F.when(F.col("id") % 4 == 0, F.lit(first)).when(F.col("id") % 4 == 3, F.col("s_name")).otherwise(F.col("country"))
     level = F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 3, 2).otherwise(1)
-    out = placed.withColumns({"geo_area": place, "admin_level": level, "source_label": source_label(F.col("title"))}).withColumn("summary", F.lit("")).withColumn("title", F.lit(""))
+    out = placed.withColumns({"geo_area": place, "admin_level": level, "source_label": source_label(F.col("title"))})
     return ontology.annotate(out)
 
 
@@ -161,7 +165,8 @@ def ag21(spark, sf_dir):
 sh AS (SELECT admin1_key, figure_key, round_even(v * (m::DOUBLE / (SELECT sum(m) FROM me)::DOUBLE), 0)::BIGINT AS share FROM me, na), bo AS (SELECT coalesce(a1f.admin1_key, sh.admin1_key) AS admin1_key, coalesce(a1f.figure_key, sh.figure_key) AS figure_key, coalesce(a1f.value, 0) AS own, coalesce(share, 0) AS share FROM a1f FULL JOIN sh ON a1f.admin1_key = sh.admin1_key AND a1f.figure_key = sh.figure_key)
 SELECT admin1_key, figure_key, greatest(own, share) AS value, share > own AS distributed FROM bo WHERE greatest(own, share) > 0 OR NOT share > own""")
 def ag22(spark, sf_dir):
-    return ontology.allocate(_impacts(spark, sf_dir), _geo(spark, sf_dir))
+    # Read along three branches, so written once.
+    return ontology.allocate(written(_impacts(spark, sf_dir).select("event_id", "geo_area", "admin_level", "figures"), "impacts"), _geo(spark, sf_dir))
 
 
 @query("ag23_sector_by_area", f"WITH {EV}, {_GEO}, {_EVG}, {_NEEDROWS} SELECT need_type, geo_area, count(*) AS needs, max({_PHASE}) AS max_severity FROM nn GROUP BY ALL")

@@ -83,9 +83,9 @@ def sc06(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("clean"))
 
 
-@query("sc07_aggregator_target", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS target FROM pages WHERE NOT contains(url, '#') AND NOT contains(url, '?')")
+@query("sc07_aggregator_target", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS target FROM pages")
 def sc07(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").filter(~F.col("url").contains("#") & ~F.col("url").contains("?"))
+    pages = read(spark, sf_dir, "pages")
     wrapped = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://news.google.com/articles?oc=5&url="), F.url_encode("url"))).otherwise(F.col("url"))
     return pages.select("page_id", urls.aggregator_target(wrapped).alias("target"))
 
@@ -415,7 +415,8 @@ def pr17(spark, sf_dir):
 _AREAS = "ar AS (SELECT n_name AS name, n_nationkey % 2 + 1 AS admin_level, n_nationkey AS ord FROM nation UNION ALL SELECT 'Red Cross', 2, 100 UNION ALL SELECT 'flood', 0, 101 UNION ALL SELECT 'road', 1, 102)"
 
 
-@query("pr18_detect_area", rf"""WITH {EV}, {_AREAS}, m AS (SELECT ev.id, arg_min(ar.name, (-ar.admin_level, ar.ord)) AS area FROM ev JOIN ar ON ar.admin_level >= 1 AND regexp_matches(lower(ev.text), '(^|[^\p{{L}}\p{{N}}_])' || lower(ar.name) || '($|[^\p{{L}}\p{{N}}_])') GROUP BY ev.id) SELECT ev.id, m.area FROM ev LEFT JOIN m USING (id)""")
+@query("pr18_detect_area", rf"""WITH {EV}, {_AREAS}, w AS (SELECT id, ' ' || regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ' AS words FROM ev),
+m AS (SELECT w.id, arg_min(ar.name, (-ar.admin_level, ar.ord)) AS area FROM w JOIN ar ON ar.admin_level >= 1 AND contains(w.words, ' ' || lower(ar.name) || ' ') GROUP BY w.id) SELECT ev.id, m.area FROM ev LEFT JOIN m USING (id)""")
 def pr18(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 + 1).alias("admin_level"), F.col("n_nationkey").alias("ord"))
     more = spark.createDataFrame([("Red Cross", 2, 100), ("flood", 0, 101), ("road", 1, 102)], "name string, admin_level int, ord int")
