@@ -6,9 +6,11 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -36,6 +38,8 @@ def texts():
         out.append(" ".join(changed))
     out += [out[0].upper(), out[1], out[1], "", None, "a b c", "A B  c", "x\nx\nx y z\nx", "## $$ %% && ** ## $$ %% && ** word word"]
     out += [out[2] + " " + out[3], " ".join(base[:150]), " ".join(base[:180]), "a text that ends <|endoftext|> and goes on <|endoftext|>"]
+    mit = licenses.KNOWN[1][1]
+    out += [mit, "Before it.\n\n  Copyright (c) 1999 A. N. Other\n" + mit.replace(", ", ",\n  * ") + "\nAfter it.\nLicensed under CC BY-NC 4.0."]
     return out
 
 
@@ -274,9 +278,35 @@ def test_token_entries_split_large_counts():
 def test_license_variants(make_docs):
     mit = licenses.KNOWN[0][1]
     other = ("Copyright (c) 2020 Somebody\n\n" + mit.replace("sublicense", "sub-license")).replace(". ", ".\n").upper()
-    docs = make_docs([(1, mit), (2, other), (3, mit + " and more"), (4, "Intro.\nReleased under the MIT Licence!\nEnd."), (5, "Licensed under the Apache License, version 2.0")])
+    docs = make_docs([(1, mit), (2, other), (3, mit + " and more"), (6, "Words.\n" + other + "\n\nMore words."), (4, "Intro.\nReleased under the MIT Licence!\nEnd."), (5, "Licensed under the Apache License, version 2.0")])
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs).collect()}
-    assert got == {1: ("MIT", "MIT"), 2: ("MIT", ""), 3: (None, ""), 4: (None, "MIT"), 5: ("Apache-2.0", "Apache-2.0")}
+    assert got == {1: ("MIT", "MIT"), 2: ("MIT", "MIT"), 3: (None, ""), 4: (None, "MIT"), 5: ("Apache-2.0", "Apache-2.0"), 6: (None, "MIT")}
+
+
+def test_notices_need_no_word_for_licences(make_docs):
+    bsd = dict(licenses.KNOWN)["BSD-3-Clause"]
+    wrapped = textwrap.fill(bsd, 60)
+    got = {r.doc_id: r.notices for r in licenses.scan(make_docs([(1, f"x = 1\n{wrapped}\ny = 2"), (2, wrapped.replace("endorse", "promote"))])).collect()}
+    assert got == {1: "BSD-3-Clause", 2: ""}
+
+
+def test_long_licences_by_their_digests(make_docs):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no licence texts on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {i: (folder / f).read_text() for f, i in names.items()}
+    rows = [(k, t) for k, t in enumerate(texts.values())] + [(10 + k, "Notice follows.\n" + t.upper().replace("\n", " \n> ") + "\nThat was it.") for k, t in enumerate(texts.values())]
+    got = {r.doc_id: (r.license, r.notices.split(",")) for r in licenses.scan(make_docs(rows)).collect()}
+    for k, name in enumerate(texts):
+        assert got[k][0] == name and name in got[k][1] and got[10 + k][0] is None and name in got[10 + k][1]
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "GROUP", 4)
+    rows = [list(range(n)) for n in (0, 1, 4, 5, 8, 21)]
+    got = spark.createDataFrame([(r,) for r in rows], "xs array<int>").select("xs", licenses._running_sums(F.col("xs")).alias("sums")).collect()
+    assert all(r.sums == list(itertools.accumulate(r.xs)) for r in got) and len(got) == 6
 
 
 # --- near duplicates
