@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, policy, similarity, spans, text, urls
-from tidemark.operators import classify, dedupe, evidence, figures, health, match, reports
+from tidemark.operators import classify, dedupe, evidence, figures, health, match, ontology, ordering, render, reports
 from tidemark.sources import documents, feeds, tables
 from tidemark.streaming.freshness import streak_stream
 from tidemark.streaming.polling import run_cycles
@@ -293,3 +294,80 @@ def test_balanced_repeated_event(spark):
     scored = spark.createDataFrame(rows, "id long, event_id string, country string, connector string, url string, source_label string, graph_score double, severity string, published_at string")
     got = evidence.balanced(scored, 5, ["Nepal"], 3, 0, 4).collect()
     assert [r.id for r in got] == [20, 10, 9, 8]
+
+
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_numbering_by_ranges_equals_one_window(spark, by):
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.random(), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, i long").repartition(6)
+    got = {r.i: r.n for r in ordering.numbered(df, ["x", "i"], by).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    wanted, seen = {}, Counter()
+    for g, _, i in order:
+        key = g if by else None
+        wanted[i] = seen[key]
+        seen[key] += 1
+    assert got == wanted
+
+
+def test_rare_grams_lose_no_similar_title(spark):
+    """At several thresholds: titles made from one another by few changes, and short ones."""
+    rng = random.Random(21)
+    base = ["flood in the northern valley", "earthquake near the coast today", "ab", "abc", "abcdefg", "drought: crops fail again and again", "aaaaaaaaaaaa"]
+    titles = list(base)
+    for t in base * 12:
+        chars = list(t)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(chars))
+            chars[k : k + 1] = rng.choice([[], [rng.choice("abcxyz")], [chars[k], rng.choice("abc")]])
+            chars = chars or ["q"]
+        titles.append("".join(chars))
+    events = spark.createDataFrame([(f"e{i}", i, t) for i, t in enumerate(titles)], "event_id string, ord long, title string")
+    normal = [" ".join(t.lower().split()) for t in titles]
+    for threshold in (0.92, 0.86, 0.7):
+        wanted = {f"e{j}" for i, j in itertools.combinations(range(len(titles)), 2) if SequenceMatcher(None, normal[j], normal[i]).ratio() >= threshold}
+        assert {r.event_id for r in dedupe.updated_events(events, threshold).collect()} == wanted
+
+
+def test_situation_analysis_has_every_section_from_its_operator(spark):
+    evidence = spark.createDataFrame(
+        [
+            ("e1", "Flood in Sofala", "s", "At least 12 people killed and 300 displaced; shelter and food needed. Road cut near Beira. Further flooding expected this week.", "Beira", "flood", "high", "2026-01-02", "c", "http://a", 1),
+            ("e2", "Flood in Sofala", "s", "5 killed. Clean water needed.", "Sofala", "flood", "medium", "2026-01-03", "c", "http://b", 2),
+        ],
+        "event_id string, title string, summary string, text string, geo_area string, disaster_type string, severity string, published_at string, connector string, url string, id long",
+    ).withColumns({"source_label": F.lit("Wire"), "admin_level": F.lit(1)})
+    areas = spark.createDataFrame([("Sofala", 1, "", 1, ""), ("Beira", 2, "Sofala", 2, "")], "name string, admin_level int, parent string, ord int, iso3 string")
+    geo, facts = ontology.geo_nodes(areas, "ord"), ontology.annotate(evidence)
+    found = ontology.impacts(facts, "id", "admin_level")
+    figures = ontology.explode_figures(found.filter("pos = 0"), "id", "geo_area", "reported_date", "source_label", "connector", "url").withColumnRenamed("id", "ord")
+    needs = ontology.need_statements(facts)
+    annex = spark.createDataFrame([("Sofala", "Beira")], "admin1 string, districts string")
+    sources = spark.createDataFrame([(1, "http://a"), (2, "http://b")], "n long, url string")
+    lines = render.analysis_lines(
+        "Cyclone", ontology.national_figures_dated(figures), ontology.admin1_rollup(found.drop("admin_level"), geo).withColumnRenamed("admin1_key", "name"), ontology.admin2_rollup(found.drop("admin_level"), geo), ontology.sector_summary(needs),
+        ontology.sector_by_area(needs), reports.access_constraints(facts, "text", "id"), ontology.risk_statements(facts), annex, sources,
+    )
+    text_ = render.document(lines).first().markdown
+    parts = {p.split("\n", 1)[0]: p for p in text_.split("## ")[1:]}
+    assert list(parts) == ["Executive Summary", "National Impact Overview", "Province-Level Impact", "District-Level Impact", "Shelter", "WASH", "Health", "Food Security", "Protection", "Education", "Access Constraints", "Outstanding Needs", "Forecast", "Annex", "Sources and References"]
+    assert "| deaths | 17 | 2026-01-03 | Wire |" in parts["National Impact Overview"] and "| displaced | 300 |" in parts["National Impact Overview"]
+    assert "| sofala | beira |" in parts["District-Level Impact"] and "| sofala |" in parts["Province-Level Impact"]
+    assert "- shelter: 1" in parts["Outstanding Needs"] and "Beira (1)" in parts["Shelter"] and "No data." in parts["Education"]
+    assert "Road cut near Beira" in parts["Access Constraints"] and "- flood, next 7d: 1 statements" in parts["Forecast"]
+    assert "- Sofala: Beira" in parts["Annex"] and parts["Sources and References"].rstrip().endswith("1. http://a\n2. http://b")
+    row = reports.analysis_score(spark.createDataFrame([(1, text_)], "doc_id long, markdown string")).first()
+    assert row.section_completeness == 1.0 and row.citation_accuracy == 1.0
+
+
+def test_quality_table(spark):
+    scores = spark.createDataFrame([(1, 0.9, 0.1, 1.0, 1.0, 1.0, 0.2, 0.7, True)], "doc_id long, section_completeness double, key_figure_coverage double, citation_accuracy double, citation_density double, admin_coverage double, date_attribution double, overall_score double, passed boolean")
+    lines = reports.quality_table(scores).first().markdown.split("\n")
+    assert "### Quality Gate: **PASS** (score 0.70)" in lines and "| Key Figure Coverage | 0.10 | 0.30 | **Fail** |" in lines and "| Section Completeness | 0.90 | 0.70 | Pass |" in lines
+
+
+def test_broken_feed_bytes(spark, tmp_path):
+    (tmp_path / "feed.xml").write_bytes(b"<rss><channel><item><title>Caf\xe9 \xff</title><link>http://a</link></item><item><title>x</link></item><item><title>Good</title><link>http://b</link></item>")
+    rows = feeds.read_feeds(spark, str(tmp_path)).collect()
+    assert [r.link for r in rows if r._corrupt_record is None] == ["http://a", "http://b"] and sum(r._corrupt_record is not None for r in rows) == 1

@@ -168,6 +168,7 @@ ANALYSIS_SECTIONS = [
 ANALYSIS_FIGURES = ["affected", "displaced", "deaths", "injured", "missing", "houses_damaged", "houses_destroyed"]
 ANALYSIS_WEIGHTS = {"section_completeness": 0.25, "key_figure_coverage": 0.20, "citation_accuracy": 0.15, "citation_density": 0.10, "admin_coverage": 0.15, "date_attribution": 0.15}
 ANALYSIS_PASS = 0.55
+ANALYSIS_LEAST = {"section_completeness": 0.70, "key_figure_coverage": 0.30, "citation_accuracy": 0.80, "citation_density": 0.5, "admin_coverage": 0.20, "date_attribution": 0.30}
 
 # Feeds that every registry starts from.
 DEFAULT_FEEDS = {

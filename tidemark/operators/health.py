@@ -184,6 +184,11 @@ def conformance(checks: DataFrame, hardening_status: Column) -> DataFrame:
     return counts.select(status.alias("status"), "passed", "failed", "pending")
 
 
+def running_totals(events: DataFrame) -> DataFrame:
+    """WN05: (cycle_id, events, events_so_far); a row a cycle is all that the window has."""
+    return events.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("events")).withColumn("events_so_far", F.sum("events").over(W.orderBy("cycle_id").rowsBetween(W.unboundedPreceding, 0)))
+
+
 def cycle_summary(events: DataFrame) -> DataFrame:
     """AG29: new, updated and unchanged events of each cycle."""
     return events.groupBy("cycle_id").agg(*[F.count_if(F.col("status") == s).alias(f"{s}_events") for s in ("new", "updated", "unchanged")])

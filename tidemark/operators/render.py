@@ -48,19 +48,65 @@ def long_report(evidence: DataFrame, title: str, most: int = 60) -> str:
     return "\n".join(parts)
 
 
-def analysis_report(event: str, national: DataFrame, admin1: DataFrame, sectors: DataFrame, sources: DataFrame) -> str:
-    """RN02, RN03, RN05: the situation analysis from its aggregates: national (figure_key, value, as_of, source), admin1 (name, impacts, severity), sectors, sources (n, url)."""
-    figures = [r.line for r in table_rows(national.orderBy("figure_key"), "figure_key", "value", "as_of", "source").collect()]
-    areas = [r.line for r in table_rows(admin1.orderBy("name"), "name", "impact_count", "max_severity", "districts").collect()]
-    needs = {r.need_type: r for r in sectors.collect()}
-    names = {"Shelter": "shelter", "WASH": "wash", "Health": "health", "Food Security": "food_security", "Protection": "protection", "Education": "education"}
-    parts = [f"# Situation Analysis: {event}", "", "## Executive Summary", "", f"{len(figures)} kinds of figures in {len(areas)} areas. [1]", "Figures are the largest reported for each area. [1]", ""]
-    parts += [headed("National Impact Overview", ["Category", "Figure", "As of", "Source"], figures), headed("Province-Level Impact", ["Area", "Impacts", "Severity", "Districts"], areas), "## District-Level Impact", "", "See the districts above.", ""]
-    for heading, key in names.items():
-        row = needs.get(key)
-        parts += [f"## {heading}", "", f"{row.needs} statements, phase {row.max_severity} at most, in {row.areas}." if row else "No data.", ""]
-    parts += ["## Access Constraints", "", "None recorded.", "", "## Outstanding Needs", "", ", ".join(sorted(needs)) or "None recorded.", "", "## Forecast", "", "None recorded.", "", "## Annex", "", "None.", "", "## Sources and References", ""]
-    return "\n".join([*parts, *[f"{r.n}. {r.url}" for r in sources.orderBy("n").collect()], ""])
+def analysis_lines(
+    event: str, national: DataFrame, admin1: DataFrame, admin2: DataFrame, sectors: DataFrame, by_area: DataFrame, constraints: DataFrame, risks: DataFrame, annex: DataFrame, sources: DataFrame, most: int = 20
+) -> DataFrame:
+    """RN02, RN03, RN05: (part, place, text), the lines of the situation analysis from its aggregates.
+
+    national (figure_key, value, as_of, source), admin1 (name, impact_count, max_severity, districts), admin2 (geo_key, parent,
+    impact_count, max_severity), sectors (need_type, needs, max_severity, areas), by_area (need_type, geo_area, needs,
+    max_severity), constraints (snippet, first), risks (hazard_name, horizon, event_id), annex (admin1, districts), sources (n,
+    url). No line comes to the driver. Lists of constraints have the ``most`` first ones, of areas in need the most frequent.
+    """
+    spark = national.sparkSession
+    place = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    fixed: list[tuple[int, str, str]] = []
+    parts: list[DataFrame] = []
+
+    def add(part: int, heading: str, lines: DataFrame | None, columns: list[str] | None = None) -> None:
+        fixed.append((part, " 0", f"## {heading}\n"))
+        if columns:
+            fixed.append((part, " 1", "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)))
+        if lines is not None:
+            own = lines.select(F.lit(part).alias("part"), F.concat(F.lit("+"), "place").alias("place"), "text")
+            none = own.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(part), F.lit("+"), F.lit("No data."))
+            parts.extend([own, none])
+        fixed.append((part, "~", ""))
+
+    def table(rows: DataFrame, order: Column, *columns: str) -> DataFrame:
+        return table_rows(rows.withColumn("place", order), *columns).select("place", F.col("line").alias("text"))
+
+    fixed.append((0, "0", f"# Situation Analysis: {event}\n"))
+    counts = national.agg(F.count(F.lit(1)).alias("f")).crossJoin(F.broadcast(admin1.agg(F.count(F.lit(1)).alias("a"))))  # one row each
+    add(1, "Executive Summary", counts.select(F.lit("0").alias("place"), F.concat(F.col("f").cast("string"), F.lit(" kinds of figures in "), F.col("a").cast("string"), F.lit(" areas. [1]\nFigures are the largest reported for each area. [1]")).alias("text")))
+    add(2, "National Impact Overview", table(national, F.col("figure_key"), "figure_key", "value", "as_of", "source"), ["Category", "Figure", "As of", "Source"])
+    add(3, "Province-Level Impact", table(admin1, F.col("name"), "name", "impact_count", "max_severity", "districts"), ["Area", "Impacts", "Severity", "Districts"])
+    add(4, "District-Level Impact", table(admin2, F.concat_ws("/", "parent", "geo_key"), "parent", "geo_key", "impact_count", "max_severity"), ["Area", "District", "Impacts", "Severity"])
+    worst = by_area.groupBy("need_type").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("needs")).alias("k"), F.col("geo_area").alias("area")))), 1, most).alias("top"))
+    named = sectors.join(worst, "need_type", "left").withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["area"], F.lit(" ("), (-x["k"]).cast("string"), F.lit(")"))), ", "))
+    for i, (heading, key) in enumerate(SECTORS.items()):
+        line = F.concat(F.col("needs").cast("string"), F.lit(" statements, phase "), F.col("max_severity").cast("string"), F.lit(" at most, most of them in "), F.col("top"), F.lit("."))
+        add(5 + i, heading, named.filter(F.col("need_type") == key).select(F.lit("0").alias("place"), line.alias("text")))
+    add(20, "Access Constraints", constraints.orderBy("first", "snippet").limit(most).select(F.concat(place("first"), "snippet").alias("place"), F.concat(F.lit("- "), "snippet").alias("text")))
+    add(21, "Outstanding Needs", sectors.select(F.lpad((F.lit(10**11) - F.col("needs")).cast("string"), 12, "0").alias("place"), F.concat(F.lit("- "), "need_type", F.lit(": "), F.col("needs").cast("string")).alias("text")))
+    ahead = risks.groupBy("hazard_name", "horizon").agg(F.count(F.lit(1)).alias("n"))
+    add(22, "Forecast", ahead.select(F.concat_ws("/", "horizon", "hazard_name").alias("place"), F.concat(F.lit("- "), "hazard_name", F.lit(", next "), "horizon", F.lit(": "), F.col("n").cast("string"), F.lit(" statements")).alias("text")))
+    add(23, "Annex", annex.select(F.col("admin1").alias("place"), F.concat(F.lit("- "), "admin1", F.lit(": "), "districts").alias("text")))
+    add(24, "Sources and References", sources.select(place("n").alias("place"), F.concat(F.col("n").cast("string"), F.lit(". "), "url").alias("text")))
+    out = spark.createDataFrame(fixed, "part int, place string, text string")
+    for lines in parts:
+        out = out.union(lines)
+    return out
+
+
+#: Headings of the sectors' sections, and what the need types are called.
+SECTORS = {"Shelter": "shelter", "WASH": "wash", "Health": "health", "Food Security": "food_security", "Protection": "protection", "Education": "education"}
+
+
+def document(lines: DataFrame) -> DataFrame:
+    """RN02, SNK04: one row with the markdown of (part, place, text); a report's length is that of its tables of areas and kinds."""
+    every = F.sort_array(F.collect_list(F.struct("part", "place", "text")))
+    return lines.groupBy().agg(F.array_join(F.transform(every, lambda x: x["text"]), "\n").alias("markdown"))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.dims import ANALYSIS_FIGURES, ANALYSIS_PASS, ANALYSIS_SECTIONS, ANALYSIS_WEIGHTS, REPORT_SECTIONS
+from tidemark.dims import ANALYSIS_FIGURES, ANALYSIS_LEAST, ANALYSIS_PASS, ANALYSIS_SECTIONS, ANALYSIS_WEIGHTS, REPORT_SECTIONS
 from tidemark.functions.text import java_quote, word_total
 
 NO_EVIDENCE = "No evidence found for selected filters and cycles."
@@ -120,6 +120,21 @@ def analysis_score(reports: DataFrame) -> DataFrame:
     return out.withColumn("overall_score", F.bround(overall, 3)).withColumn("passed", F.col("overall_score") >= ANALYSIS_PASS)
 
 
+def quality_table(scores: DataFrame, least: dict[str, float] = ANALYSIS_LEAST) -> DataFrame:
+    """GT08: (doc_id, markdown): the verdict and a table of the measures with what each must reach."""
+    number = lambda x: F.format_number(x, 2)
+    rows = [F.concat(F.lit(f"| {k.replace('_', ' ').title()} | "), number(F.col(k)), F.lit(f" | {v:.2f} | "), F.when(F.col(k) >= v, "Pass").otherwise("**Fail**"), F.lit(" |")) for k, v in least.items()]
+    head = F.concat(F.lit("### Quality Gate: **"), F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.lit("** (score "), number(F.col("overall_score")), F.lit(")"))
+    lines = [F.lit(""), F.lit("---"), F.lit(""), head, F.lit(""), F.lit("| Dimension | Score | Threshold | Status |"), F.lit("|-----------|-------|-----------|--------|"), *rows, F.lit("")]
+    return scores.select("doc_id", F.concat_ws("\n", *lines).alias("markdown"))
+
+
+def listing(reports: DataFrame, limit: int | None = None) -> DataFrame:
+    """SL10: reports, the newest first; those changed at one time by name."""
+    out = reports.orderBy(F.desc("modified"), "doc_id")
+    return out if limit is None else out.limit(limit)
+
+
 def section_words(reports: DataFrame, titles: list[str]) -> DataFrame:
     """GT07: (doc_id, title, words) of the lines under each heading "## title"."""
     lines = reports.select("doc_id", F.posexplode(F.split("markdown", r"\r?\n")).alias("line_no", "line"))

@@ -327,10 +327,20 @@ def rn01(spark, sf_dir):
 
 @query("rn02_situation_analysis")
 def rn02(spark, sf_dir):
-    found, geo = _impacts(spark, sf_dir), _geo(spark, sf_dir)
-    numbers = evidence.citation_numbers(_ranked(spark, sf_dir), "url", "rank")
-    report = render.analysis_report("Test", ontology.national_figures_dated(_figures(spark, sf_dir)), ontology.admin1_rollup(found.drop("admin_level"), geo).withColumnRenamed("admin1_key", "name"), ontology.sector_summary(ontology.need_statements(_annotated(spark, sf_dir))), numbers)
-    return reports.analysis_score(spark.createDataFrame([(1, report)], "doc_id long, markdown string"))
+    return reports.analysis_score(render.document(_analysis(spark, sf_dir)).select(F.lit(1).cast("long").alias("doc_id"), "markdown"))
+
+
+def _analysis(spark, sf_dir):
+    facts, geo = written(_annotated(spark, sf_dir), "annotated"), _geo(spark, sf_dir)
+    found = ontology.impacts(facts, "id", "admin_level")
+    figures = ontology.explode_figures(found.filter("pos = 0"), "id", "geo_area", "reported_date", "source_label", "connector", "url").withColumnRenamed("id", "ord")
+    needs, placed = ontology.need_statements(facts), found.drop("admin_level")
+    parents = geo.select(F.col("geo_key").alias("parent"), F.col("name").alias("admin1"))
+    annex = geo.join(parents, "parent").groupBy("admin1").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("districts"))
+    return render.analysis_lines(
+        "Test", ontology.national_figures_dated(figures), ontology.admin1_rollup(placed, geo).withColumnRenamed("admin1_key", "name"), ontology.admin2_rollup(placed, geo), ontology.sector_summary(needs),
+        ontology.sector_by_area(needs), reports.access_constraints(facts, "text", "id"), ontology.risk_statements(facts), annex, evidence.citation_numbers(_ranked(spark, sf_dir), "url", "rank"),
+    )
 
 
 @query("rn03_incidents", None)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import core_queries, flow_queries, graph_queries, text_queries
+from tidemark.plans import core_queries, flow_queries, graph_queries, more_queries, text_queries
 
-MODULES = (core_queries, text_queries, graph_queries, flow_queries)
+MODULES = (core_queries, text_queries, graph_queries, flow_queries, more_queries)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dims import EXTENSION_MIMES, MIME_DOCTYPES, lookup
@@ -71,5 +71,26 @@ def extraction_status(method: Column, characters: Column) -> Column:
     return F.when(method == "skipped", "skipped").when(F.coalesce(characters, F.lit(0)) > 0, "ok").otherwise("empty")
 
 
+#: Attachments of more bytes are not read.
+MOST_BYTES = 20 * 1024 * 1024
+#: The ways to read each kind of document, in the order in which they are tried.
+READERS = {"document_html": ["main text", "tags stripped"], "document_docx": ["office"], "document_xlsx": ["office"], "document_pdf": ["layout", "tables", "plain text"]}
+
+
+def route(mime: Column, size: Column) -> Column:
+    """EXT03: struct<method, readers>: unknown kinds are skipped before they are fetched, empty and too large files give none; others have their readers."""
+    kind = doctype(mime)
+    readers = F.element_at(F.create_map(*[x for k, v in READERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), kind)
+    method = F.when(kind.isNull(), "skipped").when((F.coalesce(size, F.lit(0)) <= 0) | (size > MOST_BYTES), "none").otherwise("read")
+    return F.struct(method.alias("method"), F.when(method == "read", readers).alias("readers"))
+
+
+def first_success(attempts: DataFrame, *by: str) -> DataFrame:
+    """EXT03: (by..., try, method, text) to the first try of each document that gave text; none of them is method ``none``."""
+    good = F.trim(F.coalesce("text", F.lit(""))) != ""
+    first = F.min(F.when(good, F.struct("try", "method", "text")))
+    return attempts.groupBy(*by).agg(first.alias("f")).select(*by, F.coalesce("f.method", F.lit("none")).alias("method"), F.coalesce("f.text", F.lit("")).alias("text"))
+
+
 def host(url: Column) -> Column:
     return domain(url)

@@ -24,8 +24,16 @@ ENTRY = "title string, link string, published string, updated string, summary st
 
 
 def read_feeds(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """SRC01, SRC02: entries of RSS files with the file they came from; a broken entry keeps its text in _corrupt_record."""
-    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ENTRY).load(path).withColumn("source_url", F.col("_metadata.file_path"))
+    """SRC01, SRC02: entries of RSS files with the file they came from.
+
+    A file is text first, whose entries are cut out and parsed each by itself: a broken one keeps its text in _corrupt_record
+    and costs no other, nor do bytes that are no UTF-8.
+    """
+    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("source_url"))
+    entry = rf"(?is)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}\s*>"
+    each = files.select("source_url", F.explode(F.regexp_extract_all("value", F.lit(entry), 0)).alias("entry"))
+    parsed = F.from_xml("entry", ENTRY, {"mode": "PERMISSIVE", "rowTag": row_tag, "columnNameOfCorruptRecord": "_corrupt_record"})
+    return each.select(parsed.alias("e"), "source_url").select("e.*", "source_url")
 
 
 def first_entries(entries: DataFrame, by: str, order: str, limit: int) -> DataFrame:
