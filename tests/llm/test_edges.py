@@ -50,6 +50,38 @@ def test_stages_keep_columns(name, make_docs):
     assert STAGES[name](docs.limit(0)).count() == 0
 
 
+def test_packing_stage(make_docs):
+    """Nulls, empty texts, repeats, an id that is null and clashing names: every row is packed whole; an empty table gives nothing."""
+    docs = make_docs(ROWS, CLASH)
+    pieces = packing.pack(docs).collect()
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0) and sum(p.start == 0 for p in pieces) == len(ROWS)
+    assert {p.doc_id for p in pieces if p.doc_tokens == 1} == {1, 2}
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_ties_have_a_defined_winner(make_docs, spark):
+    """Of rows alike in text and id, the greatest as JSON stays, however the rows are dealt."""
+    rows = make_docs([(1, "same text of six words here", f"s{k}") for k in range(40)] + [(2, "another text of six words now", "z")])
+    for parts in (1, 7):
+        for stage in (exact_dedup.keep_first_copies, near_dedup.keep_one_of_each):
+            assert sorted((r.doc_id, r.source) for r in stage(rows.repartition(parts)).collect()) == [(1, "s9"), (2, "z")]
+
+
+def test_values_of_edge_rows(make_docs, write_table, labels):
+    docs = make_docs(ROWS, CLASH)
+    path = write_table(documents=docs, labels=labels)
+    quality_rows = {r.doc_id: r for r in quality.op2_quality_rules(docs.sparkSession, path).collect()}
+    assert [quality_rows[k].n_words for k in (1, 2, 3, 4, 6, None)] == [0, 0, 0, 11, 30_001, 14] and not any(quality_rows[k].kept for k in (1, 2, 3))
+    exact_rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.op3_exact_dedup(docs.sparkSession, path).collect()]
+    assert sorted(exact_rows, key=str)[:3] == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)] and exact_rows.count((5, 5, 3, True)) == 2 and (4, 5, 3, False) in exact_rows and (None, None, 1, True) in exact_rows
+    near_rows = {r.doc_id: r for r in near_dedup.op6_near_dedup(docs.sparkSession, path).collect()}
+    assert {near_rows[k].class_id for k in (1, 2, 3)} == {1} and {near_rows[k].class_id for k in (4, 5)} == {4} and near_rows[4].class_size == 3 and near_rows[None].class_id is None
+    toxic_rows = toxicity.op1_toxicity(docs.sparkSession, path).collect()
+    assert all(r.held_out is not None and 0 <= r.score <= 1 for r in toxic_rows)
+    sizes = {r.doc_id: (r.size, r.taken) for r in mixing.op8_mixing(docs.sparkSession, path).collect()}
+    assert sizes[1] == sizes[2] == sizes[3] == (0, 0) and sizes[6][0] == 30_001
+
+
 def test_pages_edges(spark, write_table):
     pages = spark.createDataFrame([(1, None, None), (2, "", ""), (2, "", ""), (3, "nohost", "<p>a<p>b &am c<"), (None, "http://h/x", "<article>" + "t " * 100_000)], "page_id long, url string, html string")
     pages = pages.withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash")).withColumn("uid", F.lit(1))

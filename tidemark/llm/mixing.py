@@ -6,7 +6,7 @@ result; rows that tie on the id are ordered by size; a source of size 0 has targ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -63,10 +63,17 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, number: Column) -> Column:
+    """The text up to the end of its word of that number, as it stands; it must have more."""
+    leading = text.rlike("^" + SPACE).cast("int")
+    rest = F.element_at(F.split(text, SPACE, number + 1 + leading), -1)
+    return F.regexp_replace(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(rest)), SPACE + "$", "")
+
+
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once for each time it is taken whole, and the first words of one that is cut.
 
-    A column n_chars, if there is one, is that of the text given.
+    A column n_chars, if there is one, is that of the text given. A document without words has no share of the budget and is left out.
     """
     columns = docs.columns
     rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("uid"), "source", word_count(F.col("text")).alias("size")), "mix-rows")
@@ -74,17 +81,16 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     taken = mix(light).select("uid", "source", "size", "_same", "taken")
     once = taken.groupBy("uid", "source", "size", "_same").agg(F.sort_array(F.collect_list("taken")).alias("_takens"))
     numbered = rows.withColumn("_same", F.xxhash64("_row.text"))
-    same = W.partitionBy("uid", "source", "size", "_same").orderBy(F.lit(1))
+    same = W.partitionBy("uid", "source", "size", "_same").orderBy(F.to_json("_row"))
     numbered = numbered.withColumn("_i", F.row_number().over(same))
     joined = numbered.alias("r").join(
         once.alias("t"), F.col("r.uid").eqNullSafe(F.col("t.uid")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size")) & (F.col("r._same") == F.col("t._same"))
     ).select("r._row", "r.size", F.element_at("t._takens", F.col("r._i")).alias("taken"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     cut = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    words = F.array_remove(F.split(F.col("_row.text"), SPACE), "")
     texts = F.concat(
         F.array_repeat(F.col("_row.text"), whole),
-        F.when(cut > 0, F.array(F.array_join(F.slice(words, F.lit(1), cut), " "))).otherwise(F.array().cast("array<string>")),
+        F.when(cut > 0, F.array(first_words(F.col("_row.text"), cut))).otherwise(F.array().cast("array<string>")),
     )
     out = joined.withColumn("_text", F.explode(texts))
     made = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
