@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, policy, similarity, spans, text, urls
 from tidemark.operators import classify, dedupe, evidence, figures, health, match, ontology, ordering, render, reports
-from tidemark.sources import documents, feeds, tables
+from tidemark.sources import configuration, documents, feeds, tables
 from tidemark.streaming.freshness import streak_stream
 from tidemark.streaming.polling import run_cycles
 
@@ -371,3 +371,19 @@ def test_broken_feed_bytes(spark, tmp_path):
     (tmp_path / "feed.xml").write_bytes(b"<rss><channel><item><title>Caf\xe9 \xff</title><link>http://a</link></item><item><title>x</link></item><item><title>Good</title><link>http://b</link></item>")
     rows = feeds.read_feeds(spark, str(tmp_path)).collect()
     assert [r.link for r in rows if r._corrupt_record is None] == ["http://a", "http://b"] and sum(r._corrupt_record is not None for r in rows) == 1
+
+
+def test_configuration_falls_back():
+    broken, some = configuration.keywords("[impact"), configuration.keywords('[impact]\npeople_impact = ["lost"]')
+    assert broken == configuration.keywords() and some.impacts["people_impact"] == ["lost"] and some.needs == broken.needs and some.risks == broken.risks
+    assert configuration.template("no json") == configuration.template() and configuration.template("[1]")["name"] == "default-v1"
+    assert configuration.template('{"name": " x ", "limits": {"method_max_words": 3}}')["limits"]["method_max_words"] == 3
+
+
+def test_long_report_of_two_rows_and_of_none(spark):
+    rows = [(1, "Flood A", "Nepal", "flood", "high", "high", 1, "sum a", "http://a", "c1"), (2, "Flood B", "Kenya", "flood", "low", "low", 4, "sum b", "http://b", "c2")]
+    ranked = spark.createDataFrame(rows, "rank int, title string, country string, disaster_type string, severity string, confidence string, credibility_tier int, summary string, url string, connector string")
+    report = render.long_report(ranked, "T", template=configuration.template('{"sections": {"method": "How it was made"}}'))
+    assert "1. **Flood A**\n   - Nepal, flood, severity high, confidence high, UN/OCHA (Tier 1)\n   - sum a\n   - Citation: [1]" in report and "   - Citation: [2]" in report
+    assert "| Nepal | 1 |" in report and "## How it was made" in report and report.rstrip().endswith("1. http://a\n2. http://b")
+    assert render.long_report(ranked.limit(0), "T") == "# T\n\nNo evidence found for selected filters and cycles.\n"

@@ -170,6 +170,19 @@ ANALYSIS_WEIGHTS = {"section_completeness": 0.25, "key_figure_coverage": 0.20, "
 ANALYSIS_PASS = 0.55
 ANALYSIS_LEAST = {"section_completeness": 0.70, "key_figure_coverage": 0.30, "citation_accuracy": 0.80, "citation_density": 0.5, "admin_coverage": 0.20, "date_attribution": 0.30}
 
+# Headings and limits of a report, where its template says nothing else.
+TEMPLATE = {
+    "name": "default-v1",
+    "sections": {
+        "executive_summary": "Executive Summary", "incident_highlights": "Incident Highlights", "source_reliability": "Source and Connector Reliability Snapshot",
+        "risk_outlook": "Risk Outlook", "method": "Method", "citations": "Citations",
+    },
+    "limits": {
+        "max_incident_highlights": 12, "executive_summary_max_words": 180, "source_reliability_max_words": 140, "risk_outlook_max_words": 180, "method_max_words": 120,
+        "incident_summary_max_words": 80, "incident_quote_max_chars": 600,
+    },
+}
+
 # Feeds that every registry starts from.
 DEFAULT_FEEDS = {
     "government": [

@@ -35,19 +35,19 @@ def source_confidence(source_type: Column) -> Column:
     return F.when(source_type == "official", "high").when(source_type.isin("humanitarian", "news"), "medium").otherwise("low")
 
 
-def impact_scores(text: Column) -> Column:
+def impact_scores(text: Column, table: dict[str, list[str]] = IMPACTS) -> Column:
     """Array of struct<score, first, label> of the impact types with a hit; a sort of it puts the best and then the first last."""
 
     def scores(t: Column) -> Column:
-        each = F.array(*[F.struct(count_terms(t, terms).alias("score"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(IMPACTS.items())])
+        each = F.array(*[F.struct(count_terms(t, terms).alias("score"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(table.items())])
         return F.filter(each, lambda x: x["score"] > 0)
 
     return let(F.lower(text), scores)
 
 
-def all_impacts(text: Column) -> Column:
+def all_impacts(text: Column, table: dict[str, list[str]] = IMPACTS) -> Column:
     """PR12: impact types by descending number of words, list order among equals; people_impact if there is none."""
-    ordered = F.transform(F.reverse(F.sort_array(impact_scores(text))), lambda x: x["label"])
+    ordered = F.transform(F.reverse(F.sort_array(impact_scores(text, table))), lambda x: x["label"])
     return let(ordered, lambda labels: F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("people_impact"))))
 
 
@@ -56,14 +56,14 @@ def main_impact(text: Column) -> Column:
     return F.coalesce(F.array_max(impact_scores(text))["label"], F.lit("people_impact"))
 
 
-def needs(text: Column) -> Column:
+def needs(text: Column, table: dict[str, list[str]] = NEEDS) -> Column:
     """PR13: need types with a hit, in list order."""
-    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, terms), F.lit(label)) for label, terms in NEEDS.items()])))
+    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, terms), F.lit(label)) for label, terms in table.items()])))
 
 
-def is_risk(text: Column) -> Column:
+def is_risk(text: Column, words: list[str] = RISKS) -> Column:
     """PR14."""
-    return contains_any(F.lower(text), RISKS)
+    return contains_any(F.lower(text), words)
 
 
 def risk_horizon(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.dims import TEMPLATE
 from tidemark.operators.classify import tier_label
 from tidemark.operators.evidence import citation_numbers, citation_refs
 
@@ -29,8 +30,12 @@ def incident(evidence: DataFrame, numbers: DataFrame, url: str = "url") -> DataF
     return citation_refs(evidence, numbers, url).select("rank", block.alias("block"))
 
 
-def long_report(evidence: DataFrame, title: str, most: int = 60) -> str:
-    """RN01: the report of the ranked evidence (rank, title, country, ...), or the one that says there is none."""
+def long_report(evidence: DataFrame, title: str, most: int = 60, template: dict = TEMPLATE) -> str:
+    """RN01: the report of the ranked evidence (rank, title, country, ...), or the one that says there is none.
+
+    All that comes to the driver are the ``most`` rows at most and what they add up to. Headings are those of the template.
+    """
+    name = template["sections"]
     chosen = evidence.filter(F.col("rank") <= most)
     numbers = citation_numbers(chosen, "url", "rank")
     blocks = [r.block for r in incident(chosen, numbers).orderBy("rank").collect()]
@@ -41,9 +46,9 @@ def long_report(evidence: DataFrame, title: str, most: int = 60) -> str:
     sources = [r.line for r in table_rows(counts, "connector", "items", "tier").collect()]
     risks = chosen.filter(F.col("severity").isin("high", "critical")).groupBy("country").agg(F.count(F.lit(1)).alias("severe")).orderBy(F.desc("severe"), "country")
     parts = [
-        f"# {title}", "", "## Executive Summary", "", f"{len(blocks)} incidents from {len(links)} sources. [1]", "", "## Incident Highlights", "", *blocks, "",
-        headed("Source and Connector Reliability Snapshot", ["Connector", "Items", "Tier"], sources), headed("Risk Outlook", ["Country", "Severe incidents"], [r.line for r in table_rows(risks, "country", "severe").collect()]),
-        "## Method", "", "Ranked by corroboration, source weight and credibility.", "", "## Citations", "", *links, "",
+        f"# {title}", "", f"## {name['executive_summary']}", "", f"{len(blocks)} incidents from {len(links)} sources. [1]", "", f"## {name['incident_highlights']}", "", *blocks, "",
+        headed(name["source_reliability"], ["Connector", "Items", "Tier"], sources), headed(name["risk_outlook"], ["Country", "Severe incidents"], [r.line for r in table_rows(risks, "country", "severe").collect()]),
+        f"## {name['method']}", "", "Ranked by corroboration, source weight and credibility.", "", f"## {name['citations']}", "", *links, "",
     ]
     return "\n".join(parts)
 

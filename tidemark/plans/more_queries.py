@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedupe, evidence, health, ontology, render, reports
+from tidemark.operators import classify, dedupe, evidence, health, render, reports
 from tidemark.plans.adapters import EV, events, read
 from tidemark.plans.core_queries import _CLUSTERS, _ITEMS, _clusters
 from tidemark.plans.graph_queries import _GEO, _MD, _analysis, _geo, _reports
 from tidemark.plans.text_queries import _COUNTRIES3, _HAZARD, _NORM, _NT, _word
-from tidemark.sources import documents, feeds
+from tidemark.sources import configuration, documents, feeds
 from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import Warehouse
 
@@ -156,3 +156,30 @@ def snk04(spark, sf_dir):
     folder = shared_folder(spark, "report")
     render.document(_analysis(spark, sf_dir)).select(F.col("markdown").alias("value")).coalesce(1).write.text(folder)
     return spark.read.text(folder)
+
+
+_KEYWORDS = """[need]
+shelter = ["houses", "roof"]
+[risk]
+keywords = ["emergency"]
+"""
+
+
+@query("on09_configured_words", f"WITH {EV} SELECT id, contains(lower(text), 'houses') OR contains(lower(text), 'roof') AS shelter, contains(lower(text), 'emergency') AS risk FROM ev")
+def on09(spark, sf_dir):
+    """ON09: word tables of a configuration in place of the built-in ones."""
+    words = configuration.keywords(_KEYWORDS)
+    return events(spark, sf_dir).select("id", F.array_contains(classify.needs(F.col("text"), words.needs), "shelter").alias("shelter"), classify.is_risk(F.col("text"), words.risks).alias("risk"))
+
+
+@query("rn06_template", "SELECT * FROM (VALUES ('limits', 'max_incident_highlights', '5'), ('sections', 'method', 'How'), ('sections', 'citations', 'Citations')) t(part, key, value)")
+def rn06(spark, sf_dir):
+    """RN06: a template laid over the default one: two values given, one left as it is."""
+    merged = configuration.template('{"name": " own ", "sections": {"method": "How"}, "limits": {"max_incident_highlights": 5}}')
+    rows = [(part, key, str(value)) for part in ("sections", "limits") for key, value in merged[part].items()]
+    return spark.createDataFrame(rows, "part string, key string, value string").filter("key IN ('method', 'citations', 'max_incident_highlights')")
+
+
+@query("src08_connectors", "SELECT * FROM (VALUES ('government_feeds', 'official', 4::BIGINT), ('un_humanitarian_feeds', 'humanitarian', 2), ('ngo_feeds', 'humanitarian', 3), ('local_news_feeds', 'news', 9)) t(connector, source_type, feeds)")
+def src08(spark, sf_dir):
+    return configuration.connectors(spark).groupBy("connector", "source_type").agg(F.count(F.lit(1)).alias("feeds"))
