@@ -13,11 +13,14 @@ from tidemark.functions.text import contains_any, count_terms, let, normalize
 
 
 def _ladder(text: Column, steps: dict, default) -> Column:
-    out = None
-    for value, terms in steps.items():
-        hit = contains_any(text, terms)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default))
+    def steps_of(t: Column) -> Column:
+        out = None
+        for value, terms in steps.items():
+            hit = contains_any(t, terms)
+            out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+        return out.otherwise(F.lit(default))
+
+    return let(text, steps_of)
 
 
 def event_severity(text: Column) -> Column:
