@@ -387,3 +387,14 @@ def test_long_report_of_two_rows_and_of_none(spark):
     assert "1. **Flood A**\n   - Nepal, flood, severity high, confidence high, UN/OCHA (Tier 1)\n   - sum a\n   - Citation: [1]" in report and "   - Citation: [2]" in report
     assert "| Nepal | 1 |" in report and "## How it was made" in report and report.rstrip().endswith("1. http://a\n2. http://b")
     assert render.long_report(ranked.limit(0), "T") == "# T\n\nNo evidence found for selected filters and cycles.\n"
+
+
+def test_streaks_over_ranges_equal_the_state_machine(spark):
+    rng = random.Random(13)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), i, rng.choices(["stale", "fresh", "unknown", None], [8, 1, 3, 1])[0]) for i in range(2000)]
+    got = {r.check_id: r.stale_streak for r in health.stale_streaks(spark.createDataFrame(rows, "source_url string, check_id long, freshness string").repartition(5)).collect()}
+    streak, wanted = Counter(), {}
+    for source, i, freshness in rows:
+        streak[source] = streak[source] + 1 if freshness == "stale" else 0 if freshness == "fresh" else streak[source]
+        wanted[i] = streak[source]
+    assert got == wanted

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.ordering import in_ranges
+
 
 def recent_cycles(cycles: DataFrame, limit: int) -> DataFrame:
     """SRC16: the newest cycles; a top-k, so only ``limit`` rows leave each task."""
@@ -136,12 +138,22 @@ def low_yield(records: DataFrame, below: float = 0.5, least: int = 3) -> DataFra
 def stale_streaks(checks: DataFrame) -> DataFrame:
     """WN02: add ``stale_streak`` after each check of a source (source_url, check_id, freshness): stale adds one, fresh sets it to none, unknown leaves it.
 
-    Each fresh check begins an island; the streak is the number of stale ones so far in the island.
+    Each fresh check begins an island; the streak is the number of stale ones so far in the island. A source's checks are spread
+    over ranges, each counted by itself; what a range hands on to the next is one row, so no task holds a whole source.
     """
-    in_order = W.partitionBy("source_url").orderBy("check_id").rowsBetween(W.unboundedPreceding, 0)
-    islands = checks.withColumn("_island", F.sum((F.col("freshness") == "fresh").cast("long")).over(in_order))
-    in_island = W.partitionBy("source_url", "_island").orderBy("check_id").rowsBetween(W.unboundedPreceding, 0)
-    return islands.withColumn("stale_streak", F.sum((F.col("freshness") == "stale").cast("long")).over(in_island)).drop("_island")
+    ranged = in_ranges(checks, ["source_url"], ["check_id"])
+    upto = lambda *keys: W.partitionBy(*keys).orderBy("check_id").rowsBetween(W.unboundedPreceding, 0)
+    count = lambda value: F.sum((F.col("freshness") == value).cast("long"))
+    islands = ranged.withColumn("_island", F.coalesce(count("fresh").over(upto("source_url", "_range")), F.lit(0)))
+    local = islands.withColumn("_stale", F.coalesce(count("stale").over(upto("source_url", "_range", "_island")), F.lit(0)))
+    ends = local.groupBy("source_url", "_range").agg(F.max_by("_stale", "check_id").alias("_end"), F.max("_island").alias("_fresh"))
+    # A range's end counts from its last fresh check, or adds to what came in.
+    by_range = W.partitionBy("source_url").orderBy("_range")
+    groups = ends.withColumn("_group", F.sum((F.col("_fresh") > 0).cast("long")).over(by_range.rowsBetween(W.unboundedPreceding, 0)))
+    handed = groups.withColumn("_sum", F.sum("_end").over(W.partitionBy("source_url", "_group").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)))
+    carried = handed.select(F.col("source_url").alias("_url"), F.col("_range").alias("_r"), F.coalesce(F.lag("_sum").over(by_range), F.lit(0)).alias("_in"))
+    joined = local.join(carried, F.col("source_url").eqNullSafe(F.col("_url")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*checks.columns, (F.col("_stale") + F.when(F.col("_island") == 0, F.col("_in")).otherwise(0)).alias("stale_streak"))
 
 
 def stale_action(streak: Column, warn_after: int = 2, demote_after: int = 5, warn: bool = True, demote: bool = False) -> Column:
