@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -266,6 +267,57 @@ def test_hmm_scores(spark, corpus, texts):
         assert r.score < 0
 
 
+def test_hmm_query_by_plain_recursions(spark, corpus, texts):
+    """The whole query's score: Baum-Welch and the forward recursion step by step, with logs instead of scales, and shares of classes by counting."""
+    tokens = [[*(t or "").encode().lower().split(), hmm.END] for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    c = Counter(w for t, use in zip(tokens, train) if use for w in t)
+    of = lambda w: zlib.crc32(w) % hmm.CLASSES
+    counts, kinds = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in c.items():
+        counts[of(w)] += n
+        kinds[of(w)] += 1
+    model = hmm.Hmm.initial(counts)
+    start, step, emit = model.start, model.step, model.emit
+
+    def forward(x):
+        """Log-likelihood, and the state probabilities of a prefix with its likelihood's log."""
+        rows, logs, now = [], [], start * emit[:, x[0]]
+        for t in range(len(x)):
+            if t:
+                now = (rows[-1] @ step) * emit[:, x[t]]
+            logs.append((logs[-1] if logs else 0.0) + math.log(now.sum()))
+            rows.append(now / now.sum())
+        return rows, logs
+
+    for _ in range(hmm.ROUNDS):
+        s, m, e = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+        for words, use in zip(tokens, train):
+            if not use:
+                continue
+            x = [of(w) for w in words]
+            rows, _ = forward(x)
+            after = [np.ones(hmm.STATES)]
+            for t in range(len(x) - 1, 0, -1):
+                b = step @ (emit[:, x[t]] * after[0])
+                after.insert(0, b / b.sum())
+            for t in range(len(x)):
+                g = rows[t] * after[t]
+                e[:, x[t]] += g / g.sum()
+                if t == 0:
+                    s += g / g.sum()
+                else:
+                    both = rows[t - 1][:, None] * step * (emit[:, x[t]] * after[t])[None, :]
+                    m += both / both.sum()
+        prior = (counts + 0.1) / (counts + 0.1).sum()
+        e = e + 20.0 * prior
+        start, step, emit = (s + 1) / (s + 1).sum(), (m + 1) / (m + 1).sum(axis=1, keepdims=True), e / e.sum(axis=1, keepdims=True)
+    got = {r.doc_id: r.score for r in hmm.op4_hmm_score(spark, corpus).collect()}
+    for i, words in enumerate(tokens):
+        shares = sum(math.log10((c[w] + 0.1) / (counts[of(w)] + 0.1 * (kinds[of(w)] + 1))) for w in words)
+        assert got[i] == pytest.approx(forward([of(w) for w in words])[1][-1] / math.log(10) + shares, rel=1e-6)
+
+
 def test_token_entries_split_large_counts():
     codes = np.zeros(70_000, dtype=np.int32)
     which, entries = hmm.entries_of(codes, np.zeros(70_000, dtype=np.int64), 1)
@@ -466,7 +518,7 @@ def test_ids_are_those_of_the_whole_text():
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode, rng = packing.encoder("byte_bpe_50k"), random.Random(4)
     pool = [chr(c) for c in [*range(0x180), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
-    pool += [" ", " ", "\n", "\u3000", "\u200b", "\U0001f600", "\u0301", "\u4e2d", "'ll", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> ", "  ", "\r\n", "ab"] * 8
+    pool += [" ", " ", "\n", "\u3000", "\u200b", "\U0001f600", "\u0301", "\u4e2d", "'ll", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> ", "  ", "\r\n", "ab", ".", ",", " .", "a.", ").", "\xb2"] * 8
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(8000)] + ["x" * 5000, "<|endoftext|>"]
     assert [x.tolist() for x in encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
     assert encode(["<|endoftext|>"])[0].tolist() == [50256]
@@ -514,6 +566,12 @@ def test_mix_takes_the_budgets(spark, corpus):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op8_mixing(spark, corpus).collect()))
 
 
+def test_a_cut_text_keeps_its_white_space(spark):
+    rows = [("a  b\n\nc d", 3, "a  b\n\nc"), ("  a\tb c", 2, "  a\tb"), ("x y", 1, "x"), ("\u00e9 \u4e2d\u6587  z ", 2, "\u00e9 \u4e2d\u6587")]
+    got = spark.createDataFrame(rows, "t string, k int, wanted string").select("wanted", mixing.first_words(F.col("t"), F.col("k")).alias("got")).collect()
+    assert all(r.got == r.wanted for r in got) and len(got) == 4
+
+
 def test_mixed_rows_are_what_was_taken(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     taken = {r.doc_id: r.taken for r in mixing.op8_mixing(spark, corpus).collect()}
@@ -536,6 +594,38 @@ def test_shards_are_even_and_slots_gapless(spark, corpus):
     assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_shards_by_walking_the_ring(spark, corpus, texts):
+    """The whole query: documents one by one in ring order, each arc's own shard first, then clockwise to shards with room."""
+    points = sorted((int(hashlib.md5(f"{sharding.SEED}shard {s}, point {v}".encode()).hexdigest()[:8], 16), s) for s in range(24) for v in range(sharding.VNODES))
+    places, turn = [p for p, _ in points], points[-1][0] + 1
+    arcs = defaultdict(list)
+    for i in range(len(texts)):
+        key = hashlib.md5(f"{sharding.SEED}{i}".encode()).hexdigest()
+        place = int(key[:8], 16)
+        arcs[bisect.bisect_left(places, place) % len(points)].append(((place - turn) % 2**32, key[8:], i))
+    demand = Counter(points[a][1] for a, docs in arcs.items() for _ in docs)
+    room = {s: len(texts) // 24 for s in range(24)}
+    for s in sorted(range(24), key=lambda s: -demand[s])[: len(texts) % 24]:
+        room[s] += 1
+    shard, load, left = {}, Counter(), []
+    for a in sorted(arcs):
+        for doc in sorted(arcs[a]):
+            own = points[a][1]
+            if load[own] < room[own]:
+                shard[doc[2]] = (own, load[own])
+                load[own] += 1
+            else:
+                left.append((a, doc[2]))
+    for a, i in left:
+        while load[points[a][1]] == room[points[a][1]]:
+            a = (a + 1) % len(points)
+        shard[i] = (points[a][1], load[points[a][1]])
+        load[points[a][1]] += 1
+    rows = sharding.op9_sharding(spark, corpus).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == shard
+    assert all((r.size, r.text_crc32) == (len((texts[r.doc_id] or "").encode()) + 8, zlib.crc32((texts[r.doc_id] or "").encode())) for r in rows)
+
+
 def test_bytes_law(spark):
     docs = spark.createDataFrame([(i, 1 + i % 97) for i in range(3000)], "uid long, size long")
     rows = sharding.shard_rows(docs, shards=5, law="bytes").collect()
