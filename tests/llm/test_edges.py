@@ -5,17 +5,18 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, hmm, html_text, licenses, mixing, near_dedup, packing, quality, sharding, toxicity
+from tidemark.llm import clustering, decontamination, exact_dedup, fill_in_middle, hmm, html_text, licenses, mixing, near_dedup, packing, quality, sharding, toxicity
 
 LONG = "word " * 30_000 + "x" * 50_000
 ROWS = [
     (1, None), (2, ""), (3, " \n\t"), (4, "One two three four five six seven eight nine ten eleven."), (5, "one two THREE four five six seven eight nine ten eleven."),
     (5, "one two THREE four five six seven eight nine ten eleven."), (None, "A text without an id that is long enough to count for ten words."), (6, LONG), (7, "ünïcode <b>&amp; ## $$"),
 ]
-CLASH = "n_words kept key set size taken shard slot ids n key_ _row digest score toxic class_id component text_sha256 block train host uid"
+CLASH = "n_words kept key set size taken shard slot ids n key_ _row digest score toxic class_id component text_sha256 block train host uid words h at near form output made item_id n_hit place _h"
 DOCS = {
     "op1_toxicity": toxicity.op1_toxicity, "op2_quality_rules": quality.op2_quality_rules, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op4_hmm_score": hmm.op4_hmm_score,
     "op5_license_scan": licenses.op5_license_scan, "op6_near_dedup": near_dedup.op6_near_dedup, "op7_packing": packing.op7_packing, "op8_mixing": mixing.op8_mixing, "op9_sharding": sharding.op9_sharding,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle, "op13_decontamination": decontamination.op13_decontamination,
 }
 STAGES = {"quality": quality.keep_good, "exact": exact_dedup.keep_first_copies, "near": near_dedup.keep_one_of_each, "mixing": mixing.mixed_rows}
 
@@ -25,10 +26,16 @@ def labels(spark):
     return spark.createDataFrame([(2, 1, 0), (4, 1, 1), (5, 1, 0), (5, 1, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
 
 
+@pytest.fixture
+def benchmark(spark):
+    items = spark.createDataFrame([(1, "One two three four"), (2, None), (None, "eleven"), (3, "word " * 12), (3, " ,;"), (3, "nine TEN eleven")], "item_id long, text string")
+    return items.withColumns({c: F.lit("clash") for c in ("size", "win", "h", "words", "uid")})
+
+
 @pytest.mark.parametrize("name", DOCS)
-def test_edge_rows(name, make_docs, write_table, labels):
+def test_edge_rows(name, make_docs, write_table, labels, benchmark):
     docs = make_docs(ROWS, CLASH).withColumn("source", F.when(F.col("doc_id") != 4, F.col("source"))).withColumn("lang", F.when(F.col("doc_id") != 5, F.col("lang")))
-    rows = DOCS[name](docs.sparkSession, write_table(documents=docs, labels=labels)).collect()
+    rows = DOCS[name](docs.sparkSession, write_table(documents=docs, labels=labels, benchmark=benchmark)).collect()
     per_doc = {(r["doc_id"], r["start"]) if name == "op7_packing" else r["doc_id"] for r in rows}
     assert {d[0] if isinstance(d, tuple) else d for d in per_doc} == {1, 2, 3, 4, 5, 6, 7, None}
     if name != "op7_packing":
@@ -36,8 +43,8 @@ def test_edge_rows(name, make_docs, write_table, labels):
 
 
 @pytest.mark.parametrize("name", DOCS)
-def test_empty_tables(name, make_docs, write_table, labels):
-    path = write_table(documents=make_docs([]), labels=labels.limit(0))
+def test_empty_tables(name, make_docs, write_table, labels, benchmark):
+    path = write_table(documents=make_docs([]), labels=labels.limit(0), benchmark=benchmark)
     assert DOCS[name](labels.sparkSession, path).collect() == []
 
 
@@ -91,3 +98,32 @@ def test_pages_edges(spark, write_table):
 
 def test_empty_pages(spark, write_table):
     assert html_text.op10_html_text(spark, write_table(pages=spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
+
+
+def test_values_of_edge_rows_of_cuts_and_leaks(make_docs, write_table, benchmark):
+    docs = make_docs(ROWS, CLASH)
+    spark, path = docs.sparkSession, write_table(documents=docs, benchmark=benchmark)
+    cut = fill_in_middle.op11_fill_in_middle(spark, path).collect()
+    assert [(r.n, r.form, r.prefix_chars, r.middle_chars) for r in cut if r.doc_id in (1, 2)] == [(0, "plain", None, None)] * 2
+    assert len({tuple(r) for r in cut if r.doc_id == 5}) == 1 and {r.n for r in cut if r.doc_id == 3} == {2}
+    leaks = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.op13_decontamination(spark, path).collect()}
+    assert leaks[1] == leaks[2] == leaks[3] == (0, 0, 0, False) and leaks[7] == (3, 0, 0, False) and leaks[None] == (14, 0, 0, False)
+    assert leaks[4] == leaks[5] == (11, 7, 3, True) and leaks[6] == (30_001, 30_000, 1, True)
+
+
+def test_no_benchmark_finds_nothing(make_docs, write_table, benchmark):
+    docs = make_docs(ROWS)
+    path = write_table(documents=docs, benchmark=benchmark.limit(0))
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in decontamination.op13_decontamination(docs.sparkSession, path).collect()} == {(0, 0, False)}
+
+
+def test_vectors_edges(spark, write_table):
+    """Left out: other lengths, nulls, infinite components. Kept: null and repeated ids, huge components, fewer vectors than centroids."""
+    one = [0.5] * 64
+    rows = [(1, one), (1, one), (None, one), (2, one[:63]), (3, None), (4, [None, *one[1:]]), (5, [float("inf"), *one[1:]]), (6, []), (7, [1e30, *one[1:]])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "cluster", "distance", "upper")})
+    got = clustering.op12_centroid_clusters(spark, write_table(embeddings=vectors)).collect()
+    assert sorted(str(r.vec_id) for r in got) == ["1", "1", "7", "None"] and {r.distance for r in got} == {0} and {r.inertia for r in got} == {0}
+    assert len({r.centroid_sha256 for r in got}) == 2
+    empty = clustering.clustered(vectors.limit(0))
+    assert clustering.with_inertia(*empty).collect() == []

@@ -49,13 +49,20 @@ def corpus(spark, texts, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus")
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(3).write.parquet(str(path / "documents.parquet"))
+    items = [(1, " ".join(texts[0].split()[:14])), (2, texts[3].upper()), (3, texts[3]), (4, "## $$ a"), (5, ""), (6, None), (None, "changed"), (7, "nowhere to be found in any of the texts at all here")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(path / "benchmark.parquet"))
+    rng = random.Random(8)
+    vectors = [[rng.choice([-1.0, 0.0, 1.0]) * (i % 7) + rng.random() for _ in range(64)] for i in range(150)]
+    vectors += [vectors[3], vectors[3], [0.1] * 63, None, [None] + [0.1] * 63, [float("nan")] + [0.1] * 63, [float("-inf")] + [0.1] * 63, [300.5] * 64]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(3).write.parquet(str(path / "embeddings.parquet"))
     return str(path)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(name, spark, corpus):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{corpus}/documents.parquet/*.parquet')")
+    for name_of in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM read_parquet('{corpus}/{name_of}.parquet/*.parquet')")
     wanted = con.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in wanted.description]
     got = registry.queries()[name](spark, corpus)

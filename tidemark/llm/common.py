@@ -48,12 +48,19 @@ def scratch(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
+    return materialise_at(df, name)[0]
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialise``, and the folder, for who deletes it early. What nobody deletes goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if _written:
         _written[-1].append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

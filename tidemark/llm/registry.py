@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, hmm, html_text, licenses, mixing, near_dedup, packing, quality, sharding, toxicity
+from tidemark.llm import clustering, decontamination, exact_dedup, fill_in_middle, hmm, html_text, licenses, mixing, near_dedup, packing, quality, sharding, toxicity
 
-MODULES = (toxicity, quality, exact_dedup, hmm, licenses, near_dedup, packing, mixing, sharding, html_text)
+MODULES = (toxicity, quality, exact_dedup, hmm, licenses, near_dedup, packing, mixing, sharding, html_text, fill_in_middle, clustering, decontamination)
 
 
 def queries() -> dict:
