@@ -14,6 +14,19 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a character of ``b`` at a time over a vector of bits for all of ``a``."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    # A zero bit is a place of ``a`` where the subsequence grew; a carry moves the growth on to the next place that matches.
+    every = open_ = (1 << len(a)) - 1
+    for y in b:
+        match = open_ & at.get(y, 0)
+        open_ = ((open_ + match) | (open_ - match)) & every
+    return len(a) - open_.bit_count()
+
+
 def lcs_ratio(a: str | None, b: str | None) -> float:
     """SC05: 2 LCS / total length; where one is less than half as long as the other, that share."""
     a, b = a or "", b or ""
@@ -21,12 +34,7 @@ def lcs_ratio(a: str | None, b: str | None) -> float:
         return 1.0
     if min(len(a), len(b)) < 0.5 * max(len(a), len(b)):
         return min(len(a), len(b)) / max(len(a), len(b))
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
 def _by_pair(score):

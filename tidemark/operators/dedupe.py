@@ -2,15 +2,12 @@
 
 Items are blocked by country and hazard, clustered greedily by title in arrival order, and each cluster becomes one event with
 a severity and a confidence calibrated by corroboration. Blocks never interact. Within a block only distinct normalised titles
-reach the greedy step: an item with the title of an earlier one joins the same cluster, for it meets the same pivots with the
-same scores in the same order. So hot titles cost nothing, and the step's cost is that of distinct titles.
+reach the greedy step (``leaders.py``): an item with the title of an earlier one joins the same cluster, for it meets the same pivots
+with the same scores in the same order. So hot titles cost nothing, and the step's cost is that of distinct titles.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from tidemark.dims import COUNTRIES, SEVERITY_LEVELS, SOURCE_RANKS, literal_map,
 from tidemark.functions.similarity import lcs_ratio, length_bound, ratio, similarity
 from tidemark.functions.text import event_hash, normalize, summary
 from tidemark.operators.classify import event_severity, source_confidence
+from tidemark.operators.leaders import leading_titles, rare_grams
 from tidemark.operators.match import first_country, infer_hazard
 from tidemark.sources.shared import written
 
@@ -32,54 +30,25 @@ def candidates(items: DataFrame, countries: list[str], hazards: list[str]) -> Da
     )
 
 
-def leaders(titles: list[str], threshold: float, score=ratio) -> list[int]:
-    """DD02's greedy step: for each title the first earlier leader that it is similar enough to, or itself.
-
-    Neither score is above twice the characters that both have, whatever their order, over all: that is looked at first.
-    """
-    chosen: list[int] = []
-    letters = [Counter(t) for t in titles]
-    out = []
-    for i, title in enumerate(titles):
-        for j in chosen:
-            both = len(title) + len(titles[j])
-            if 2 * min(len(title), len(titles[j])) < threshold * both or 2 * sum((letters[i] & letters[j]).values()) < threshold * both:
-                continue
-            if score(title, titles[j]) >= threshold:
-                out.append(j)
-                break
-        else:
-            chosen.append(i)
-            out.append(i)
-    return out
-
-
 def cluster(items: DataFrame, threshold: float = CLUSTER_AT, blocks: tuple[str, ...] = ("country", "disaster_type"), order: str = "ord", exact_ratio: bool = True) -> DataFrame:
     """DD02: add ``cluster``, the order of its cluster's first item. ``exact_ratio`` takes SC04's ratio, else SC05's.
 
-    With threshold 1 only equal titles meet, and no Python is needed.
+    A null title is empty; null blocks are blocks of their own. With threshold 1 only equal titles meet, and no Python is needed.
     """
-    titled = items.withColumn("_title", normalize(F.col("title")))
-    distinct = titled.groupBy(*blocks, "_title").agg(F.min(order).alias("_first"))
+    # As JSON a null leaves its name out, so a block with a null is no other one's.
+    titled = items.withColumns({"_block": F.to_json(F.struct(*blocks)) if blocks else F.lit(""), "_title": F.coalesce(normalize(F.col("title")), F.lit(""))})
+    distinct = titled.groupBy(F.col("_block").alias("block"), F.col("_title").alias("t")).agg(F.min(order).alias("first"))
     if threshold >= 1.0:
-        leaders_of = distinct.withColumnRenamed("_first", "cluster")
+        leaders_of = distinct.withColumnRenamed("first", "cluster")
     else:
-        score = ratio if exact_ratio else lcs_ratio
-
-        def run(block: pd.DataFrame) -> pd.DataFrame:
-            block = block.sort_values("_first", ignore_index=True)
-            found = leaders(block["_title"].tolist(), threshold, score)
-            return block.assign(cluster=block["_first"].to_numpy()[found]).drop(columns="_first")
-
-        fields = {f.name: f.dataType.simpleString() for f in distinct.schema}
-        schema = ", ".join(f"{n} {fields[n]}" for n in (*blocks, "_title")) + f", cluster {fields['_first']}"
-        leaders_of = distinct.groupBy(*blocks).applyInPandas(run, schema)
-    return titled.join(leaders_of, [*blocks, "_title"]).drop("_title")
+        leaders_of = leading_titles(distinct, threshold, ratio if exact_ratio else lcs_ratio)
+    leaders_of = leaders_of.withColumnsRenamed({"block": "_block", "t": "_title"})
+    return titled.join(leaders_of, ["_block", "_title"]).drop("_block", "_title")
 
 
 def cluster_titles(titles: DataFrame, threshold: float = CLUSTER_AT) -> DataFrame:
-    """DD03: (ord, title) clustered without blocks. Every distinct title meets every leader, so this is for short lists; use blocks for more."""
-    return cluster(titles.withColumn("_block", F.lit(1)), threshold, blocks=("_block",), exact_ratio=False).drop("_block")
+    """DD03: (ord, title) clustered without blocks."""
+    return cluster(titles, threshold, blocks=(), exact_ratio=False)
 
 
 def primaries(clustered: DataFrame, order: str = "ord", blocks: tuple[str, ...] = ("country", "disaster_type")) -> DataFrame:
@@ -127,29 +96,6 @@ def events_of(clusters: DataFrame, order: str = "ord") -> DataFrame:
     return full.groupBy("event_id").agg(F.min_by(F.struct(*names), "ord").alias("e")).select("event_id", "e.*")
 
 
-def rare_grams(titles: DataFrame, threshold: float) -> DataFrame:
-    """(t, first) to (t, first, gram): as many of a title's rarest q-grams as a similar title of another wording must share one of.
-
-    Of the q-grams of a title of length n, one similar to it at the threshold lacks n - M (characters without partner) times q,
-    and q - 1 for each of its own characters without one, at most; M, the characters with a partner, is at least the threshold
-    times half of both lengths, and these differ by the factor (2 - t) / t at most. If it lacks no more than k, and the
-    other way round, then the k + 1 rarest ones of each have one in common. Repeated grams are told apart by number.
-    """
-    lacks = lambda q, r: q + (q - 1) * r - (2 * q - 1) * threshold * (1 + r) / 2
-    worst = lambda q: max(lacks(q, threshold / (2 - threshold)), lacks(q, (2 - threshold) / threshold))
-    # The shortest title that can have a similar one of another wording; it must keep a gram.
-    least = threshold / (2 * (1 - threshold)) - 1e-9 if threshold < 1 else float("inf")
-    q = next((q for q in (3, 2) if least - q + 1 - worst(q) * least >= 1), 1)
-    n = F.char_length("t")
-    grams = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring("t", i, F.lit(q)))
-    numbered_grams = F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda other: other == g)).cast("string")))
-    each = titles.filter((n >= q) & (n >= least)).select("t", "first", F.explode(numbered_grams).alias("gram"))
-    times = each.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    most = F.floor(worst(q) * n + 1e-9).cast("int") + 1
-    ranked = each.join(times, "gram").groupBy("t", "first").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("all"))
-    return ranked.select("t", "first", F.explode(F.slice("all", F.lit(1), most)).alias("g")).select("t", "first", "g.gram")
-
-
 def updated_events(events: DataFrame, threshold: float = UPDATED_AT) -> DataFrame:
     """JN06: event_id of the events whose title is similar to that of any earlier one of the batch.
 

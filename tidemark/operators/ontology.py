@@ -81,7 +81,8 @@ def located(facts: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def explode_figures(rows: DataFrame, *keep: str) -> DataFrame:
-    return rows.select(*keep, F.explode("figures").alias("figure_key", "value"))
+    """An outer explode: of an inner one the optimizer would infer that the map isn't empty, and find all figures once more to see that."""
+    return rows.select(*keep, F.explode_outer("figures").alias("figure_key", "value")).filter("figure_key is not null")
 
 
 def national_figures(figures: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.dims import TEMPLATE
 from tidemark.operators.classify import tier_label
@@ -109,10 +110,33 @@ SECTORS = {"Shelter": "shelter", "WASH": "wash", "Health": "health", "Food Secur
 
 
 def document(lines: DataFrame) -> DataFrame:
-    """RN02, SNK04: one row with the markdown of (part, place, text); a report's length is that of its tables of areas and kinds."""
+    """RN02: one row with the markdown of (part, place, text), for a report that is scored or shown as a whole; ``write_document`` is for any length."""
     every = F.sort_array(F.collect_list(F.struct("part", "place", "text")))
     return lines.groupBy().agg(F.array_join(F.transform(every, lambda x: x["text"]), "\n").alias("markdown"))
 
 
+def write_document(lines: DataFrame, path: str) -> None:
+    """RN02, SNK04: (part, place, text) as text files that are the document when they are read in order of their names, each written by its own task.
+
+    The lines are range-partitioned in their order, so a task holds a range of them. A manifest tells, for each file, its lines and how
+    many come before it.
+    """
+    spark = lines.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartitionByRange(ranges, "part", "place", "text").sortWithinPartitions("part", "place", "text")
+    ordered.select(F.col("text").alias("value")).write.mode("overwrite").text(f"{path}/text")
+    counts = spark.read.text(f"{path}/text").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))  # a row a file
+    counts.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """(n, text): the lines of a written document with their numbers, from 0 on, counted in each file by itself."""
+    manifest = spark.read.schema("file string, lines long, before long").json(f"{path}/manifest")
+    text = spark.read.text(f"{path}/text").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    local = F.row_number().over(W.partitionBy("file").orderBy("block", "at")) - 1
+    return text.withColumn("local", local).join(manifest, "file").select((F.col("before") + F.col("local")).alias("n"), "text")
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.concat(F.bround(100 * part / F.greatest(whole, F.lit(1)), 1).cast("string"), F.lit("%"))

@@ -10,7 +10,8 @@ from tidemark.functions.text import source_label
 from tidemark.operators import evidence, ontology, render, reports
 from tidemark.plans.adapters import EVENT, EVENT_FROM, read
 from tidemark.plans.adapters import text_events as events
-from tidemark.sources.shared import written
+from tidemark.sources.shared import shared_folder, written
+from tidemark.sources.tables import GraphStore
 from tidemark.plans.text_queries import _IMPACTS, _NEEDS, FIGURES_SQL, _any, _map
 
 #: The ontology reads title, summary and text together; the oracles' text is that.
@@ -47,15 +48,18 @@ def _geo(spark, sf_dir):
     return ontology.geo_nodes(rows.withColumn("ord", F.struct("o", "k")).withColumn("iso3", F.lit("")), "ord")
 
 
-def _annotated(spark, sf_dir):
+def _placed(spark, sf_dir):
     facts, supplier = events(spark, sf_dir), read(spark, sf_dir, "supplier")
     least, n = supplier.agg(F.min("s_suppkey"), F.count(F.lit(1))).first()
     first = read(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
     placed = facts.join(supplier.select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("id") % n + least)
     place = F.when(F.col("id") % 4 == 0, F.lit(first)).when(F.col("id") % 4 == 3, F.col("s_name")).otherwise(F.col("country"))
     level = F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 3, 2).otherwise(1)
-    out = placed.withColumns({"geo_area": place, "admin_level": level, "source_label": source_label(F.col("title"))})
-    return ontology.annotate(out)
+    return placed.withColumns({"geo_area": place, "admin_level": level, "source_label": source_label(F.col("title"))})
+
+
+def _annotated(spark, sf_dir):
+    return ontology.annotate(_placed(spark, sf_dir))
 
 
 def _impacts(spark, sf_dir):
@@ -97,6 +101,27 @@ def on04(spark, sf_dir):
     return annotated.groupBy(F.col("disaster_type").alias("hazard")).agg(F.count(F.lit(1)).alias("sightings")).join(nodes, "hazard").select("hazard", "category", "sightings")
 
 
+@query(
+    "on08_nodes_over_snapshots",
+    f"WITH {EV}, {_GEO}, {_EVG}, s AS (SELECT lower(geo_area) AS geo_key, CASE WHEN id % 2 = 0 THEN upper(geo_area) ELSE geo_area END AS name, admin_level, CASE WHEN id % 5 = 0 THEN 'X' || substring(geo_area, 1, 2) END AS iso3, id FROM evg) "
+    "SELECT 'geo' AS kind, geo_key AS node, arg_min(name, id) AS name, max(iso3) AS iso3 FROM s GROUP BY geo_key UNION ALL SELECT 'hazard', disaster_type, arg_min(connector, id), NULL FROM ev GROUP BY disaster_type",
+)
+def on08(spark, sf_dir):
+    """ON08, ON03, ON04: areas and hazards added by three snapshots, the second of them twice."""
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    rows = written(_placed(spark, sf_dir).select("id", "geo_area", "admin_level", "disaster_type", "connector"), "placed")
+    cuts = rows.selectExpr("percentile_disc(0.2) WITHIN GROUP (ORDER BY id) AS a", "percentile_disc(0.6) WITHIN GROUP (ORDER BY id) AS b").first()
+    parts = (rows.filter(F.col("id") <= cuts.a), rows.filter((F.col("id") > cuts.a) & (F.col("id") <= cuts.b)), rows.filter(F.col("id") > cuts.b))
+    for snapshot in (0, 1, 1, 2):
+        part = parts[snapshot]
+        name = F.when(F.col("id") % 2 == 0, F.upper("geo_area")).otherwise(F.col("geo_area"))
+        iso3 = F.when(F.col("id") % 5 == 0, F.concat(F.lit("X"), F.substring("geo_area", 1, 2)))
+        areas = part.select(F.lower("geo_area").alias("geo_key"), name.alias("name"), "admin_level", iso3.alias("iso3"), "id")
+        store.add(snapshot, {"geo": (areas, "geo_key", "id", ("iso3",)), "hazard": (part.select("disaster_type", "connector", "id"), "disaster_type", "id", ())})
+    geo = store.nodes("geo", "geo_key", ("iso3",)).select(F.lit("geo").alias("kind"), F.col("geo_key").alias("node"), "name", "iso3")
+    return geo.unionByName(store.nodes("hazard", "disaster_type").select(F.lit("hazard").alias("kind"), F.col("disaster_type").alias("node"), F.col("connector").alias("name"), F.lit(None).cast("string").alias("iso3")))
+
+
 @query("on06_claims", f"WITH {EV} SELECT event_id, substring(title || ': ' || summary, 1, 500) AS claim_text FROM ev")
 def on06(spark, sf_dir):
     return ontology.claims(events(spark, sf_dir).withColumn("source_label", F.lit(""))).select("event_id", "claim_text")
@@ -327,7 +352,10 @@ def rn01(spark, sf_dir):
 
 @query("rn02_situation_analysis")
 def rn02(spark, sf_dir):
-    return reports.analysis_score(render.document(_analysis(spark, sf_dir)).select(F.lit(1).cast("long").alias("doc_id"), "markdown"))
+    """RN02: the analysis, written by ranges and read back, numbered."""
+    folder = shared_folder(spark, "analysis")
+    render.write_document(_analysis(spark, sf_dir), folder)
+    return render.read_document(spark, folder)
 
 
 def _analysis(spark, sf_dir):

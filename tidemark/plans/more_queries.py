@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.dims import ANALYSIS_SECTIONS
 from tidemark.operators import classify, dedupe, evidence, health, render, reports
 from tidemark.plans.adapters import EV, events, read
 from tidemark.plans.core_queries import _CLUSTERS, _ITEMS, _clusters
@@ -42,9 +43,9 @@ def dd01(spark, sf_dir):
 
 @query("dd03_title_clusters")
 def dd03(spark, sf_dir):
-    """DD03: the kinds of parts, a list of at most 150 whatever the scale."""
-    kinds = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("title")).agg(F.min("p_partkey").alias("ord"))
-    return dedupe.cluster_titles(kinds).select("ord", "title", "cluster")
+    """DD03: the titles of all pages."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return dedupe.cluster_titles(pages).select("ord", "title", "cluster")
 
 
 @query("dd07_severity", f"WITH {EV}, {_ITEMS}, {_CLUSTERS} SELECT cluster, country, disaster_type, base AS base_level, CASE level WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity FROM sv")
@@ -108,9 +109,24 @@ def sl10(spark, sf_dir):
     return reports.listing(_reports(spark, sf_dir).withColumn("modified", F.col("doc_id") % 17), 25).select("doc_id", "modified")
 
 
-@query("gt08_quality_table", f"WITH {_MD} SELECT doc_id, '| Section Completeness | 0.13 | 0.70 | **Fail** |' AS completeness, CASE WHEN doc_id % 5 IN (1, 2) THEN '| Citation Accuracy | 1.00 | 0.80 | Pass |' ELSE '| Citation Accuracy | 0.67 | 0.80 | **Fail** |' END AS accuracy FROM md")
+# Analyses that have a section or not by the customer's key, and cite one source that they list and one that they may not.
+_HAS = [f"(doc_id + {i}) % {2 + i % 3} <> 0" for i in range(len(ANALYSIS_SECTIONS) - 1)]
+
+
+def _analyses(spark, sf_dir):
+    made = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    headings = [F.when(F.expr(has), F.concat(F.lit(f"## {name}\nas "), "doc_id")) for has, name in zip(_HAS, ANALYSIS_SECTIONS)]
+    cited = F.concat(F.lit("Stated in [1] and ["), (F.col("doc_id") % 4).cast("string"), F.lit("]."))
+    return made.withColumn("markdown", F.concat_ws("\n", F.lit("# Analysis"), cited, *headings, F.lit("## Sources and References\n1. https://a.org/x\n2. https://b.org/y")))
+
+
+@query(
+    "gt08_quality_table",
+    "WITH c AS (SELECT c_custkey AS doc_id FROM customer), m AS (SELECT doc_id, (1 + " + " + ".join(f"({has})::INT" for has in _HAS) + f") / {len(ANALYSIS_SECTIONS)}.0::DOUBLE AS complete, CASE WHEN doc_id % 4 IN (1, 2) THEN 1.0 ELSE 0.5 END AS accurate FROM c) "
+    "SELECT doc_id, format('| Section Completeness | {:.2f} | 0.70 | ', complete) || CASE WHEN complete >= 0.7 THEN 'Pass |' ELSE '**Fail** |' END AS completeness, format('| Citation Accuracy | {:.2f} | 0.80 | ', accurate::DOUBLE) || CASE WHEN accurate >= 0.8 THEN 'Pass |' ELSE '**Fail** |' END AS accuracy FROM m",
+)
 def gt08(spark, sf_dir):
-    table = reports.quality_table(reports.analysis_score(_reports(spark, sf_dir)))
+    table = reports.quality_table(reports.analysis_score(_analyses(spark, sf_dir)))
     line = lambda name: F.regexp_extract("markdown", rf"(?m)^\| {name} .*$", 0)
     return table.select("doc_id", line("Section Completeness").alias("completeness"), line("Citation Accuracy").alias("accuracy"))
 
@@ -150,12 +166,20 @@ def rn05f(spark, sf_dir):
     return _analysis(spark, sf_dir).filter("part >= 20")
 
 
-@query("snk04_report_file")
+@query(
+    "snk04_report_file",
+    "WITH l AS (SELECT 0 AS part, '' AS place, '# Suppliers' AS text UNION ALL SELECT 1, lpad(s_suppkey::STRING, 12, '0'), '| ' || s_name || ' | ' || n_name || ' |' FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 2, lpad(n_nationkey::STRING, 12, '0'), '- ' || n_name FROM nation) "
+    "SELECT row_number() OVER (ORDER BY part, place, text) - 1 AS n, text FROM l",
+)
 def snk04(spark, sf_dir):
-    """SNK04: the analysis as a Markdown file, written and read back."""
+    """SNK04: a Markdown document with a line for each supplier and nation, written by ranges and read back."""
     folder = shared_folder(spark, "report")
-    render.document(_analysis(spark, sf_dir)).select(F.col("markdown").alias("value")).coalesce(1).write.text(folder)
-    return spark.read.text(folder)
+    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    place = lambda c: F.lpad(F.col(c).cast("string"), 12, "0").alias("place")
+    rows = render.table_rows(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "s_name", "n_name").select(F.lit(1).alias("part"), place("s_suppkey"), F.col("line").alias("text"))
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("place"), F.lit("# Suppliers").alias("text"))
+    render.write_document(head.union(rows).union(nation.select(F.lit(2), place("n_nationkey"), F.concat(F.lit("- "), "n_name"))), folder)
+    return render.read_document(spark, folder)
 
 
 _KEYWORDS = """[need]
@@ -172,14 +196,36 @@ def on09(spark, sf_dir):
     return events(spark, sf_dir).select("id", F.array_contains(classify.needs(F.col("text"), words.needs), "shelter").alias("shelter"), classify.is_risk(F.col("text"), words.risks).alias("risk"))
 
 
-@query("rn06_template", "SELECT * FROM (VALUES ('limits', 'max_incident_highlights', '5'), ('sections', 'method', 'How'), ('sections', 'citations', 'Citations')) t(part, key, value)")
+@query(
+    "rn06_template",
+    "WITH d AS (SELECT unnest(['sections', 'sections', 'limits']) AS part, unnest(['method', 'citations', 'max_incident_highlights']) AS key, unnest(['Method', 'Citations', '12']) AS value) "
+    "SELECT n_name AS report, part, key, CASE WHEN n_nationkey % 3 = 0 AND key = 'method' THEN 'How ' || n_name WHEN n_nationkey % 3 < 2 AND key = 'max_incident_highlights' THEN (n_nationkey + 1)::STRING ELSE value END AS value FROM nation, d",
+)
 def rn06(spark, sf_dir):
-    """RN06: a template laid over the default one: two values given, one left as it is."""
-    merged = configuration.template('{"name": " own ", "sections": {"method": "How"}, "limits": {"max_incident_highlights": 5}}')
-    rows = [(part, key, str(value)) for part in ("sections", "limits") for key, value in merged[part].items()]
-    return spark.createDataFrame(rows, "part string, key string, value string").filter("key IN ('method', 'citations', 'max_incident_highlights')")
+    """RN06: a template for each nation, laid over the default one; a third give a heading and a limit, a third a limit, and a third are broken."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    limits = F.concat(F.lit('"limits": {"max_incident_highlights": '), (k + 1).cast("string"), F.lit("}"))
+    text = F.when(k % 3 == 0, F.concat(F.lit('{"sections": {"method": "How '), name, F.lit('"}, '), limits, F.lit("}"))).when(k % 3 == 1, F.concat(F.lit("{"), limits, F.lit("}"))).otherwise('{"limits": ')
+    merged = configuration.templates(read(spark, sf_dir, "nation").select(name.alias("report"), text.alias("template")))
+    return merged.filter("key IN ('method', 'citations', 'max_incident_highlights')").select("report", "part", "key", "value")
+
+
+_REGISTRY = "rg AS (SELECT ['government', 'un', 'ngo', 'local_news'][page_id % 4 + 1] AS category, lower(url) AS url FROM pages), fd AS (SELECT DISTINCT category, url FROM rg)"
+
+
+def _registry(spark, sf_dir):
+    """A registry with a feed for each page, given twice with names in other cases."""
+    category = F.element_at(F.array(*[F.lit(c) for c in configuration.CONNECTORS]), (F.col("page_id") % 4 + 1).cast("int"))
+    layer = read(spark, sf_dir, "pages").select(category.alias("category"), F.concat(F.lit("Feed of "), "url").alias("name"), "url", F.col("page_id").alias("ord"))
+    return feeds.merge_registry(layer, layer.withColumns({"name": F.upper("name"), "url": F.upper("url")}))
+
+
+@query("ag30_feed_counts", f"WITH {_REGISTRY} SELECT category, count(*) AS feeds FROM fd GROUP BY category")
+def ag30(spark, sf_dir):
+    return feeds.feed_counts(_registry(spark, sf_dir))
 
 
-@query("src08_connectors", "SELECT * FROM (VALUES ('government_feeds', 'official', 4::BIGINT), ('un_humanitarian_feeds', 'humanitarian', 2), ('ngo_feeds', 'humanitarian', 3), ('local_news_feeds', 'news', 9)) t(connector, source_type, feeds)")
+@query("src08_connectors", f"WITH {_REGISTRY}, k AS (SELECT unnest(['government', 'un', 'ngo', 'local_news']) AS category, unnest(['government_feeds', 'un_humanitarian_feeds', 'ngo_feeds', 'local_news_feeds']) AS connector, unnest(['official', 'humanitarian', 'humanitarian', 'news']) AS source_type) SELECT connector, source_type, count(*) AS feeds FROM fd JOIN k USING (category) GROUP BY ALL")
 def src08(spark, sf_dir):
-    return configuration.connectors(spark).groupBy("connector", "source_type").agg(F.count(F.lit(1)).alias("feeds"))
+    """SRC08: the connector and kind of source of each feed of a registry."""
+    return configuration.connectors(spark, _registry(spark, sf_dir)).groupBy("connector", "source_type").agg(F.count(F.lit(1)).alias("feeds"))

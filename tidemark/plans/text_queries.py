@@ -610,8 +610,3 @@ def src13(spark, sf_dir):
 @query("src14_projection", f"WITH {EV} SELECT id, cycle_id, connector, url FROM ev ORDER BY id DESC LIMIT 30")
 def src14(spark, sf_dir):
     return feeds.newest(events(spark, sf_dir), 30, "id", "cycle_id", "connector", "url")
-
-
-@query("ag30_feed_counts", "SELECT * FROM (VALUES ('government', 4::BIGINT), ('un', 2), ('ngo', 3), ('local_news', 9)) t(category, feeds)")
-def ag30(spark, sf_dir):
-    return feeds.feed_counts(dims.feeds(spark))

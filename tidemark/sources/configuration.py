@@ -6,7 +6,7 @@ import json
 import tomllib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.dims import DEFAULT_FEEDS, IMPACTS, NEEDS, RISKS, TEMPLATE, feeds
@@ -45,6 +45,17 @@ def template(text: str | None = None) -> dict:
     return out
 
 
+def templates(rows: DataFrame, column: str = "template") -> DataFrame:
+    """RN06 for a table of templates: each row's columns with (part, key, value), one row a heading and limit of the default, as the row's JSON has it or as it is."""
+    given = F.from_json(column, "sections map<string,string>, limits map<string,string>")
+
+    def laid_over(part: str) -> Column:
+        default = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in TEMPLATE[part].items()])
+        return F.transform(default, lambda x: F.struct(F.lit(part).alias("part"), x["key"].alias("key"), F.coalesce(F.try_element_at(F.col(f"_given.{part}"), x["key"]), x["value"]).alias("value")))
+
+    return rows.withColumn("_given", given).select(*[c for c in rows.columns if c != column], F.inline(F.concat(laid_over("sections"), laid_over("limits"))))
+
+
 #: The connector and the kind of source of each category of feeds.
 CONNECTORS = {"government": ("government_feeds", "official"), "un": ("un_humanitarian_feeds", "humanitarian"), "ngo": ("ngo_feeds", "humanitarian"), "local_news": ("local_news_feeds", "news")}
 

@@ -1,19 +1,16 @@
 """Feeds, reports and registries as DataFrames (SRC01 to SRC16, SO01, SO02).
 
-Files of XML and JSON are read by Spark's own readers. A source behind an API is a Python data source whose partitions are its
-pages, with the fetching function handed in; nothing here opens a network connection.
+Files of XML and JSON are read by Spark's own readers; sources behind an API are in ``paged.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.window import Window as W
 
-from tidemark.dims import HAZARDS
 from tidemark.operators.dedupe import detect_changes
 
 RAW_ITEM = (
@@ -69,60 +66,6 @@ def report_items(rows: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def query_terms(countries: list[str], hazards: list[str], most: int = 12) -> list[str]:
-    """SRC06: the terms asked of a server: countries and the first five keywords of each hazard, each once whatever its case."""
-    terms = [*countries, *(k for h in hazards for k in HAZARDS.get(h, [h])[:5])]
-    return list({t.lower(): t for t in reversed(terms)}.values())[::-1][:most]
-
-
-Fetch = Callable[[int, int], list[tuple]]
-
-
-def paged_source(name: str, schema: str, fetch: Fetch, limit: int, page: int = 100, most_pages: int = 10) -> type[DataSource]:
-    """SRC04, SRC05: a data source over ``fetch(offset, size)``; one task a page, and a streaming reader that stops at a short page."""
-    size = min(page, limit)
-    pages = min(most_pages, -(-limit // size))
-
-    class Page(InputPartition):
-        def __init__(self, offset: int, rows: int):
-            self.offset, self.rows = offset, rows
-
-    class Reader(DataSourceReader):
-        def partitions(self) -> list[InputPartition]:
-            return [Page(i * size, min(size, limit - i * size)) for i in range(pages)]
-
-        def read(self, partition: Page) -> Iterator[tuple]:
-            yield from fetch(partition.offset, partition.rows)[: partition.rows]
-
-    class StreamReader(SimpleDataSourceStreamReader):
-        def initialOffset(self) -> dict:
-            return {"offset": 0}
-
-        def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-            at = int(start["offset"])
-            rows = fetch(at, min(size, limit - at)) if at < limit else []
-            return iter(rows), {"offset": at + len(rows)}
-
-        def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-            return iter(fetch(int(start["offset"]), int(end["offset"]) - int(start["offset"])))
-
-    class Paged(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return schema
-
-        def reader(self, schema) -> DataSourceReader:
-            return Reader()
-
-        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-            return StreamReader()
-
-    return Paged
-
-
 def union_sources(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """SRC09, SO01: the union of all sources that can be read, and (name, error) of those that can't."""
     frames, failed = [], []
