@@ -122,7 +122,9 @@ def with_status(events: DataFrame, previous: DataFrame, threshold: float = UPDAT
 
 def detect_changes(items: DataFrame, previous: DataFrame, countries: list[str], hazards: list[str], include_unchanged: bool = True) -> DataFrame:
     """DD01 to DD10: items (ord, connector, source_type, url, title, text, country_candidates, published_at) to events with their status."""
-    events = events_of(primaries(cluster(candidates(items, countries, hazards))))
+    # Written, for the clusters and the states each read them more than once.
+    found = written(candidates(items, countries, hazards), "candidates")
+    events = written(events_of(primaries(cluster(found))), "events")
     out = with_status(events, previous)
     return out if include_unchanged else out.filter("status <> 'unchanged'")
 

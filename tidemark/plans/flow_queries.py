@@ -168,7 +168,7 @@ def src04(spark, sf_dir):
     return paged.load(spark, paged.paged_source("paged_reports", _REPORT, _client(folder))).select("id", "title", "place")
 
 
-_SRC06 = "country IN ('NATION_6', 'NATION_18', 'NATION_17', 'NATION_14') AND disaster_type = 'flood' AND published_at >= '2026-01-05'"
+_SRC06 = "country IN ('NATION_5', 'NATION_10', 'NATION_15', 'NATION_20') AND disaster_type = 'flood' AND published_at >= '2026-01-05'"
 
 
 @query("src06_pushdown", f"WITH {_SERVED} SELECT id, country, published_at FROM sv WHERE {_SRC06} AND id % 2 = 0")
