@@ -14,7 +14,6 @@ Defined results: a null text is empty, and an empty text is its end id alone; an
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,11 +30,12 @@ from tidemark.llm.common import hash_key, materialise, table, text_slices, u32
 LENGTH, END_ID, DIMS, BITS, SEED = 2048, 1, 3, 16, 20_25
 #: A document counts once for each so many tokens in the quantiles that cut the curve.
 WEIGHT = 256
-#: Words with the white space before them; full stops and commas after a letter or digit at a word's end are a stretch of their own.
-#: No token of a byte-level vocabulary reaches from a word into white space, or from a letter or digit into them.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LETTER = r"A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff"
-STRETCH = re.compile(rf"[{WHITE}]*[.,]*[^{WHITE}.,]+(?:[.,]+[^{WHITE}.,]+)*(?:(?<![{LETTER}])[.,]+)?|[{WHITE}]*[.,]+|[{WHITE}]+")
+#: White space beyond ASCII in UTF-8: the bytes before the last one, and what that may be.
+WIDE_SPACES = (((0xC2,), (0x85, 0xA0)), ((0xE1, 0x9A), (0x80,)), ((0xE2, 0x80), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), ((0xE2, 0x81), (0x9F,)), ((0xE3, 0x80), (0x80,)))
+#: Last bytes of letters of two bytes from U+00C0 to U+00FF, other than the signs of multiplication and division.
+LATIN_SIGNS = (0x97, 0xB7)
+#: Texts are encoded together up to so many characters.
+SLICE = 8_000_000
 #: A task remembers the ids of so many stretches of up to so many characters.
 MOST_KNOWN, MOST_CHARS = 900_000, 64
 
@@ -77,14 +77,61 @@ def encoder(name: str) -> Callable[[list[str]], list[np.ndarray]]:
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(known) > MOST_KNOWN:
             known.clear()
-        stretches = [STRETCH.findall(text) for text in texts]
-        ids = encoded(list({s for parts in stretches for s in parts if s not in known}))
-        known.update((s, cell) for s, cell in ids.items() if len(s) <= MOST_CHARS)
-        return [np.frombuffer(b"".join([known[s] if s in known else ids[s] for s in parts]), dtype=np.uint32) for parts in stretches]
+        cells = [text.encode() for text in texts]
+        if not any(cells):
+            return [np.zeros(0, dtype=np.uint32) for _ in cells]
+        data = np.frombuffer(b"".join(cells), dtype=np.uint8)
+        ends = np.cumsum([len(cell) for cell in cells])
+        begins = stretches(data, np.concatenate([[0], ends[:-1]]))
+        # Equal stretches are found by Arrow's dictionary, over the bytes as they lie there.
+        offsets = np.append(begins, len(data))
+        distinct = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(data)).dictionary_encode()
+        words = distinct.dictionary.to_pylist()
+        new = encoded([w for w in words if w not in known])
+        known.update((w, cell) for w, cell in new.items() if len(w) <= MOST_CHARS)
+        each = [known[w] if w in known else new[w] for w in words]
+        # The ids of all stretches, gathered from those of the distinct ones laid end to end.
+        ids = np.frombuffer(b"".join(each), dtype=np.uint32)
+        sizes = np.fromiter((len(cell) // 4 for cell in each), dtype=np.int64, count=len(each))
+        starts = np.cumsum(sizes) - sizes
+        which = distinct.indices.to_numpy()
+        upto = np.cumsum(sizes[which])
+        from_ = np.repeat(starts[which] - (upto - sizes[which]), sizes[which])
+        every = ids[from_ + np.arange(len(from_))]
+        places = np.searchsorted(begins, ends)  # stretches before the end of each text
+        return np.split(every, np.concatenate([[0], upto])[places][:-1])
 
     return encode
 
 
+def stretches(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where stretches begin in UTF-8 bytes, of texts that begin at ``texts``: at each of these, at white space after something else, and at a full
+    stop or comma after a letter or digit.
+
+    No token of a byte-level vocabulary reaches from a word into white space, or from a letter or digit into those marks.
+    """
+    n = len(data)
+    first = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))  # bytes that a white space character begins with, and ends with
+    last = first.copy()
+    for head, tails in WIDE_SPACES:
+        k = len(head)
+        at = np.flatnonzero(data[: max(0, n - k)] == head[0])
+        for i in range(1, k):
+            at = at[data[at + i] == head[i]]
+        at = at[np.isin(data[at + k], tails)]
+        first[at], last[at + k] = True, True
+    begin = np.zeros(n, dtype=bool)
+    begin[1:] = first[1:] & ~last[:-1]
+    mark = np.flatnonzero((data[1:] == 0x2E) | (data[1:] == 0x2C)) + 1
+    before = data[mark - 1]
+    letter = ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A) | (before >= 0x30) & (before <= 0x39)
+    two = mark >= 2
+    letter[two] |= (data[mark[two] - 2] == 0xC3) & (before[two] >= 0x80) & ~np.isin(before[two], LATIN_SIGNS)
+    begin[mark[letter]] = True
+    begin[texts[texts < n]] = True
+    return np.flatnonzero(begin)
+
+
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Index along the Hilbert curve of each row of unsigned integers below 2^bits (Skilling's transform)."""
     x = points.astype(np.uint64).copy()
@@ -131,7 +178,7 @@ def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = EN
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE):
             ids = [np.concatenate([x, end]) for x in tokens(texts)]
             # A document of ids below 65,536 is kept in two bytes an id, for it is written and shuffled once.
             cells = [(x.astype("<u2") if x.max() < 65_536 else x).tobytes() for x in ids]
