@@ -696,7 +696,43 @@ def test_what_holds_the_main_part_stays():
     assert text("<body><nav>menu only</nav></body>") == "" and text("<body><form><p>asp</p></form><p>a</p></body>") == "asp\n\na"
 
 
-@pytest.mark.parametrize("unit", ["<div>t", "<p>t", "<span class=ad>t", "<a ", "<a b='", "<!--", "<![", "</a ", "<title>", "<b"])
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), ["page_id"]).collect()}
+
+
+@pytest.mark.parametrize("copies", [3, 30])
+def test_an_article_that_pages_share_stays(spark, copies):
+    """With and without an article element, in one piece or in paragraphs, with a table and a section; each page has a line of its own, and a menu all share."""
+    rng = random.Random(copies)
+    shared, parts = prose(rng, 60), [prose(rng, 12) for _ in range(6)]
+    table_ = "<table><tr><td>a1</td><td>b1</td></tr></table><section><p>Shared section</p></section>"
+    menu = "<div><a href=/a>News today</a> <a href=/b>All the sport</a></div>"
+    bodies = {
+        "a.org": (f'<div class="body">{shared}</div>', shared),
+        "b.org": (f"<div>{''.join(f'<p>{p}</p>' for p in parts)}{table_}</div>", "\n\n".join([*parts, "a1", "b1", "Shared section"])),
+        "c.org": (f"<article>{''.join(f'<p>{p}</p>' for p in parts)}{table_}{menu}</article>", "\n\n".join([*parts, "a1", "b1", "Shared section"])),
+        "d.org": ("".join(f"<p>{p}</p>" for p in parts), "\n\n".join(parts)),
+    }
+    pages, wanted = [], {}
+    for host, (body, text) in bodies.items():
+        for i in range(copies):
+            own = f"Line {i} of its own"
+            wanted[len(pages)] = text if host == "c.org" else f"{own}\n\n{text}"
+            pages.append((len(pages), f"http://{host}/{i}", f'<body>{menu}<div class="x">{own}</div>{body}</body>'))
+    assert extracted(spark, pages) == wanted
+
+
+def test_comments_adverts_and_controls_go():
+    text = lambda html: html_text.main_text(*html_text.page_tree(html), set())[0]
+    assert text('<article><p>a</p><section class="reader-comments"><p>c</p></section></article>') == "a"
+    assert text('<body><p>a</p><div class="user-comments"><p>c</p></div><div class="advert-300x250">Buy</div><div id="related-stories"><a>r</a></div></body>') == "a"
+    assert text("<p>Press <button>OK</button> now, <script>x</script>or <select><option>one<option>two</select> later</p>") == "Press now, or later"
+    assert text('<body><a href="#m">Skip to content</a><p>a <a href="#n">note</a></p><a href="/skip">Skip to the moon</a></body>') == "a note\n\nSkip to the moon"
+    assert text("<div><p>a <button>never closed</p><p>b</p></div><noscript><div>no</div></noscript>c") == "a\n\nb\n\nc"
+    assert text('<article><div class="commentary">kept</div><div class="user-story">kept too</div></article>') == "kept\n\nkept too"
+
+
+@pytest.mark.parametrize("unit", ["<button>t", "<svg><g>t", "<div>t", "<p>t", "<span class=ad>t", "<a ", "<a b='", "<!--", "<![", "</a ", "<title>", "<b"])
 def test_parsing_is_linear(unit):
     began = time.process_time()
     html_text.main_text(*html_text.page_tree(unit * 100_000 + "<p>end</p>"), set())

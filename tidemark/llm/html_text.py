@@ -8,10 +8,11 @@ sidebars, adverts, forms, scripts, comments and the like) go by tag, role, class
 different on each page and a host may have too few pages. Of the rest, the text of the page's article or main element is
 taken if it has one.
 
-What holds the main part never goes: neither an article nor what is around it is looked up among the templates; inside an article
-only containers (divisions, tables, figures, lists of links and the like) of less than half of its text are, for a heading, a
-paragraph or a plain list that many pages share (a licence line, a quoted passage) is text; a form around an article, or with
-most of its text, is no form to fill in.
+What holds the main part never goes: neither an article nor what is around it is looked up among the templates. On a page without
+an article the smallest element with half of the text that no name takes away, links aside, stands for it. Inside, only what is
+navigation is looked up, containers and lists with more than half of their text in links: prose and data that other pages share, a
+passage, a table or a section, are the page's too. So an article that any number of pages share stays on all of them. A form around an
+article, or with most of its text, is no form to fill in.
 
 Parsing is linear in the page: elements have links to their parents, and what is asked of the open elements is kept by tag.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,19 +45,24 @@ LEAST_PAGES = 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 HARD = frozenset("head title script style noscript template iframe object svg button select textarea canvas audio video".split())
+#: Those of them that stand within a line: they end no block.
+INLINE_HARD = HARD - frozenset(("head", "title"))
+#: Links to a place of the same page that let a reader pass over the menus.
+SKIP_LINK = re.compile(r"\s*(?:skip|jump|go) (?:directly |straight )?to (?:the )?(?:main|content|article|navigation|search|footer)\b", re.IGNORECASE)
 #: Elements that are not the main part, unless they hold it.
 SOFT = frozenset("nav footer aside form dialog menu".split())
 RAW, TEXT_ONLY = frozenset("script style iframe noembed noframes xmp".split()), frozenset("title textarea".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: A class or id says what its element is if all its parts (between hyphens, underscores and digits) are of these two lists and one of the first.
+#: A class or id says what its element is if all its parts of two letters or more (between hyphens, underscores and digits) are of these two lists and one of the first.
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adslot adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation navmenu newsletter notice notices overlay pagination paywall popup promo promotion related respond share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar".split()
 )
 NEUTRAL_NAMES = frozenset(
-    "area article articles bar block bottom box buttons container content footer form global google header icons inner item items js left link links list main media new page post posts primary right "
-    "row secondary section site slot small sticky the top unit widget wrap wrapper".split()
+    "all and area article articles bar block body bottom box buttons by col column container content count footer form from global google group header icons in inner item items js large latest leaderboard left "
+    "link links list main media medium more new of our outer page panel post posts primary public rail reader readers recent rectangle region reply row secondary section site skyscraper slot small sticky stories story the thread to "
+    "top unit user users visitor visitors widget wrap wrapper your zone".split()
 )
 #: Names are heard on these; a paragraph or heading is text whatever its class.
 NAMED_TAGS = frozenset("div section ul ol dl table tbody tr td span header article details figure fieldset address center".split())
@@ -64,7 +71,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements of an article that may be template, lists only if over half of their text is links.
+#: Elements of an article that may be template, if over half of their text is links.
 CONTAINERS, LISTS = frozenset("address aside center details dialog div fieldset figure footer form menu nav section table".split()), frozenset("dl ol ul".split())
 #: A start tag of the key closes an open element of the values, up to the nearest of the stops.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -153,8 +160,14 @@ class Page:
         self.stops: list[int] = []
         self.walls: list[int] = []
         self.in_link = False
+        #: The element within a line whose content is no text, how many of the tag are open in it, and the other open tags in it.
+        self.muted, self.depth, self.within = "", 0, Counter()
+        #: Where in ``text`` an open link to a place of the page began.
+        self.jump = -1
         for kind, value, attributes in lexed(page):
             if kind == "text":
+                if self.muted:
+                    continue
                 self.text.append(value)
                 if self.in_link:
                     self.nodes[self.open[-1]].links += len(value.strip())
@@ -168,6 +181,7 @@ class Page:
     def flush(self) -> None:
         words = html_module.unescape("".join(self.text)).split()
         self.text.clear()
+        self.jump = -1
         if words:
             text, node = " ".join(words), self.nodes[self.open[-1]]
             node.digest.update("\x00" + text)
@@ -193,6 +207,18 @@ class Page:
         return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
 
     def start(self, tag: str, attributes: str) -> None:
+        if self.muted:
+            if tag == self.muted:
+                self.depth += 1
+            elif tag not in VOID:
+                self.within[tag] += 1
+            return
+        if tag in INLINE_HARD:
+            if tag not in RAW:  # a raw one has no tags in it
+                self.muted, self.depth = tag, 1
+                self.within.clear()
+            self.text.append(" ")
+            return
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -201,6 +227,8 @@ class Page:
             return
         self.in_link = self.in_link or tag == "a"
         values = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(ATTRIBUTE.findall(attributes))} if attributes and not attributes.isspace() else {}
+        if tag == "a" and values.get("href", "").startswith("#"):
+            self.jump = len(self.text)
         named = bool(values) and self.says_so(tag, values)
         if tag not in BLOCKS and tag not in HARD and tag not in SOFT and not named:
             return
@@ -230,12 +258,28 @@ class Page:
             return True
         if tag in NAMED_TAGS:
             for name in f"{values.get('class', '')} {values.get('id', '')}".lower().split():
-                parts = [p for p in PARTS.split(name) if p]
+                parts = [p for p in PARTS.split(name) if len(p) > 1]
                 if not DROPPED_NAMES.isdisjoint(parts) and all(p in DROPPED_NAMES or p in NEUTRAL_NAMES for p in parts):
                     return True
         return False
 
     def end(self, tag: str) -> None:
+        if self.muted:
+            if tag == self.muted:
+                self.depth -= 1
+                if not self.depth:
+                    self.muted = ""
+                return
+            if self.within[tag]:
+                self.within[tag] -= 1
+                return
+            if not self.nearest((tag,)):
+                return
+            self.muted = ""  # never closed: it ends with what it is in
+        if tag == "a" and self.jump >= 0:
+            if SKIP_LINK.match("".join(self.text[self.jump :])):
+                del self.text[self.jump :]
+            self.jump = -1
         if tag == "br":
             self.text.append(" ")
         self.in_link = self.in_link and tag != "a"
@@ -287,16 +331,48 @@ def page_tree(html: str) -> tuple[list[dict], list[dict]]:
     gone = taken(True)
     if chosen and not any(root[i] and not gone[i] for i, _ in page.blocks):
         gone = taken(False)
+    main, holds = list(root), list(around)
+    if not chosen:
+        stand_in(nodes, page.blocks, gone, main, holds)
     flags = []
     for i in range(count):
         n = nodes[i]
-        inside = root[i] and i != root[i]
-        container = n.tag in CONTAINERS or n.tag in LISTS and 2 * n.links > n.chars
-        may = i > 0 and not around[i] and i != root[i] and n.tag not in ("html", "body") and (not inside or container and 2 * n.chars < nodes[root[i]].chars)
+        inside = main[i] and i != main[i]
+        navigation = (n.tag in CONTAINERS or n.tag in LISTS) and 2 * n.links > n.chars
+        may = i > 0 and not holds[i] and i != main[i] and n.tag not in ("html", "body") and (not inside or navigation)
         flags.append(CANDIDATE * bool(may) | OUT * gone[i] | MAIN * bool(root[i]))
     return [{"parent": n.parent, "hash": n.hash, "flags": f} for n, f in zip(nodes, flags)], [{"node": i, "text": text} for i, text in page.blocks if not gone[i]]
 
 
+def stand_in(nodes: list[Node], blocks: list[tuple[int, str]], gone: list[bool], main: list[int], holds: list[bool]) -> None:
+    """For a page without an article: note the smallest element with half of the text that is left, links aside, as the ``main`` of all in it, and what ``holds`` it."""
+    count = len(nodes)
+    links = [n.links for n in nodes]  # an element's own links, without those of the elements in it
+    for n in nodes[1:]:
+        links[n.parent] -= n.links
+    left = [0] * count
+    for i, text in blocks:
+        if not gone[i]:
+            left[i] += len(text)
+    left = [max(0, t - k) if t else 0 for t, k in zip(left, links)]
+    for i in range(count - 1, 0, -1):
+        left[nodes[i].parent] += left[i]
+    at = max((i for i in range(1, count) if left[i] and 2 * left[i] >= left[0]), default=0)
+    if not at:
+        return
+    # Of two elements with half of the text one is in the other, or they are the two halves: then what holds both is the main part.
+    up = nodes[at].parent
+    if 2 * left[at] == left[0] and any(2 * left[i] == left[0] for i in range(1, count) if i != at and nodes[i].parent == up):
+        at = up
+    for i in range(at, count):
+        if i == at or main[nodes[i].parent] == at and at:
+            main[i] = at
+    up = nodes[at].parent if at else -1
+    while up >= 0:
+        holds[up] = True
+        up = nodes[up].parent
+
+
 def main_text(nodes: list[dict], blocks: list[dict], templates: set[int]) -> tuple[str, int]:
     """The text of a page without the subtrees that are ``templates`` (their places among the candidates), and the number of topmost ones."""
     gone, number, place = [False] * len(nodes), 0, -1
