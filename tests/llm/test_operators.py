@@ -207,6 +207,20 @@ def test_digest_index_over_batches(make_docs, tmp_path):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_a_batch_added_again_counts_once(make_docs, tmp_path, spark):
+    index = exact_dedup.DigestIndex(spark, "index_again", f"file://{tmp_path}/index", buckets=2)
+    try:
+        first, second = make_docs([(1, "a b"), (2, "a b"), (3, "c")]), make_docs([(9, "A B"), (4, "d")])
+        seen = lambda docs, name: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, index, name).collect())
+        once = seen(first, "one")
+        assert once == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)] == seen(first, "one")
+        after = seen(second, "two")
+        assert after == [(4, 4, 1, True), (9, 9, 3, True)] == seen(second, "two")
+        assert sorted((r.keep_id, r.group_size) for r in index.read().collect()) == [(3, 1), (4, 1), (9, 3)]
+    finally:
+        index.drop()
+
+
 def test_an_index_of_its_own_leaves_nothing_behind(make_docs, spark):
     before = {t.name for t in spark.catalog.listTables()}
     assert exact_dedup.exact_duplicates(make_docs([(1, "one"), (2, "ONE")])).count() == 2

@@ -1,11 +1,14 @@
 """Operator 3, exact deduplication: a persistent digest index, bucketed and sorted by hash.
 
 New data is deduplicated by a sort-merge anti-join with the index and appended. Copies of what the index has are appended as
-further entries of their digest, so that the largest id and the number of copies are those of all batches. DataFrame functions only.
+further entries of their digest, so that the largest id and the number of copies are those of all batches. Entries carry the name of
+their batch: one that is added again, after a failure say, is compared with the other batches only and counts once. DataFrame
+functions only.
 
 Defined results: a null text counts as empty; an empty table gives an empty result; repeated rows are copies of one another;
 when rows tie on the id, the group keeps that id (each such row then counts as kept); a null id loses to any other; rows
-of earlier batches are not reported again when a later copy takes their place; further columns of the input, whatever their
+of earlier batches are not reported again when a later copy takes their place; a batch that is added again with the same rows changes
+nothing, and with other rows adds what it lacked; further columns of the input, whatever their
 names, are not read.
 """
 
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, delete_folder, materialise, scratch, table
 
-ENTRY = "text_sha256 string, keep_id long, group_size long"
+ENTRY = "text_sha256 string, keep_id long, group_size long, batch string"
 
 
 def digest(text: Column) -> Column:
@@ -55,34 +58,42 @@ class DigestIndex:
             .bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name)
         )
 
-    def read(self) -> DataFrame:
-        """One row per digest: the largest id and the number of rows of all batches."""
-        return self.spark.table(self.name).groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    def read(self, without: str | None = None) -> DataFrame:
+        """One row per digest: the largest id and the number of rows of all batches, or of all but one."""
+        entries = self.spark.table(self.name)
+        entries = entries if without is None else entries.filter(F.col("batch") != without)
+        # Buckets hold all entries of a digest, so neither step is a shuffle.
+        once = entries.groupBy("text_sha256", "batch").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+        return once.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
-    def add(self, digests: DataFrame) -> DataFrame:
-        """Append the digests of a batch (doc_id, text_sha256); the written entries that hold for them from now on are returned."""
+    def add(self, digests: DataFrame, name: str | None = None) -> DataFrame:
+        """Append the digests of a batch (doc_id, text_sha256); the written entries that hold for them from now on are returned.
+
+        A batch that may be added again has a name of its own.
+        """
+        name = name or uuid.uuid4().hex
         batch = digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         # Written first: the optimizer would push the joins below the aggregate, and then a hot digest's rows meet in one task.
         batch = materialise(batch, "digest-batch")
-        new = batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        known = self.read().select("text_sha256", F.col("keep_id").alias("_id"), F.col("group_size").alias("_size"))
+        new = batch.join(self.read(name).select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        known = self.read(name).select("text_sha256", F.col("keep_id").alias("_id"), F.col("group_size").alias("_size"))
         again = batch.join(known.hint("merge"), "text_sha256").select("text_sha256", F.greatest("keep_id", "_id").alias("keep_id"), (F.col("group_size") + F.col("_size")).alias("group_size"))
         now = materialise(new.union(again), "digest-entries")
-        self._append(batch)
+        self._append(batch.withColumn("batch", F.lit(name)))
         return now
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``index`` holds earlier data and is appended to."""
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, name: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``index`` holds earlier data and is appended to, under the batch's ``name``."""
     digests = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
-    return digests.join(_added(digests, index), "text_sha256").select(
+    return digests.join(_added(digests, index, name), "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
-def _added(digests: DataFrame, index: DigestIndex | None) -> DataFrame:
+def _added(digests: DataFrame, index: DigestIndex | None, name: str | None = None) -> DataFrame:
     if index is not None:
-        return index.add(digests)
+        return index.add(digests, name)
     own = DigestIndex.temporary(digests.sparkSession)
     try:
         return own.add(digests)
