@@ -132,13 +132,17 @@ def alert_bucket(severity: Column, status: Column) -> Column:
 def detect_area(items: DataFrame, areas: DataFrame, text: str, id_column: str) -> DataFrame:
     """PR18: add ``area``: of the areas named in the text, the one of the highest level, the first listed of equals.
 
-    ``areas`` (name, admin_level, ord) is joined by its words, not by a scan of every area for every text: the first word of
-    each area's name meets the distinct words of the text in an equi-join, and only those pairs are tested for the whole name.
+    ``areas`` (name, admin_level, ord) is joined by its words, not by a scan of every area for every text: of each area's name the
+    word that fewest names have meets the distinct words of the text in an equi-join, and only those pairs are tested for the whole name.
+    So a word that many names begin with brings no text together with all of them.
     """
     low = F.lower(F.col(text))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), 1))
-    first = F.regexp_extract(F.lower("name"), r"(?U)(\w+)", 1)
-    named = areas.filter("admin_level >= 1").select(first.alias("_word"), F.lower("name").alias("_name"), F.col("name").alias("_area"), F.col("admin_level").alias("_level"), F.col("ord").alias("_ord"))
+    own = F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)(\w+)"), 1))
+    each = areas.filter("admin_level >= 1").select(F.struct("name", "admin_level", "ord").alias("_a"), F.explode(own).alias("_word"))
+    times = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_times"))
+    rarest = each.join(times, "_word").groupBy("_a").agg(F.min_by("_word", F.struct("_times", -F.char_length("_word"), "_word")).alias("_word"))
+    named = rarest.select("_word", F.lower("_a.name").alias("_name"), F.col("_a.name").alias("_area"), F.col("_a.admin_level").alias("_level"), F.col("_a.ord").alias("_ord"))
     texts = items.select(id_column, low.alias("_text"), F.explode(words).alias("_word"))
     # The name with its special characters quoted, between word boundaries.
     pattern = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace("_name", r"([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))

@@ -12,6 +12,7 @@ from tidemark.functions.text import source_label
 from tidemark.functions.urls import domain
 from tidemark.operators.classify import connector_weight, source_tier, tier_weight
 from tidemark.operators.ordering import numbered
+from tidemark.sources.shared import written
 
 
 def event_texts(events: DataFrame, items: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def facets(events: DataFrame, names: tuple[str, ...] = ("country", "disaster_typ
     by a column of few values would put the events in few tasks; beyond that they are joined by a shuffle that can be split.
     """
     each = F.array(*[F.struct(F.lit(n).alias("facet"), F.lower(n).alias("value")) for n in names])
-    counts = events.select(F.explode(each).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = written(events.select(F.explode(each).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n")), "facets")
     few = counts.count() <= MOST_FACETS
     out = events
     for name in names:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,13 @@ NUMBER_LABEL = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(people|persons|individuals|deaths|d
 TOLL = r"(?i)(?:death\s+toll|toll)\s+(?:rises?\s+to|hits?|reaches?|climbs?\s+to|stands?\s+at|now)\s+(\d[\d,]*)|(?:kills?|killed)\s+(\d[\d,]*)"
 AT_LEAST = r"(?i)(?:at\s+least|over|more\s+than|nearly|approximately|about|up\s+to|around|some)\s+(\d[\d,]*(?:\.\d+)?)\s*(people|persons|dead|killed|deaths|displaced|injured|missing|affected|houses|homes|children|families|schools|health)"
 SENTENCE = r"(?i)\b(\d[\d,]*)\b[^.]{0,30}\b(killed|dead|deaths|drowned|perished|fatalities)"
+#: Of these words a text must have one for the pattern to find anything: looked for first, which costs far less than the pattern.
+NEEDED = {
+    NUMBER_LABEL: "people person individual death dead kill displaced injured missing house home affected famil child school health".split(),
+    TOLL: ["toll", "kill"],
+    AT_LEAST: "least over more nearly approximately about up around some".split(),
+    SENTENCE: "killed dead drowned perished fatalities deaths".split(),
+}
 FIGURES = {
     "deaths": ["deaths", "dead", "killed"], "displaced": ["displaced"], "injured": ["injured"], "missing": ["missing"], "houses_affected": ["houses", "homes"],
     "people_affected": ["people", "persons", "individuals", "affected", "families", "households"], "children_affected": ["children"], "schools_affected": ["schools"],
@@ -36,12 +46,14 @@ def _found(text: Column, pattern: str, labelled: bool) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     number = lambda m: _value(F.regexp_extract(m, r"\d[\d,]*(?:\.\d+)?", 0))
+    needed = reduce(or_, [F.lower(text).contains(w) for w in NEEDED[pattern]])
     label = lambda m: _key(F.lower(F.regexp_extract(m, r"(?i)(?:health\s*facilit|[a-z]+)$", 0))) if labelled else F.lit("deaths")
-    return F.transform(matches, lambda m: F.struct(label(m).alias("key"), number(m).alias("value")))
+    found = F.transform(matches, lambda m: F.struct(label(m).alias("key"), number(m).alias("value")))
+    return F.when(needed, found).otherwise(F.array().cast("array<struct<key:string,value:bigint>>"))
 
 
 def figure_mentions(text: Column) -> Column:
-    """All figures that the four families find, as an array of struct<key, value>; a text without a digit is not scanned."""
+    """All figures that the four families find, as an array of struct<key, value>; a text without a digit, or without a word that a pattern needs, is not scanned for it."""
     toll = F.filter(_found(text, TOLL, False), lambda x: x["value"] > 0)
     near = F.filter(_found(text, SENTENCE, False), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
     every = F.concat(_found(text, NUMBER_LABEL, True), toll, _found(text, AT_LEAST, True), near)

@@ -26,7 +26,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new shared folder and read back, so that several readers don't compute it anew."""
-    path = shared_folder(df.sparkSession, name)
+    """``df`` written to a new shared folder and read back, so that several readers don't compute it anew; the folder goes when the application ends."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
