@@ -221,6 +221,12 @@ def test_a_batch_added_again_counts_once(make_docs, tmp_path, spark):
         index.drop()
 
 
+def test_batches_give_what_one_gives(make_docs):
+    docs = make_docs([(i if i % 9 else None, f"Text {i % 7}" if i % 3 else f"TEXT {i % 7}") for i in range(60)])
+    rows = lambda n: sorted(map(str, exact_dedup.exact_duplicates(docs, batches=n).collect()))
+    assert rows(1) == rows(2) == rows(5)
+
+
 def test_an_index_of_its_own_leaves_nothing_behind(make_docs, spark):
     before = {t.name for t in spark.catalog.listTables()}
     assert exact_dedup.exact_duplicates(make_docs([(1, "one"), (2, "ONE")])).count() == 2

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ascii_lower, delete_folder, materialise, scratch, table
 
 ENTRY = "text_sha256 string, keep_id long, group_size long, batch string"
+#: The query takes its table through the index in two batches, of which the second is compared with the first.
+BATCHES = 2
 
 
 def digest(text: Column) -> Column:
@@ -83,20 +85,27 @@ class DigestIndex:
         return now
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, name: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``index`` holds earlier data and is appended to, under the batch's ``name``."""
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, name: str | None = None, batches: int = 1) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``index`` holds earlier data and is appended to, under the batch's ``name``.
+
+    Without an index, one is made for the call, and the documents go through it in so many batches; the result is that of all.
+    """
     digests = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
-    return digests.join(_added(digests, index, name), "text_sha256").select(
+    return digests.join(_added(digests, index, name, batches), "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
-def _added(digests: DataFrame, index: DigestIndex | None, name: str | None = None) -> DataFrame:
+def _added(digests: DataFrame, index: DigestIndex | None, name: str | None = None, batches: int = 1) -> DataFrame:
     if index is not None:
         return index.add(digests, name)
     own = DigestIndex.temporary(digests.sparkSession)
     try:
-        return own.add(digests)
+        if batches == 1:
+            return own.add(digests)
+        for k in range(batches):
+            own.add(digests.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), str(k))
+        return materialise(own.read(), "digest-entries")
     finally:
         own.drop()
 
@@ -117,7 +126,7 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> Data
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents"), batches=BATCHES)
 
 
 ORACLE = {
