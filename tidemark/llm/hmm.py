@@ -12,7 +12,7 @@ added up by block. A block is bounded in tokens by ``BLOCK_TOKENS`` and one text
 
 Defined results: a null or empty text is one end token; with no training texts every token is unknown, the base score is what
 the formula gives with N = 0 and V = 0, and the model is uniform; an empty table gives an empty result; repeated rows are
-scored alike, and each one counts in training; further columns are not read.
+scored alike, and each one counts in training; a row with a null id is scored and held out; further columns are not read.
 """
 
 from __future__ import annotations

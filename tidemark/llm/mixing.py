@@ -1,7 +1,8 @@
 """Operator 8, mixing sources to target weights: hash-random keys, ranges within each source, distributed prefix sums, exact cuts.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; an empty table gives an empty
-result; rows that tie on the id are ordered by size; a source of size 0 has target 0; further columns are not read.
+result; rows that tie on the id are ordered by size; rows with a null id have one random key, and are ordered by size as well; a source
+of size 0 has target 0; further columns are not read.
 """
 
 from __future__ import annotations
