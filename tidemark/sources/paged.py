@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import chain
 from operator import and_, or_
 from typing import Protocol
 
@@ -60,6 +61,7 @@ def query_terms(countries: Sequence[str], hazards: Sequence[str], most: int = MO
 class Page(InputPartition):
     offset: int
     size: int
+    part: Client | None = None  #: the part of the source that is read as a whole, whose rows have their places from the offset on
 
 
 def pages_between(start: int, end: int, size: int) -> list[Page]:
@@ -67,9 +69,12 @@ def pages_between(start: int, end: int, size: int) -> list[Page]:
 
 
 class PageReader(DataSourceReader):
-    """The first pages, one task each; a failing one fails its task."""
+    """The first pages, or all that the server has, one task each; a failing one fails its task.
 
-    def __init__(self, client: Client, rows: int, size: int, asked: Asked, pushed: tuple[str, ...]):
+    All rows of a client that has ``parts`` are read a part a task, page after page, so that no task passes over the rows before its own.
+    """
+
+    def __init__(self, client: Client, rows: int | None, size: int, asked: Asked, pushed: tuple[str, ...]):
         self.client, self.rows, self.size, self.asked, self.pushed = client, rows, size, asked, pushed
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -85,11 +90,24 @@ class PageReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Page]:
-        return pages_between(0, self.rows, self.size)
+        if self.rows is not None:
+            return pages_between(0, self.rows, self.size)
+        if not hasattr(self.client, "parts"):
+            return pages_between(0, self.client.count(self.asked), self.size)
+        pages, at = [], 0
+        for part in self.client.parts():
+            rows = part.count(self.asked)
+            pages += [Page(at, rows, part)] if rows else []
+            at += rows
+        return pages
 
     def read(self, partition: Page | None) -> Iterator[tuple]:
         if partition is None:  # Spark asks for one read where there are no pages
             return
+        if partition.part is not None:
+            for i, row in enumerate(chain.from_iterable(partition.part.pages(self.size, self.asked))):
+                yield (*row, partition.offset + i, None)
+            return
         for i, row in enumerate(self.client.fetch(partition.offset, partition.size, self.asked)[: partition.size]):
             yield (*row, partition.offset + i, None)
 
@@ -121,9 +139,9 @@ class PageStream(DataSourceStreamReader):
             yield (*row, partition.offset + i, None)
 
 
-def paged_source(name: str, schema: str, client: Client, limit: int = PAGE * MOST_PAGES, page: int = PAGE, most_pages: int = MOST_PAGES, asked: Asked | None = None, pushed: tuple[str, ...] = ()) -> type[DataSource]:
-    """SRC04, SRC05: a data source over a client. A batch reads ``limit`` rows in ``most_pages`` pages at most; a limit of 0 reads nothing."""
-    size = max(1, min(page, limit))
+def paged_source(name: str, schema: str, client: Client, limit: int | None = PAGE * MOST_PAGES, page: int = PAGE, most_pages: int = MOST_PAGES, asked: Asked | None = None, pushed: tuple[str, ...] = ()) -> type[DataSource]:
+    """SRC04, SRC05: a data source over a client. A batch reads ``limit`` rows in ``most_pages`` pages at most; a limit of 0 reads nothing, and with none a batch reads all that the server has."""
+    size = max(1, page if limit is None else min(page, limit))
     asked = asked or Asked()
 
     class Paged(DataSource):
@@ -135,7 +153,7 @@ def paged_source(name: str, schema: str, client: Client, limit: int = PAGE * MOS
             return f"{schema}, {PLACE} long, {ERROR} string"
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return PageReader(client, max(0, min(limit, most_pages * size)), size, asked, pushed)
+            return PageReader(client, None if limit is None else max(0, min(limit, most_pages * size)), size, asked, pushed)
 
         def streamReader(self, schema: StructType) -> DataSourceStreamReader:
             return PageStream(client, size, asked, len(schema) - 2)
@@ -212,6 +230,21 @@ class FolderClient:
         tests += [reduce(or_, [pc.match_substring(pc.field(c), term, ignore_case=True) for c in self.texts]) for term in asked.terms]
         return ds.dataset(at, filesystem=files, format="parquet"), reduce(and_, tests) if tests else None
 
+    def parts(self) -> list[FolderClient]:
+        """A client for each file."""
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(self.path)
+        scheme = self.path[: self.path.index(at)]
+        found = files.get_file_info(fs.FileSelector(at, recursive=True))
+        return [replace(self, path=scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.size and not f.base_name.startswith(("_", "."))]
+
+    def pages(self, size: int, asked: Asked) -> Iterator[list[tuple]]:
+        """All pages, one after another; they may be shorter than ``size``."""
+        found, test = self._rows(asked)
+        for batch in found.to_batches(columns=list(self.columns), filter=test, batch_size=size):
+            yield list(zip(*(column.to_pylist() for column in batch.columns)))
+
     def fetch(self, offset: int, size: int, asked: Asked) -> list[tuple]:
         found, test = self._rows(asked)
         rows: list[tuple] = []
