@@ -196,7 +196,7 @@ def test_old_attempts_go(spark, tmp_path):
     assert len(list((tmp_path / "events").glob("attempt=*"))) == 2 and counts(store, "events") == counts(store, "raw_items") == {1: 2, 2: 2}
 
 
-@pytest.mark.parametrize("name", ["src06_pushdown"])
+@pytest.mark.parametrize("name", ["src06_pushdown", "src06_query_terms"])
 def test_asked_sources_are_read_whole(spark, tmp_path, name):
     """More matching reports than the first ten pages hold."""
     from tidemark.plans import flow_queries

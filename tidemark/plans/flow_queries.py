@@ -182,11 +182,11 @@ def src06(spark, sf_dir):
 
 @query("src06_query_terms", f"WITH {_SERVED} SELECT id, title FROM sv WHERE contains(lower(title || ' ' || url), 'report') AND contains(lower(title || ' ' || url), 'nation_6')")
 def src06t(spark, sf_dir):
-    """SRC06: terms that a report must have, all of them, each asked once."""
+    """SRC06: terms that a report must have, all of them, each asked once; all reports that have them are read."""
     folder = shared_folder(spark, "reports")
     _served(spark, sf_dir).orderBy("id").write.parquet(folder)
     asked = Asked(terms=tuple(paged.query_terms(["Report", "NATION_6", "Nation_6 "], [])))
-    return paged.load(spark, paged.paged_source("searched_reports", _REPORT, _client(folder), asked=asked)).select("id", "title")
+    return paged.load(spark, paged.paged_source("searched_reports", _REPORT, _client(folder), limit=None, asked=asked)).select("id", "title")
 
 
 @query(
