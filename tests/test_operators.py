@@ -367,3 +367,14 @@ def test_streaks_over_ranges_equal_the_state_machine(spark):
         streak[source] = streak[source] + 1 if freshness == "stale" else 0 if freshness == "fresh" else streak[source]
         wanted[i] = streak[source]
     assert got == wanted
+
+
+def test_analysis_patterns_run_once_and_over_several_tasks(spark, sf_dir):
+    """A pattern stands once in the plan of the score, however many measures read what it finds; the few keys are spread before the reports are made."""
+    from tidemark.operators import reports
+    from tidemark.plans import more_queries
+
+    made = more_queries._analyses(spark, sf_dir)
+    assert made.rdd.getNumPartitions() > 1
+    plan = reports.analysis_score(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?m)^##\s+(.+)") == 1

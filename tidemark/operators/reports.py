@@ -93,27 +93,33 @@ def narrative_sections(markdown: Column) -> Column:
 
 
 def analysis_score(reports: DataFrame) -> DataFrame:
-    """GT05: six measures of a situation analysis, their weighted sum and whether it passes."""
+    """GT05: six measures of a situation analysis, their weighted sum and whether it passes.
+
+    What several measures read stands behind a generator, so that each pattern runs over a report once.
+    """
     text = F.coalesce("markdown", F.lit(""))
-    headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+(.+)"), 1), lambda h: F.lower(h))
-    has = lambda name: F.exists(headings, lambda h: h.contains(name.lower())).cast("int")
+    own_headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+(.+)"), 1), lambda h: F.lower(h))
+    has = lambda name: F.exists(F.col("headings"), lambda h: h.contains(name.lower())).cast("int")
     present = sum((has(name) for name in ANALYSIS_SECTIONS), F.lit(0))
     cells = r"(?m)\|\s*\*{0,2}(\w[\w\s]*?)\*{0,2}\s*\|\s*([\d,]+)\s*"
     labels = F.transform(F.regexp_extract_all(text, F.lit(cells), 1), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("_")))
     values = F.transform(F.regexp_extract_all(text, F.lit(cells), 2), lambda x: F.coalesce(F.try_to_number(F.replace(x, F.lit(","), F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0)))
-    filled = F.size(F.filter(F.zip_with(labels, values, lambda a, v: a.isin(ANALYSIS_FIGURES) & (v > 0)), lambda x: x))
-    known = F.transform(F.regexp_extract_all(section(text, "Sources and References"), F.lit(r"(?m)^\s*(\d+)(?=\.|\s*$)"), 1), lambda x: x.cast("long"))
-    every = F.transform(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), 1), lambda g: F.split(g, r"\s*,\s*"))), lambda x: x.cast("long"))
+    own_filled = F.size(F.filter(F.zip_with(labels, values, lambda a, v: a.isin(ANALYSIS_FIGURES) & (v > 0)), lambda x: x))
+    own_known = F.transform(F.regexp_extract_all(section(text, "Sources and References"), F.lit(r"(?m)^\s*(\d+)(?=\.|\s*$)"), 1), lambda x: x.cast("long"))
+    own_every = F.transform(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), 1), lambda g: F.split(g, r"\s*,\s*"))), lambda x: x.cast("long"))
+    known, every, filled, national = F.col("known"), F.col("every"), F.col("filled"), F.col("national")
     valid = F.when(F.size(known) > 0, F.size(F.filter(every, lambda n: F.array_contains(known, n)))).otherwise(F.size(every))
     rows = F.filter(F.split(section(text, "Province-Level"), "\n"), lambda x: F.trim(x).startswith("|") & ~x.contains("---") & ~x.contains("Field") & ~x.rlike(r"^\|\s*#\s*\|"))
-    national = section(text, "National Impact")
     date = r"(?i)\d{4}-\d{2}-\d{2}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{4}|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[,.]?\s+\d{1,2}\s+\w+|\d{1,2}/\d{1,2}/\d{2,4}"
     third = lambda x: F.trim(F.coalesce(F.get(F.split(F.trim(x), r"\|"), 3), F.lit("")))
     dated_rows = F.filter(F.split(national, "\n"), lambda x: F.trim(x).startswith("|") & ~x.contains("---") & third(x).rlike(date))
-    out = reports.select(
+    read = F.struct(
+        own_headings.alias("headings"), own_filled.alias("filled"), own_known.alias("known"), own_every.alias("every"), F.size(rows).alias("rows"), section(text, "National Impact").alias("national"), narrative_sections(text).alias("narrative")
+    )
+    out = reports.select("doc_id", F.explode(F.array(read)).alias("_r")).select("doc_id", "_r.*").select(
         "doc_id", (present / F.lit(len(ANALYSIS_SECTIONS))).alias("section_completeness"), (filled / F.lit(len(ANALYSIS_FIGURES))).alias("key_figure_coverage"),
-        F.when(F.size(every) > 0, valid / F.size(every)).otherwise(1.0).alias("citation_accuracy"), F.least(F.lit(1.0), F.size(every) / narrative_sections(text)).alias("citation_density"),
-        F.least(F.lit(1.0), F.size(rows) / F.lit(5)).alias("admin_coverage"),
+        F.when(F.size(every) > 0, valid / F.size(every)).otherwise(1.0).alias("citation_accuracy"), F.least(F.lit(1.0), F.size(every) / F.col("narrative")).alias("citation_density"),
+        F.least(F.lit(1.0), F.col("rows") / F.lit(5)).alias("admin_coverage"),
         F.when(filled > 0, F.least(F.lit(1.0), (F.regexp_count(national, F.lit(r"(?i)as of \d{4}")) + F.size(dated_rows)) / filled)).otherwise(0.0).alias("date_attribution"),
     )
     overall = sum((F.col(k) * w for k, w in ANALYSIS_WEIGHTS.items()), F.lit(0.0))

@@ -114,7 +114,8 @@ _HAS = [f"(doc_id + {i}) % {2 + i % 3} <> 0" for i in range(len(ANALYSIS_SECTION
 
 
 def _analyses(spark, sf_dir):
-    made = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    # A file of keys is a few splits at most, and each key becomes a report, so they are spread before that; a number given is kept however small the partitions are.
+    made = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     headings = [F.when(F.expr(has), F.concat(F.lit(f"## {name}\nas "), "doc_id")) for has, name in zip(_HAS, ANALYSIS_SECTIONS)]
     cited = F.concat(F.lit("Stated in [1] and ["), (F.col("doc_id") % 4).cast("string"), F.lit("]."))
     return made.withColumn("markdown", F.concat_ws("\n", F.lit("# Analysis"), cited, *headings, F.lit("## Sources and References\n1. https://a.org/x\n2. https://b.org/y")))
