@@ -137,3 +137,17 @@ def test_title_query_equals_the_loop(spark, sf_dir):
     leader = {distinct[i]: first[distinct[j]] for i, j in enumerate(greedy(distinct, 0.9, by_lcs))}
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and {r.cluster for r in rows} != {0}
     assert all(r.cluster == leader[" ".join(r.title.lower().split())] for r in rows)
+
+
+def test_lcs_of_many_pairs():
+    rng = random.Random(5)
+    for most in (5, 64, 65, 90):
+        a, b = (["".join(rng.choice("abcdé 漢") for _ in range(rng.randint(0, most))) for _ in range(300)] for _ in range(2))
+        assert similarity.lcs_lengths(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b)]
+    assert similarity.lcs_lengths([], []).tolist() == [] and similarity.lcs_lengths(["", "a" * 64], ["", "a" * 64]).tolist() == [0, 64]
+
+
+def test_titles_are_not_broadcast(spark, sf_dir):
+    """Tables of titles grow with the input, so none goes through the driver, however small it is here."""
+    plan = registry.queries()["dd03_title_clusters"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +29,39 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - open_.bit_count()
 
 
+#: Entries of the table of places that ``lcs_lengths`` makes at a time.
+PLACES = 1 << 21
+
+
+def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``lcs_length`` of each pair: the same steps for many pairs at once, where the shorter string has 64 characters at most."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    out = np.array([-1 if len(x) <= 64 else lcs_length(x, y) for x, y in pairs], dtype=np.int64)
+    rest = np.flatnonzero(out < 0)
+    codes, letters = pd.factorize(np.frombuffer("".join(c for i in rest for c in pairs[i]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    sizes = np.array([len(c) for i in rest for c in pairs[i]], dtype=np.int64).reshape(-1, 2)
+    ends, width = sizes.cumsum(), len(letters) + 1
+    step = max(1, PLACES // width)
+    for low in range(0, len(rest), step):
+        size = sizes[low : low + step]
+        n, flat = len(size), size.ravel()
+        part = codes[ends[2 * low] - flat[0] : ends[2 * (low + n) - 1]] + 1
+        own = np.repeat(np.arange(2 * n), flat)
+        place = np.arange(len(part)) - np.repeat(flat.cumsum() - flat, flat)
+        first, pair = own % 2 == 0, own // 2
+        places = np.zeros(n * width, dtype=np.uint64)  # for each pair and letter the places of the shorter string, as bits
+        np.bitwise_or.at(places, pair[first] * width + part[first], np.uint64(1) << place[first].astype(np.uint64))
+        steps = np.zeros((size[:, 1].max(), n), dtype=np.int64)  # beyond the end stands a letter without places, which changes nothing
+        steps[place[~first], pair[~first]] = part[~first]
+        every = np.where(size[:, 0] > 0, ~np.uint64(0) >> (np.uint64(64) - np.maximum(size[:, 0], 1).astype(np.uint64)), np.uint64(0))
+        open_, start = every.copy(), np.arange(n) * width
+        for letter in steps:
+            match = open_ & places[start + letter]
+            open_ = ((open_ + match) | (open_ - match)) & every
+        out[rest[low : low + n]] = np.bitwise_count(every & ~open_)
+    return out
+
+
 def lcs_ratio(a: str | None, b: str | None) -> float:
     """SC05: 2 LCS / total length; where one is less than half as long as the other, that share."""
     a, b = a or "", b or ""

@@ -8,14 +8,17 @@ with the same scores in the same order. So hot titles cost nothing, and the step
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dims import COUNTRIES, SEVERITY_LEVELS, SOURCE_RANKS, literal_map, lookup
-from tidemark.functions.similarity import lcs_ratio, length_bound, ratio, similarity
+from tidemark.functions.similarity import lcs_length, lcs_ratio, length_bound, ratio
 from tidemark.functions.text import event_hash, normalize, summary
 from tidemark.operators.classify import event_severity, source_confidence
-from tidemark.operators.leaders import leading_titles, rare_grams
+from tidemark.operators.leaders import leading_titles, rare_grams, shuffled
 from tidemark.operators.match import first_country, infer_hazard
 from tidemark.sources.shared import written
 
@@ -43,6 +46,8 @@ def cluster(items: DataFrame, threshold: float = CLUSTER_AT, blocks: tuple[str,
     else:
         leaders_of = leading_titles(distinct, threshold, ratio if exact_ratio else lcs_ratio)
     leaders_of = leaders_of.withColumnsRenamed({"block": "_block", "t": "_title"})
+    if not blocks:  # nothing bounds the titles of all items, so they don't go through the driver
+        leaders_of = shuffled(leaders_of)
     return titled.join(leaders_of, ["_block", "_title"]).drop("_block", "_title")
 
 
@@ -82,8 +87,11 @@ def calibrated_severity(confidence: Column) -> Column:
     return F.element_at(names, F.when(down, level - 1).when(up, F.lit(3)).otherwise(level))
 
 
-def events_of(clusters: DataFrame, order: str = "ord") -> DataFrame:
-    """DD04 to DD08: events of clusters, one an event_id, the first cluster's."""
+def events_of(clusters: DataFrame, order: str = "ord", *keep: str) -> DataFrame:
+    """DD04 to DD08: events of clusters, one an event_id, the first cluster's; with ``keep`` these columns of them only.
+
+    The pick of the first cluster takes a row as a whole, so columns that a reader leaves out are made all the same unless ``keep`` leaves them out here.
+    """
     p = lambda c: F.col(f"primary.{c}")
     event_id = event_hash(F.col("country"), F.col("disaster_type"), p("title"), p("published_at"))
     confidence = calibrated_confidence()
@@ -92,7 +100,7 @@ def events_of(clusters: DataFrame, order: str = "ord") -> DataFrame:
         p("country_iso3").alias("country_iso3"), "disaster_type", p("published_at").alias("published_at"), calibrated_severity(confidence).alias("severity"), confidence.alias("confidence"),
         summary(p("text"), p("title"), F.col("corroboration_sources")).alias("summary"), "corroboration_sources", "corroboration_connectors", "corroboration_source_types",
     )
-    names = [c for c in full.columns if c != "event_id"]
+    names = list(keep) or [c for c in full.columns if c != "event_id"]
     return full.groupBy("event_id").agg(F.min_by(F.struct(*names), "ord").alias("e")).select("event_id", "e.*")
 
 
@@ -106,10 +114,22 @@ def updated_events(events: DataFrame, threshold: float = UPDATED_AT) -> DataFram
     distinct = titled.groupBy("t").agg(F.min("ord").alias("first"))
     grams = written(rare_grams(distinct, threshold), "rare-grams")
     a, b = grams.select(F.col("t").alias("ta"), F.col("first").alias("fa"), "gram"), grams.select(F.col("t").alias("tb"), F.col("first").alias("fb"), "gram")
-    pairs = a.join(b, "gram").filter((F.col("fb") < F.col("fa")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold)).select("ta", "tb", "fb").distinct()
-    near = pairs.withColumn("s", similarity("ta", "tb")).filter(F.col("s") >= threshold).groupBy(F.col("ta").alias("t")).agg(F.min("fb").alias("near"))
+    pairs = a.join(shuffled(b), "gram").filter((F.col("fb") < F.col("fa")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold)).select("ta", "tb", "fb").distinct()
+
+    def any_near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A title's pairs follow one another; after the first similar one the others are passed over."""
+        found = None
+        for frame in frames:
+            hits = []
+            for a, b in zip(frame["ta"], frame["tb"]):
+                if a != found and 2 * lcs_length(a, b) >= threshold * (len(a) + len(b)) - 1e-9 and ratio(a, b) >= threshold:
+                    found = a
+                    hits.append(a)
+            yield pd.DataFrame({"t": hits}, dtype="str")
+
+    near = pairs.select("ta", "tb", "fb").repartition("ta").sortWithinPartitions("ta", "fb").select("ta", "tb").mapInPandas(any_near, "t string").withColumn("near", F.lit(True))
     known = titled.join(distinct, "t").join(near, "t", "left")
-    return known.filter((F.col("first") < F.col("ord")) | (F.col("near") < F.col("ord"))).select("event_id")
+    return known.filter((F.col("first") < F.col("ord")) | F.col("near")).select("event_id")
 
 
 def with_status(events: DataFrame, previous: DataFrame, threshold: float = UPDATED_AT) -> DataFrame:

@@ -17,11 +17,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import lcs_length, length_bound, ratio
+from tidemark.functions.similarity import lcs_lengths, length_bound, ratio
 from tidemark.functions.text import let
 from tidemark.sources.shared import written
 
@@ -35,6 +36,11 @@ FEW_PAIRS = 200_000
 LONGEST_GRAM = 5
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: titles, grams and pairs grow with the input, and a broadcast takes them through the driver."""
+    return rows.hint("merge")
+
+
 def gram_lengths(threshold: float) -> dict[int, tuple[float, float]]:
     """For each q: the shortest title that is looked up by q-grams, and the share of its length that a similar one of another wording lacks of them."""
     lacks = lambda q, r: q + (q - 1) * r - (2 * q - 1) * threshold * (1 + r) / 2
@@ -74,20 +80,21 @@ def rare_grams(titles: DataFrame, threshold: float, by: tuple[str, ...] = ()) ->
     times = each.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("times"))
     share = F.element_at(F.create_map(*[F.lit(x) for q, (_, w) in lengths.items() for x in (q, w)]), F.col("q"))
     most = F.floor(share * n + 1e-9).cast("int") + 1
-    ranked = each.join(times, [*by, "gram"]).groupBy("t", "first", *by, "q").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("all"))
+    ranked = each.join(shuffled(times), [*by, "gram"]).groupBy("t", "first", *by, "q").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("all"))
     return ranked.select("t", "first", *by, F.explode(F.slice("all", F.lit(1), most)).alias("g")).select("t", "first", *by, "g.gram")
 
 
 def reaches(score: Callable[[str, str], float], threshold: float) -> Callable[[Column, Column], Column]:
-    """Whether the score of two titles is at least the threshold; neither measure is above twice their longest common subsequence over both lengths."""
+    """Whether the score of two titles is at least the threshold, which twice their longest common subsequence over both lengths tells of nearly all pairs."""
 
     def run(later: pd.Series, earlier: pd.Series) -> pd.Series:
-        def one(a: str, b: str) -> bool:
-            if score is ratio and 2 * lcs_length(a, b) < threshold * (len(a) + len(b)) - 1e-9:
-                return False
-            return score(a, b) >= threshold
-
-        return pd.Series([one(a, b) for a, b in zip(later, earlier)], dtype=bool)
+        a, b = later.tolist(), earlier.tolist()
+        whole = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.int64)
+        # Where one is much shorter, SC05 is the share of the lengths, which may be above twice their common subsequence over both.
+        uneven = np.array([2 * min(len(x), len(y)) < max(len(x), len(y)) for x, y in zip(a, b)], dtype=bool) & (score is not ratio)
+        good = uneven | (2 * lcs_lengths(a, b) >= threshold * whole - 1e-9)
+        good[good] = [score(a[i], b[i]) >= threshold for i in np.flatnonzero(good)]
+        return pd.Series(good)
 
     return F.pandas_udf(run, "boolean")
 
@@ -97,7 +104,7 @@ def similar_pairs(later: DataFrame, earlier: DataFrame, score: Callable[[str, st
     one = later.select("block", "gram", F.col("first").alias("a"), F.col("t").alias("ta"))
     other = earlier.select("block", "gram", F.col("first").alias("b"), F.col("t").alias("tb"))
     near = (F.col("b") < F.col("a")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold - 1e-9) if threshold >= 0.5 else F.col("b") < F.col("a")
-    pairs = one.join(other, ["block", "gram"]).filter(near).select("a", "b", "ta", "tb").distinct()
+    pairs = one.join(shuffled(other), ["block", "gram"]).filter(near).select("a", "b", "ta", "tb").distinct()
     return pairs.filter(reaches(score, threshold)("ta", "tb")).select("a", "b")
 
 
@@ -115,10 +122,10 @@ def followers(pairs: DataFrame, few: int | None = None) -> DataFrame:
 
     parts, rest = [], pairs
     while (left := rest.count()) > few:
-        leading = rest.select(F.col("b").alias("n")).distinct().join(rest.select(F.col("a").alias("n")).distinct(), "n", "left_anti")
-        follow = written(rest.join(leading, rest.b == leading.n, "left_semi").select(F.col("a").alias("n")).distinct(), "followers")
+        leading = rest.select(F.col("b").alias("n")).distinct().join(shuffled(rest.select(F.col("a").alias("n")).distinct()), "n", "left_anti")
+        follow = written(rest.join(shuffled(leading), rest.b == leading.n, "left_semi").select(F.col("a").alias("n")).distinct(), "followers")
         parts.append(follow)
-        rest = written(rest.join(follow, rest.a == follow.n, "left_anti").join(follow, F.col("b") == follow.n, "left_anti"), "undecided")
+        rest = written(rest.join(shuffled(follow), rest.a == follow.n, "left_anti").join(shuffled(follow), F.col("b") == follow.n, "left_anti"), "undecided")
     if left:
         parts.append(rest.coalesce(1).mapInPandas(finish, "n long"))
     return reduce(DataFrame.unionByName, parts) if parts else pairs.select(F.col("a").alias("n"))
@@ -146,12 +153,12 @@ def leading_titles(titles: DataFrame, threshold: float, score: Callable[[str, st
         batch = batch if high is None else batch.filter(F.col("first") <= high)
         if parts:
             led = reduce(DataFrame.unionByName, parts).select(F.col("a").alias("first"))
-            known = similar_pairs(batch, grams.filter(F.col("first") <= low).join(led, "first", "left_anti"), score, threshold)
+            known = similar_pairs(batch, grams.filter(F.col("first") <= low).join(shuffled(led), "first", "left_anti"), score, threshold)
             parts.append(written(known.groupBy("a").agg(F.min("b").alias("b")), "led"))
-            batch = batch.join(parts[-1].select(F.col("a").alias("first")), "first", "left_anti")
+            batch = batch.join(shuffled(parts[-1].select(F.col("a").alias("first"))), "first", "left_anti")
         pairs = written(similar_pairs(batch, batch, score, threshold), "title-pairs")
         follow = followers(pairs)
-        own = pairs.join(follow, pairs.b == follow.n, "left_anti").groupBy("a").agg(F.min("b").alias("b"))
+        own = pairs.join(shuffled(follow), pairs.b == follow.n, "left_anti").groupBy("a").agg(F.min("b").alias("b"))
         parts.append(own if high is None else written(own, "led"))
-    led = reduce(DataFrame.unionByName, parts).join(ranked.select(F.col("first").alias("b"), F.col("arrived").alias("cluster")), "b").select(F.col("a").alias("first"), "cluster")
-    return ranked.join(led, "first", "left").select("block", "t", F.coalesce("cluster", "arrived").alias("cluster"))
+    led = reduce(DataFrame.unionByName, parts).join(shuffled(ranked.select(F.col("first").alias("b"), F.col("arrived").alias("cluster"))), "b").select(F.col("a").alias("first"), "cluster")
+    return ranked.join(shuffled(led), "first", "left").select("block", "t", F.coalesce("cluster", "arrived").alias("cluster"))
