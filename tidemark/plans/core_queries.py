@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dedupe, evidence, health
 from tidemark.plans.adapters import CYCLES, EV, TM, cycles, events, telemetry
+from tidemark.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -353,6 +354,11 @@ def _events_of(spark, sf_dir):
     return dedupe.events_of(_clusters(spark, sf_dir))
 
 
+def _titles_of(spark, sf_dir):
+    """What the states of events are told from; written, for they are read several times and each would cluster all items anew."""
+    return written(dedupe.events_of(_clusters(spark, sf_dir), "ord", "ord", "title"), "events")
+
+
 @query("dd08_event_dedupe", f"WITH {EV}, {_ITEMS}, {_CLUSTERS}, {_HASHED} SELECT event_id, ord, title, sources AS corroboration_sources FROM ee")
 def dd08(spark, sf_dir):
     return _events_of(spark, sf_dir).select("event_id", "ord", "title", "corroboration_sources")
@@ -360,13 +366,13 @@ def dd08(spark, sf_dir):
 
 @query("dd09_status_exact", f"WITH {EV}, {_ITEMS}, {_CLUSTERS}, {_HASHED}, l AS (SELECT *, min(ord) OVER (PARTITION BY lower(title)) AS first FROM ee) SELECT event_id, CASE WHEN ord % 3 = 0 THEN 'unchanged' WHEN first < ord THEN 'updated' ELSE 'new' END AS status FROM l")
 def dd09x(spark, sf_dir):
-    found = _events_of(spark, sf_dir)
+    found = _titles_of(spark, sf_dir)
     return dedupe.with_status(found, found.filter("ord % 3 = 0"), threshold=0.9999).select("event_id", "status")
 
 
 @query("dd09_status")
 def dd09(spark, sf_dir):
-    found = _events_of(spark, sf_dir)
+    found = _titles_of(spark, sf_dir)
     return dedupe.with_status(found, found.filter("ord % 3 = 0")).select("event_id", "status")
 
 
@@ -377,8 +383,8 @@ def dd10(spark, sf_dir):
 
 @query("jn04_unchanged", f"WITH {EV}, {_ITEMS}, {_CLUSTERS}, {_HASHED} SELECT event_id, ord FROM ee WHERE event_id IN (SELECT event_id FROM ee WHERE ord % 3 = 0)")
 def jn04(spark, sf_dir):
-    found = _events_of(spark, sf_dir).select("event_id", "ord")
-    return found.join(found.filter("ord % 3 = 0").select("event_id"), "event_id", "left_semi")
+    found = _titles_of(spark, sf_dir)
+    return found.select("event_id", "ord").join(found.filter("ord % 3 = 0").select("event_id"), "event_id", "left_semi")
 
 
 @query("jn05_title_clusters_native")
@@ -388,7 +394,7 @@ def jn05(spark, sf_dir):
 
 @query("jn06_updated")
 def jn06(spark, sf_dir):
-    return dedupe.updated_events(_events_of(spark, sf_dir))
+    return dedupe.updated_events(_titles_of(spark, sf_dir))
 
 
 @query("wn07_first_by_key", f"WITH {EV}, r AS (SELECT id, url, row_number() OVER (PARTITION BY url ORDER BY id) AS n FROM ev) SELECT id, url FROM r WHERE n = 1")
