@@ -39,14 +39,14 @@ def _value(number: Column) -> Column:
     return F.try_to_number(F.regexp_replace(F.regexp_replace(number, ",", ""), r"\..*$", ""), F.lit("9" * 18)).cast("long")
 
 
-def _found(text: Column, pattern: str, labelled: bool) -> Column:
+def _found(text: Column, low: Column, pattern: str, labelled: bool) -> Column:
     """Array of struct<key, value> of all matches, found in one scan; without labels they count deaths.
 
     A match holds one number; its label, if the pattern has one, is the last word (of health facilities, the last two).
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     number = lambda m: _value(F.regexp_extract(m, r"\d[\d,]*(?:\.\d+)?", 0))
-    needed = reduce(or_, [F.lower(text).contains(w) for w in NEEDED[pattern]])
+    needed = reduce(or_, [low.contains(w) for w in NEEDED[pattern]])
     label = lambda m: _key(F.lower(F.regexp_extract(m, r"(?i)(?:health\s*facilit|[a-z]+)$", 0))) if labelled else F.lit("deaths")
     found = F.transform(matches, lambda m: F.struct(label(m).alias("key"), number(m).alias("value")))
     return F.when(needed, found).otherwise(F.array().cast("array<struct<key:string,value:bigint>>"))
@@ -54,11 +54,14 @@ def _found(text: Column, pattern: str, labelled: bool) -> Column:
 
 def figure_mentions(text: Column) -> Column:
     """All figures that the four families find, as an array of struct<key, value>; a text without a digit, or without a word that a pattern needs, is not scanned for it."""
-    toll = F.filter(_found(text, TOLL, False), lambda x: x["value"] > 0)
-    near = F.filter(_found(text, SENTENCE, False), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
-    every = F.concat(_found(text, NUMBER_LABEL, True), toll, _found(text, AT_LEAST, True), near)
-    found = F.filter(every, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<key:string,value:bigint>>"))
+
+    def mentions(low: Column) -> Column:
+        toll = F.filter(_found(text, low, TOLL, False), lambda x: x["value"] > 0)
+        near = F.filter(_found(text, low, SENTENCE, False), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
+        every = F.concat(_found(text, low, NUMBER_LABEL, True), toll, _found(text, low, AT_LEAST, True), near)
+        return F.filter(every, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
+
+    return F.when(text.rlike("[0-9]"), let(F.lower(text), mentions)).otherwise(F.array().cast("array<struct<key:string,value:bigint>>"))
 
 
 def figures(items: DataFrame, text: str, *ids: str) -> DataFrame:
