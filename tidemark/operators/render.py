@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +12,7 @@ from pyspark.sql.window import Window as W
 from tidemark.dims import TEMPLATE
 from tidemark.operators.classify import tier_label
 from tidemark.operators.evidence import citation_numbers, citation_refs
+from tidemark.sources.shared import written
 
 
 def table_rows(rows: DataFrame, *columns: str) -> DataFrame:
@@ -55,7 +59,7 @@ def long_report(evidence: DataFrame, title: str, most: int = 60, template: dict
 
 
 def analysis_lines(
-    event: str, national: DataFrame, admin1: DataFrame, admin2: DataFrame, sectors: DataFrame, by_area: DataFrame, constraints: DataFrame, risks: DataFrame, annex: DataFrame, sources: DataFrame, most: int = 20
+    event: str, national: DataFrame, admin1: DataFrame, admin2: DataFrame, sectors: DataFrame, by_area: DataFrame, constraints: DataFrame, risks: DataFrame, annex: DataFrame, sources: DataFrame, most: int = 20, first: int = 0
 ) -> DataFrame:
     """RN02, RN03, RN05: (part, place, text), the lines of the situation analysis from its aggregates.
 
@@ -63,42 +67,54 @@ def analysis_lines(
     impact_count, max_severity), sectors (need_type, needs, max_severity, areas), by_area (need_type, geo_area, needs,
     max_severity), constraints (snippet, first), risks (hazard_name, horizon, event_id), annex (admin1, districts), sources (n,
     url). No line comes to the driver. Lists of constraints have the ``most`` first ones, of areas in need the most frequent.
+    Sections before the part ``first`` are left out. Aggregates and lines are written once, for the lines, their count and their places each read them.
     """
     spark = national.sparkSession
     place = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     fixed: list[tuple[int, str, str]] = []
     parts: list[DataFrame] = []
 
-    def add(part: int, heading: str, lines: DataFrame | None, columns: list[str] | None = None) -> None:
+    def add(part: int, heading: str, lines: Callable[[], DataFrame], columns: list[str] | None = None) -> None:
+        if part < first:
+            return
         fixed.append((part, " 0", f"## {heading}\n"))
         if columns:
             fixed.append((part, " 1", "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)))
-        if lines is not None:
-            own = lines.select(F.lit(part).alias("part"), F.concat(F.lit("+"), "place").alias("place"), "text")
-            none = own.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(part), F.lit("+"), F.lit("No data."))
-            parts.extend([own, none])
+        own = written(lines().select(F.lit(part).alias("part"), F.concat(F.lit("+"), "place").alias("place"), "text"), "lines")
+        none = own.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(part), F.lit("+"), F.lit("No data."))
+        parts.extend([own, none])
         fixed.append((part, "~", ""))
 
     def table(rows: DataFrame, order: Column, *columns: str) -> DataFrame:
         return table_rows(rows.withColumn("place", order), *columns).select("place", F.col("line").alias("text"))
 
-    fixed.append((0, "0", f"# Situation Analysis: {event}\n"))
-    counts = national.agg(F.count(F.lit(1)).alias("f")).crossJoin(F.broadcast(admin1.agg(F.count(F.lit(1)).alias("a"))))  # one row each
-    add(1, "Executive Summary", counts.select(F.lit("0").alias("place"), F.concat(F.col("f").cast("string"), F.lit(" kinds of figures in "), F.col("a").cast("string"), F.lit(" areas. [1]\nFigures are the largest reported for each area. [1]")).alias("text")))
-    add(2, "National Impact Overview", table(national, F.col("figure_key"), "figure_key", "value", "as_of", "source"), ["Category", "Figure", "As of", "Source"])
-    add(3, "Province-Level Impact", table(admin1, F.col("name"), "name", "impact_count", "max_severity", "districts"), ["Area", "Impacts", "Severity", "Districts"])
-    add(4, "District-Level Impact", table(admin2, F.concat_ws("/", "parent", "geo_key"), "parent", "geo_key", "impact_count", "max_severity"), ["Area", "District", "Impacts", "Severity"])
-    worst = by_area.groupBy("need_type").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("needs")).alias("k"), F.col("geo_area").alias("area")))), 1, most).alias("top"))
-    named = sectors.join(worst, "need_type", "left").withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["area"], F.lit(" ("), (-x["k"]).cast("string"), F.lit(")"))), ", "))
-    for i, (heading, key) in enumerate(SECTORS.items()):
+    def summary() -> DataFrame:
+        counts = national.agg(F.count(F.lit(1)).alias("f")).crossJoin(F.broadcast(admin1.agg(F.count(F.lit(1)).alias("a"))))  # one row each
+        return counts.select(F.lit("0").alias("place"), F.concat(F.col("f").cast("string"), F.lit(" kinds of figures in "), F.col("a").cast("string"), F.lit(" areas. [1]\nFigures are the largest reported for each area. [1]")).alias("text"))
+
+    def sector(key: str) -> DataFrame:
         line = F.concat(F.col("needs").cast("string"), F.lit(" statements, phase "), F.col("max_severity").cast("string"), F.lit(" at most, most of them in "), F.col("top"), F.lit("."))
-        add(5 + i, heading, named.filter(F.col("need_type") == key).select(F.lit("0").alias("place"), line.alias("text")))
-    add(20, "Access Constraints", constraints.orderBy("first", "snippet").limit(most).select(F.concat(place("first"), "snippet").alias("place"), F.concat(F.lit("- "), "snippet").alias("text")))
-    add(21, "Outstanding Needs", sectors.select(F.lpad((F.lit(10**11) - F.col("needs")).cast("string"), 12, "0").alias("place"), F.concat(F.lit("- "), "need_type", F.lit(": "), F.col("needs").cast("string")).alias("text")))
+        return named.filter(F.col("need_type") == key).select(F.lit("0").alias("place"), line.alias("text"))
+
+    sectors = written(sectors.select("need_type", "needs", "max_severity"), "sectors")
+    if first <= 0:
+        fixed.append((0, "0", f"# Situation Analysis: {event}\n"))
+    if first < 20:
+        national, admin1 = written(national, "national"), written(admin1, "admin1")
+        worst = by_area.groupBy("need_type").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("needs")).alias("k"), F.col("geo_area").alias("area")))), 1, most).alias("top"))
+        named = written(sectors.join(worst, "need_type", "left").withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["area"], F.lit(" ("), (-x["k"]).cast("string"), F.lit(")"))), ", ")), "named")
+    add(1, "Executive Summary", summary)
+    add(2, "National Impact Overview", lambda: table(national, F.col("figure_key"), "figure_key", "value", "as_of", "source"), ["Category", "Figure", "As of", "Source"])
+    add(3, "Province-Level Impact", lambda: table(admin1, F.col("name"), "name", "impact_count", "max_severity", "districts"), ["Area", "Impacts", "Severity", "Districts"])
+    add(4, "District-Level Impact", lambda: table(admin2, F.concat_ws("/", "parent", "geo_key"), "parent", "geo_key", "impact_count", "max_severity"), ["Area", "District", "Impacts", "Severity"])
+    for i, (heading, key) in enumerate(SECTORS.items()):
+        add(5 + i, heading, partial(sector, key))
+    add(20, "Access Constraints", lambda: constraints.orderBy("first", "snippet").limit(most).select(F.concat(place("first"), "snippet").alias("place"), F.concat(F.lit("- "), "snippet").alias("text")))
+    add(21, "Outstanding Needs", lambda: sectors.select(F.lpad((F.lit(10**11) - F.col("needs")).cast("string"), 12, "0").alias("place"), F.concat(F.lit("- "), "need_type", F.lit(": "), F.col("needs").cast("string")).alias("text")))
     ahead = risks.groupBy("hazard_name", "horizon").agg(F.count(F.lit(1)).alias("n"))
-    add(22, "Forecast", ahead.select(F.concat_ws("/", "horizon", "hazard_name").alias("place"), F.concat(F.lit("- "), "hazard_name", F.lit(", next "), "horizon", F.lit(": "), F.col("n").cast("string"), F.lit(" statements")).alias("text")))
-    add(23, "Annex", annex.select(F.col("admin1").alias("place"), F.concat(F.lit("- "), "admin1", F.lit(": "), "districts").alias("text")))
-    add(24, "Sources and References", sources.select(place("n").alias("place"), F.concat(F.col("n").cast("string"), F.lit(". "), "url").alias("text")))
+    add(22, "Forecast", lambda: ahead.select(F.concat_ws("/", "horizon", "hazard_name").alias("place"), F.concat(F.lit("- "), "hazard_name", F.lit(", next "), "horizon", F.lit(": "), F.col("n").cast("string"), F.lit(" statements")).alias("text")))
+    add(23, "Annex", lambda: annex.select(F.col("admin1").alias("place"), F.concat(F.lit("- "), "admin1", F.lit(": "), "districts").alias("text")))
+    add(24, "Sources and References", lambda: sources.select(place("n").alias("place"), F.concat(F.col("n").cast("string"), F.lit(". "), "url").alias("text")))
     out = spark.createDataFrame(fixed, "part int, place string, text string")
     for lines in parts:
         out = out.union(lines)

@@ -164,7 +164,7 @@ def st05(spark, sf_dir):
 @query("rn05_forecast_lines")
 def rn05f(spark, sf_dir):
     """RN05: the lines of the analysis after the sectors."""
-    return _analysis(spark, sf_dir).filter("part >= 20")
+    return _analysis(spark, sf_dir, first=20)
 
 
 @query(
