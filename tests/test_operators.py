@@ -378,3 +378,20 @@ def test_analysis_patterns_run_once_and_over_several_tasks(spark, sf_dir):
     assert made.rdd.getNumPartitions() > 1
     plan = reports.analysis_score(made)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(?m)^##\s+(.+)") == 1
+
+
+@pytest.mark.parametrize("name", ["jn04_unchanged", "jn06_updated", "dd09_status", "dd09_status_exact"])
+def test_states_cluster_the_items_once(spark, sf_dir, name):
+    """Events are written and read, not clustered anew by each reader."""
+    from tidemark.plans import registry
+
+    files = registry.queries()[name](spark, sf_dir).inputFiles()
+    assert files and not [f for f in files if "orders.parquet" in f]
+
+
+def test_admin1_figures_find_no_impacts(spark, sf_dir):
+    """Figures are read from the rows, so no row is taken apart into its impacts."""
+    from tidemark.plans import registry
+
+    plan = registry.queries()["ag18_admin1_figures"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
