@@ -151,3 +151,47 @@ def test_titles_are_not_broadcast(spark, sf_dir):
     """Tables of titles grow with the input, so none goes through the driver, however small it is here."""
     plan = registry.queries()["dd03_title_clusters"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def few_words(rng, n):
+    """Unlike titles that share all their q-grams: eight of sixty words each."""
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    return [" ".join(rng.sample(words, 8)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.6, 0.75, 0.9, 0.92, 0.9999])
+def test_close_pairs_lose_no_similar_pair(threshold):
+    rng = random.Random(int(threshold * 1000))
+    pool = ["flood in the northern valley", "漢字 über 😀 é\ud800", "", "a", "ab", "aaaaaaaaaa", "x" * 300, "many words " * 30]
+    for _ in range(150):
+        pool.append(changed(rng, rng.choice(pool)))
+    one, other = pool[::2], pool[1::2]
+    got = [(i, j) for p, q in similarity.close_pairs(one, other, threshold) for i, j in zip(p.tolist(), q.tolist())]
+    assert len(got) == len(set(got))
+    assert set(got) >= {(i, j) for i, a in enumerate(one) for j, b in enumerate(other) if 2 * similarity.lcs_length(a, b) >= threshold * (len(a) + len(b)) - 1e-9}
+    if threshold < 0.5:  # SC05 of uneven titles is no common subsequence
+        assert len(got) == len(one) * len(other)
+
+
+def test_close_pairs_are_few():
+    titles = few_words(random.Random(8), 3000)
+    assert sum(len(p) for p, _ in similarity.close_pairs(titles[:1500], titles[1500:], 0.9)) < 1500 * 1500 / 1000
+    assert [list(similarity.close_pairs(a, b, 0.9)) for a, b in (([], []), (["a"], []), ([], ["a"]))] == [[], [], []]
+
+
+@pytest.mark.parametrize("least, tiles, most", [(40, 16, 1000), (1, 3, 90)])
+def test_tiles_of_a_block_meet(spark, monkeypatch, least, tiles, most):
+    """Titles of the same few words in one large block, some of them changed a little, beside small blocks."""
+    for name, value in (("LEAST_TILE", least), ("TILES", tiles), ("MOST_TILE", most), ("FIRST_BATCH", 100)):
+        monkeypatch.setattr(leaders, name, value)
+    rng = random.Random(least)
+    titles = few_words(rng, 300)
+    titles += [changed(rng, rng.choice(titles)) for _ in range(300)]
+    rng.shuffle(titles)
+    rows = [(i, "A" if i % 10 else f"B{i % 70}", "flood", t) for i, t in enumerate(titles)]
+    items = spark.createDataFrame(rows, "ord long, country string, disaster_type string, title string").repartition(4)
+    got = {r.ord: r.cluster for r in dedupe.cluster(items, exact_ratio=False).collect()}
+    assert len(got) == len(rows) and len(set(got.values())) < 450
+    for country in {r[1] for r in rows}:
+        block = [r for r in rows if r[1] == country]
+        assert [got[r[0]] for r in block] == [block[j][0] for j in greedy([" ".join(r[3].split()) for r in block], 0.9, by_lcs)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -62,6 +62,72 @@ def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return out
 
 
+#: Letters with a count of their own, and counts that the rarer ones share; counts of letter pairs; pairs of texts compared at a time.
+LETTERS, GRAMS, STEP = 64, 256, 1 << 16
+
+
+def close_pairs(one: Sequence[str], other: Sequence[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in both, some pairs at a time: all pairs whose twice ``lcs_length`` over both lengths can reach the threshold, and few others.
+
+    Characters without partner are at least as many as the differences of the letters' counts, and each bit "so many of this letter or
+    more" that differs stands for one of those. The 64 bits that differ most often tell of nearly all pairs, the next 64 of nearly all of
+    the rest. Then letter pairs: M characters with a partner make at least 3M - 1 - (both lengths) common ones, for each character
+    without one breaks their row once at most. Thresholds below one half let all pairs through.
+    """
+    texts, n = [*one, *other], len(one)
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    if not n or n == len(texts):
+        return
+    letters = pd.factorize(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))[0]
+    rank = np.empty(letters.max(initial=-1) + 1, dtype=np.int64)
+    rank[np.argsort(-np.bincount(letters), kind="stable")] = np.arange(len(rank))
+    letters = rank[letters]
+    letters = np.where(letters < LETTERS, letters, LETTERS + letters % LETTERS)
+    text, small = np.repeat(np.arange(len(texts)), sizes), np.min_scalar_type(int(sizes.max()))
+    counts, grams = np.zeros((len(texts), 2 * LETTERS), dtype=small), np.zeros((len(texts), GRAMS), dtype=small)
+    np.add.at(counts.ravel(), text * (2 * LETTERS) + letters, small.type(1))
+    inner = text[1:] == text[:-1]
+    np.add.at(grams.ravel(), (text[1:] * GRAMS + (letters[:-1] * 37 + letters[1:]) % GRAMS)[inner], small.type(1))
+
+    share = [np.bincount(c)[:0:-1].cumsum()[::-1] / len(texts) for c in counts.T]  # of the texts that have one, two, ... or more
+    column, least = np.repeat(np.arange(len(share)), [len(x) for x in share]), np.concatenate([np.arange(1, len(x) + 1) for x in share])
+    often = np.concatenate(share)
+    best = np.argsort(-often * (1 - often), kind="stable")[:128]
+    bits = np.zeros((len(texts), 128), dtype=bool)
+    bits[:, : len(best)] = counts[:, column[best]] >= least[best]
+    words = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+
+    both = np.arange(2 * int(sizes.max()) + 1)
+    most = np.minimum((1 - threshold) * both + 1e-6, 255).astype(np.uint8) if threshold >= 0.5 else np.full(len(both), 255, dtype=np.uint8)
+    paired = np.ceil(threshold * both / 2 - 1e-6).astype(np.int64)
+    common = 3 * paired - 1 - both if threshold >= 0.5 else np.full(len(both), -1)
+
+    def rest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = sizes[p] + sizes[q]
+        good = np.bitwise_count(words[0, p] ^ words[0, q]) + np.bitwise_count(words[1, p] ^ words[1, q]) <= most[whole]
+        p, q, whole = p[good], q[good], whole[good]
+        good = np.minimum(grams[p], grams[q]).sum(axis=1, dtype=np.int64) >= common[whole]
+        return p[good], q[good] - n
+
+    rows, columns = np.argsort(sizes[:n], kind="stable"), n + np.argsort(sizes[n:], kind="stable")
+    lengths, found, n_found = sizes[columns], [], 0
+    for length in np.unique(sizes[:n]):
+        of_length = rows[slice(*np.searchsorted(sizes[rows], [length, length + 1]))]
+        low, high = np.searchsorted(lengths, [length * threshold / (2 - threshold) - 1, length * (2 - threshold) / threshold + 1]) if threshold >= 0.5 else (0, len(columns))
+        near, limit = columns[low:high], most[length + lengths[low:high]]
+        word, step = words[0, near], max(1, STEP // max(1, high - low))
+        for k in range(0, len(of_length), step):
+            some = of_length[k : k + step]
+            row, place = np.divmod(np.flatnonzero(np.bitwise_count(words[0, some][:, None] ^ word) <= limit), max(1, high - low))
+            found.append((some[row], near[place]))
+            n_found += len(row)
+            if n_found >= STEP:
+                yield rest(*map(np.concatenate, zip(*found)))
+                found, n_found = [], 0
+    if found:
+        yield rest(*map(np.concatenate, zip(*found)))
+
+
 def lcs_ratio(a: str | None, b: str | None) -> float:
     """SC05: 2 LCS / total length; where one is less than half as long as the other, that share."""
     a, b = a or "", b or ""

@@ -2,18 +2,22 @@
 
 In order of arrival a title joins the first leader that it is similar enough to, or leads a cluster itself. Whether a title leads
 depends on earlier titles that are similar to it, and on no others: the leaders are the lexicographically first independent set of
-the graph of similar titles. So only pairs that share one of their rarest q-grams are scored (``rare_grams``; none that is similar
-enough is lost), and the choice is made in rounds: who has no earlier neighbour leads, who has a leading one follows and leaves
-the graph, which frees others.
+the graph of similar titles. So only pairs whose letters allow it are scored (``close_pairs``; none that is similar enough is lost),
+and the choice is made in rounds: who has no earlier neighbour leads, who has a leading one follows and leaves the graph, which
+frees others.
 
 Titles come in batches, each of which makes their number four times as large. A batch is compared with the leaders so far first,
 and only titles that follow none of these are paired among themselves. So a heap of like titles is compared with its few leaders
-rather than pair by pair, and what a batch pairs among itself are titles that the ones before did not foresee. Titles that are
-unlike and yet all share their rarest q-grams are still compared pair by pair, spread over tasks by block and gram.
+rather than pair by pair, and what a batch pairs among itself are titles that the ones before did not foresee.
+
+A block's titles are dealt over tiles, and each pair of tiles is a group of its own: a task holds two tiles. Titles made of the same
+few words share all their q-grams, which tell none of them apart; so letters are compared, of all pairs in a block, at a few
+nanoseconds a pair. That is quadratic in the unlike titles of a block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import lcs_lengths, length_bound, ratio
+from tidemark.functions.similarity import close_pairs, lcs_lengths, ratio
 from tidemark.functions.text import let
 from tidemark.sources.shared import written
 
@@ -30,7 +34,10 @@ from tidemark.sources.shared import written
 FIRST_BATCH, GROWTH = 2_000, 4
 #: When so few pairs are undecided, one task follows their chains to the end.
 FEW_PAIRS = 200_000
-
+#: Titles of a tile: so many at least, up to so many tiles of a block, and so many at most.
+LEAST_TILE, TILES, MOST_TILE = 4_096, 16, 32_768
+#: Blocks with no more than this share of all titles are a tile each.
+SMALL_BLOCK = 1 / 1000
 
 #: The longest q-grams that titles are looked up by.
 LONGEST_GRAM = 5
@@ -84,28 +91,56 @@ def rare_grams(titles: DataFrame, threshold: float, by: tuple[str, ...] = ()) ->
     return ranked.select("t", "first", *by, F.explode(F.slice("all", F.lit(1), most)).alias("g")).select("t", "first", *by, "g.gram")
 
 
-def reaches(score: Callable[[str, str], float], threshold: float) -> Callable[[Column, Column], Column]:
+def reaches(score: Callable[[str, str], float], threshold: float, a: list[str], b: list[str]) -> np.ndarray:
     """Whether the score of two titles is at least the threshold, which twice their longest common subsequence over both lengths tells of nearly all pairs."""
+    whole = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.int64)
+    # Where one is much shorter, SC05 is the share of the lengths, which may be above twice their common subsequence over both.
+    uneven = np.array([2 * min(len(x), len(y)) < max(len(x), len(y)) for x, y in zip(a, b)], dtype=bool) & (score is not ratio)
+    good = uneven | (2 * lcs_lengths(a, b) >= threshold * whole - 1e-9)
+    good[good] = [score(a[i], b[i]) >= threshold for i in np.flatnonzero(good)]
+    return good
+
 
-    def run(later: pd.Series, earlier: pd.Series) -> pd.Series:
-        a, b = later.tolist(), earlier.tolist()
-        whole = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.int64)
-        # Where one is much shorter, SC05 is the share of the lengths, which may be above twice their common subsequence over both.
-        uneven = np.array([2 * min(len(x), len(y)) < max(len(x), len(y)) for x, y in zip(a, b)], dtype=bool) & (score is not ratio)
-        good = uneven | (2 * lcs_lengths(a, b) >= threshold * whole - 1e-9)
-        good[good] = [score(a[i], b[i]) >= threshold for i in np.flatnonzero(good)]
-        return pd.Series(good)
+def large_blocks(titles: DataFrame, total: int) -> dict[str, int]:
+    """Titles of the blocks that need more than one tile, which are a thousand at most."""
+    sizes = titles.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    return {r.block: r.n for r in sizes.filter(F.col("n") > max(LEAST_TILE, SMALL_BLOCK * total)).collect()}
 
-    return F.pandas_udf(run, "boolean")
 
+def tiles_of(blocks: dict[str, int], share: float = 1.0) -> Column:
+    """Tiles of a row's block, of which the given share of the titles is there."""
+    tiles = {b: max(min(TILES, math.ceil(n * share / LEAST_TILE)), math.ceil(n * share / MOST_TILE)) for b, n in blocks.items()}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in tiles.items() for x in pair])[F.col("block")], F.lit(1)) if tiles else F.lit(1)
 
-def similar_pairs(later: DataFrame, earlier: DataFrame, score: Callable[[str, str], float], threshold: float) -> DataFrame:
-    """(a, b) of the titles (t, first, block, gram) that share a block and a gram, the second before the first, and are similar enough."""
-    one = later.select("block", "gram", F.col("first").alias("a"), F.col("t").alias("ta"))
-    other = earlier.select("block", "gram", F.col("first").alias("b"), F.col("t").alias("tb"))
-    near = (F.col("b") < F.col("a")) & (length_bound(F.col("ta"), F.col("tb")) >= threshold - 1e-9) if threshold >= 0.5 else F.col("b") < F.col("a")
-    pairs = one.join(shuffled(other), ["block", "gram"]).filter(near).select("a", "b", "ta", "tb").distinct()
-    return pairs.filter(reaches(score, threshold)("ta", "tb")).select("a", "b")
+
+def similar_pairs(later: DataFrame, earlier: DataFrame, score: Callable[[str, str], float], threshold: float, later_tiles: Column, earlier_tiles: Column) -> DataFrame:
+    """(a, b) of the titles (t, first, block) that share a block, the second before the first, and are similar enough.
+
+    The two sides are one table, or the second is before the first as a whole.
+    """
+    same = later is earlier
+    tile = lambda tiles: F.pmod(F.xxhash64("first"), tiles).cast("int")
+    one = later.select("block", "first", "t", F.lit(True).alias("late"), tile(later_tiles).alias("i"))
+    other = earlier.select("block", "first", "t", F.lit(False).alias("late"), tile(earlier_tiles).alias("j"))
+    # Of one table, the pair of tiles (j, i) is that of (i, j).
+    one = one.withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), earlier_tiles - 1)))
+    other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else later_tiles - 1)))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = pd.concat(list(frames), ignore_index=True)
+        first, t, late = both["first"].to_numpy(), both["t"].to_numpy(), both["late"].to_numpy()
+        own = same and both["i"].iat[0] == both["j"].iat[0]
+        sides = np.flatnonzero(late), np.flatnonzero(~late)
+        for p, q in close_pairs(t[sides[0]], t[sides[1]], threshold):
+            p, q = sides[0][p], sides[1][q]
+            if own:
+                p, q = p[first[p] > first[q]], q[first[p] > first[q]]
+            p, q = np.where(first[p] > first[q], p, q), np.where(first[p] > first[q], q, p)
+            good = reaches(score, threshold, t[p].tolist(), t[q].tolist())
+            yield pd.DataFrame({"a": first[p[good]], "b": first[q[good]]})
+
+    tasks = max(64, int(later.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return one.unionByName(other).repartition(tasks, "block", "i", "j").groupBy("block", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def followers(pairs: DataFrame, few: int | None = None) -> DataFrame:
@@ -134,7 +169,7 @@ def followers(pairs: DataFrame, few: int | None = None) -> DataFrame:
 def leading_titles(titles: DataFrame, threshold: float, score: Callable[[str, str], float]) -> DataFrame:
     """(block, t, first) of distinct titles to (block, t, cluster): the ``first`` of the title that leads each.
 
-    Titles of equal ``first`` are in order of their wording. Thresholds below one half have no index: all titles of a block are paired.
+    Titles of equal ``first`` are in order of their wording. Thresholds below one half have no filter: all pairs of a block are scored.
     """
     place = titles.orderBy("first", "t").select("block", "t", F.col("first").alias("arrived"), F.monotonically_increasing_id().alias("first"))
     ranked = written(place, "titles")
@@ -144,19 +179,20 @@ def leading_titles(titles: DataFrame, threshold: float, score: Callable[[str, st
         sizes.append(sizes[-1] * GROWTH)
     shares = [s / total for s in sizes if s < total]
     cuts = ranked.agg(F.percentile_approx("first", shares, 10_000)).first()[0] if shares else []
-    plain = ranked.select("t", "first", "block")
-    grams = written(rare_grams(plain, threshold, ("block",)) if threshold >= 0.5 else plain.withColumn("gram", F.lit("")), "rare-grams")
+    plain, blocks = ranked.select("t", "first", "block"), large_blocks(ranked, total)
     parts: list[DataFrame] = []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = grams
+    for low, high, before, until in zip([None, *cuts], [*cuts, None], [0, *shares], [*shares, 1]):
+        batch = plain
         batch = batch if low is None else batch.filter(F.col("first") > low)
         batch = batch if high is None else batch.filter(F.col("first") <= high)
+        tiles = tiles_of(blocks, until - before)
         if parts:
             led = reduce(DataFrame.unionByName, parts).select(F.col("a").alias("first"))
-            known = similar_pairs(batch, grams.filter(F.col("first") <= low).join(shuffled(led), "first", "left_anti"), score, threshold)
+            leading = plain.filter(F.col("first") <= low).join(shuffled(led), "first", "left_anti")
+            known = similar_pairs(batch, leading, score, threshold, tiles, tiles_of(blocks, before))
             parts.append(written(known.groupBy("a").agg(F.min("b").alias("b")), "led"))
-            batch = batch.join(shuffled(parts[-1].select(F.col("a").alias("first"))), "first", "left_anti")
-        pairs = written(similar_pairs(batch, batch, score, threshold), "title-pairs")
+            batch = written(batch.join(shuffled(parts[-1].select(F.col("a").alias("first"))), "first", "left_anti"), "batch")
+        pairs = written(similar_pairs(batch, batch, score, threshold, tiles, tiles), "title-pairs")
         follow = followers(pairs)
         own = pairs.join(shuffled(follow), pairs.b == follow.n, "left_anti").groupBy("a").agg(F.min("b").alias("b"))
         parts.append(own if high is None else written(own, "led"))
