@@ -159,8 +159,11 @@ def few_words(rng, n):
     return [" ".join(rng.sample(words, 8)) for _ in range(n)]
 
 
+@pytest.mark.parametrize("step", [500, 1 << 16])
 @pytest.mark.parametrize("threshold", [0.4, 0.5, 0.6, 0.75, 0.9, 0.92, 0.9999])
-def test_close_pairs_lose_no_similar_pair(threshold):
+def test_close_pairs_lose_no_similar_pair(monkeypatch, threshold, step):
+    """With few pairs at a time, texts are also ordered by their letters."""
+    monkeypatch.setattr(similarity, "STEP", step)
     rng = random.Random(int(threshold * 1000))
     pool = ["flood in the northern valley", "漢字 über 😀 é\ud800", "", "a", "ab", "aaaaaaaaaa", "x" * 300, "many words " * 30]
     for _ in range(150):
@@ -195,3 +198,12 @@ def test_tiles_of_a_block_meet(spark, monkeypatch, least, tiles, most):
     for country in {r[1] for r in rows}:
         block = [r for r in rows if r[1] == country]
         assert [got[r[0]] for r in block] == [block[j][0] for j in greedy([" ".join(r[3].split()) for r in block], 0.9, by_lcs)]
+
+
+def test_scores_are_those_of_each_pair():
+    rng = random.Random(12)
+    a, b = ([changed(rng, rng.choice(["", "a", "flood in the valley", "flood in the northern valley again"])) for _ in range(300)] for _ in range(2))
+    for threshold in (0.3, 0.5, 0.8, 1.0):
+        for score in (similarity.ratio, similarity.lcs_ratio):
+            wanted = [score(x, y) >= threshold for x, y in zip([*a, ""], [*b, ""])]
+            assert leaders.reaches(score, threshold, [*a, ""], [*b, ""]).tolist() == wanted

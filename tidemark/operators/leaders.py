@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import close_pairs, lcs_lengths, ratio
+from tidemark.functions.similarity import close_pairs, lcs_lengths, lcs_ratio
 from tidemark.functions.text import let
 from tidemark.sources.shared import written
 
 #: Titles of the first batch, and by how much each further one makes them more.
-FIRST_BATCH, GROWTH = 2_000, 4
+FIRST_BATCH, GROWTH = 1_000, 4
 #: When so few pairs are undecided, one task follows their chains to the end.
 FEW_PAIRS = 200_000
 #: Titles of a tile: so many at least, up to so many tiles of a block, and so many at most.
@@ -92,11 +92,13 @@ def rare_grams(titles: DataFrame, threshold: float, by: tuple[str, ...] = ()) ->
 
 
 def reaches(score: Callable[[str, str], float], threshold: float, a: list[str], b: list[str]) -> np.ndarray:
-    """Whether the score of two titles is at least the threshold, which twice their longest common subsequence over both lengths tells of nearly all pairs."""
-    whole = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.int64)
-    # Where one is much shorter, SC05 is the share of the lengths, which may be above twice their common subsequence over both.
-    uneven = np.array([2 * min(len(x), len(y)) < max(len(x), len(y)) for x, y in zip(a, b)], dtype=bool) & (score is not ratio)
-    good = uneven | (2 * lcs_lengths(a, b) >= threshold * whole - 1e-9)
+    """Whether the score of two titles is at least the threshold: SC05 by their longest common subsequences, SC04 by itself where these allow it."""
+    la, lb = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    common, whole = lcs_lengths(a, b), la + lb
+    if score is lcs_ratio:
+        short, long = np.minimum(la, lb), np.maximum(la, lb)
+        return np.where(2 * short < long, short / np.maximum(long, 1), np.where(whole > 0, 2 * common / np.maximum(whole, 1), 1.0)) >= threshold
+    good = 2 * common >= threshold * whole - 1e-9
     good[good] = [score(a[i], b[i]) >= threshold for i in np.flatnonzero(good)]
     return good
 
