@@ -103,10 +103,7 @@ def close_pairs(one: Sequence[str], other: Sequence[str], threshold: float) -> I
     common = 3 * paired - 1 - both if threshold >= 0.5 else np.full(len(both), -1)
 
     def rest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = sizes[p] + sizes[q]
-        good = np.bitwise_count(words[0, p] ^ words[0, q]) + np.bitwise_count(words[1, p] ^ words[1, q]) <= most[whole]
-        p, q, whole = p[good], q[good], whole[good]
-        good = np.minimum(grams[p], grams[q]).sum(axis=1, dtype=np.int64) >= common[whole]
+        good = np.minimum(grams[p], grams[q]).sum(axis=1, dtype=np.int64) >= common[sizes[p] + sizes[q]]
         return p[good], q[good] - n
 
     # Texts in the order of a sum of their letters' counts, each taken as 1 or -1: in that similar ones differ no more than in all counts.
@@ -119,16 +116,20 @@ def close_pairs(one: Sequence[str], other: Sequence[str], threshold: float) -> I
     lengths, places, found, n_found = sizes[columns], place[columns], [], 0
     starts = np.flatnonzero(np.diff(place[rows], prepend=place[rows[0]] - 1) | np.diff(sizes[rows], prepend=-1))
     for alike in np.split(rows, starts[1:]):  # rows of one place and length
-        length, at = sizes[alike[0]], place[alike[0]]
+        length, middle = sizes[alike[0]], place[alike[0]]
         reach = 2 * (1 - threshold) * length / threshold + 1 if threshold >= 0.5 else 0
-        low, high = np.searchsorted(places, [at - reach, at + reach + 1])
+        low, high = np.searchsorted(places, [middle - reach, middle + reach + 1])
         if low == high:
             continue
         near, limit = columns[low:high], most[length + lengths[low:high]]
-        word, step = words[0, near], max(1, STEP // (high - low))
+        word, second, step = words[0, near], words[1, near], max(1, STEP // (high - low))
         for k in range(0, len(alike), step):
             some = alike[k : k + step]
-            row, spot = np.divmod(np.flatnonzero(np.bitwise_count(words[0, some][:, None] ^ word) <= limit), high - low)
+            differ = np.bitwise_count(words[0, some][:, None] ^ word)
+            at = np.flatnonzero(differ <= limit)
+            row, spot = np.divmod(at, high - low)
+            good = differ.ravel()[at] + np.bitwise_count(words[1, some][row] ^ second[spot]) <= limit[spot]
+            row, spot = row[good], spot[good]
             found.append((some[row], near[spot]))
             n_found += len(row)
             if n_found >= STEP:
